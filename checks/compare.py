@@ -41,8 +41,10 @@ def compare(spark, connection, sf_dir: str, name: str) -> str:
     from checks.oracle import ORACLE
     from checks.queries import QUERIES
 
-    ours = QUERIES[name](spark, sf_dir).toPandas()
+    start = time.time()
     theirs = connection.execute(ORACLE[name]).df()
+    print(f"     {name}: sql {time.time() - start:.1f}s", flush=True)
+    ours = QUERIES[name](spark, sf_dir).toPandas()
     if sorted(ours.columns) != sorted(theirs.columns):
         return f"columns {sorted(ours.columns)} / {sorted(theirs.columns)}"
     a, b = canonical(ours), canonical(theirs)

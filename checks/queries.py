@@ -26,7 +26,7 @@ from lodescan.sources.sitemaps import (
 )
 from lodescan.sources.tables import page_index, tier_phases
 from lodescan.streaming.leads import write_lead_stream
-from lodescan.streaming.limiter import limit_stream, run_available, stream_session
+from lodescan.streaming.limiter import limit_stream, run_available
 from lodescan.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +62,7 @@ def link_predicates(spark: SparkSession, sf: str) -> DataFrame:
     origins = pages.select("page_id", U.Url(F.col("url")).origin.alias("page_origin"))
     url = U.Url(F.col("href"))
     return links.join(origins, "page_id").select(
-        "page_id", "pos", "href",
+        "page_id", "pos", F.coalesce(url.href, F.col("href")).alias("href"),
         F.coalesce(url.origin == F.col("page_origin"), F.lit(False)).alias("same_origin"),
         U.is_asset(url.path).alias("asset"),
         U.is_low_value_path(url.path).alias("low_value"),
@@ -499,11 +499,8 @@ def daily_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_soft_limit(spark: SparkSession, sf: str) -> DataFrame:
-    session = stream_session(spark)
-    schema = I.table(session, sf, "events").schema
-    events = (
-        session.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    )
+    schema = I.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     requests = events.select(
         F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("ip"),
         M.micros(F.col("ts")).alias("ts"), "event_id",

@@ -24,9 +24,10 @@ from .grouping import first_per_key, top_per_group
 
 
 def page_links(pages: DataFrame, per_page: int | None = V.SUMMARY_LINKS_PER_PAGE) -> DataFrame:
-    """(page_id, pos, href): links of each page in document order, resolved; map-only.
+    """(page_id, pos, href): links of each page in document order, made absolute; map-only.
 
     Links that cannot be resolved are dropped before the per-page budget is applied.
+    ``Url(href)`` gives the parts of a link.
     """
     url = Url(F.col("url"))
     staged = pages.select(

@@ -190,10 +190,10 @@ def demote_hedged(findings: Column) -> Column:
 def page_results(pages: DataFrame, responses: DataFrame) -> DataFrame:
     """Join page rows with their replies.
 
-    A page without reply keeps an empty result; a page whose reply cannot be parsed has
-    none and is dropped. ``responses`` is (page_id, text).
+    A page without reply, or whose call failed (null text), keeps an empty result; a page
+    whose reply cannot be parsed is dropped. ``responses`` is (page_id, text).
     """
-    replied = responses.select(
+    replied = responses.filter(F.col("text").isNotNull()).select(
         "page_id", F.lit(True).alias("replied"), parse_model_json(F.col("text"), PAGE_REPLY).alias("reply")
     )
     no_findings = F.array().cast(f"array<{FINDING}>")

@@ -2,8 +2,9 @@
 
 Requests are decided on arrival, late ones too, as a live limiter must. Inside a
 micro-batch the requests of a key are put in (ts, event_id) order first. State per key is
-the last ``soft`` admitted timestamps and one counter; state time-to-live replaces any
-clearing by hand. The size of a micro-batch is bounded at the source
+the last ``soft`` admitted timestamps and one counter; a state timeout replaces any
+clearing by hand in a live stream. A replay of stored requests runs without it: with a
+timeout pending, an available-now run keeps starting empty batches. The size of a micro-batch is bounded at the source
 (``maxFilesPerTrigger`` or offsets), and with it the rows one key can bring at a time.
 """
 
@@ -13,74 +14,72 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed_values as V
 from ..operators.limits import KEYS
 from ..session import new_folder
 
 OUTPUT = "kind string, ip string, ts bigint, event_id bigint, soft_ok boolean, daily_ok boolean, admitted boolean"
+STATE = "hits array<bigint>, day bigint, used bigint"
 DAY = 86_400_000_000
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class LimitProcessor(StatefulProcessor):
-    def __init__(self, window: int, soft: int, daily: int | None, ttl_ms: int) -> None:
-        self.window, self.soft, self.daily, self.ttl_ms = window, soft, daily, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hits = handle.getListState("hits", "ts bigint", ttlDurationMs=self.ttl_ms)
-        day_ttl = max(self.ttl_ms, V.DAILY_STATE_TTL_SECONDS * 1000)
-        self.day = handle.getValueState("day", "day bigint, used int", ttlDurationMs=day_ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        hits = [row[0] for row in self.hits.get()]
-        day, used = self.day.get() if self.day.exists() else (-1, 0)
+def _decide(window: int, soft: int, daily: int | None, ttl_ms: int | None):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        hits, day, used = state.get if state.exists else ([], -1, 0)
+        hits = list(hits)
+        batch = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         soft_ok, daily_ok = [], []
         for ts in batch["ts"].tolist():
-            hits = [t for t in hits if ts - t < self.window]
-            passes = len(hits) < self.soft
+            hits = [t for t in hits if ts - t < window]
+            passes = len(hits) < soft
             counted = False
             if passes:
                 hits.append(ts)
                 if ts // DAY != day:
                     day, used = ts // DAY, 0
-                counted = self.daily is None or used < self.daily
-                used += counted
+                counted = daily is None or used < daily
+                used += int(counted)
             soft_ok.append(passes)
             daily_ok.append(counted)
-        self.hits.put([(t,) for t in hits])
-        self.day.update((day, used))
+        state.update((hits, day, used))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         out = batch[["kind", "ip", "ts", "event_id"]].assign(soft_ok=soft_ok, daily_ok=daily_ok)
         yield out.assign(admitted=out["soft_ok"] & out["daily_ok"])
 
-    def close(self) -> None:
-        pass
+    return run
+
+
+def live_ttl(window: int) -> int:
+    """Idle time, in milliseconds, after which a live key's state can no longer matter."""
+    return max(2 * window // 1000, V.DAILY_STATE_TTL_SECONDS * 1000)
 
 
 def limit_stream(
     requests: DataFrame, window: int, soft: int, daily: int | None, ttl_ms: int | None = None
 ) -> DataFrame:
-    """Decide a stream of (kind, ip, ts, event_id); ``ts`` and ``window`` in microseconds."""
-    ttl_ms = ttl_ms or max(2 * window // 1000, 1)
-    return requests.select(*KEYS, "ts", "event_id").groupBy(*KEYS).transformWithStateInPandas(
-        LimitProcessor(window, soft, daily, ttl_ms),
-        outputStructType=OUTPUT,
-        outputMode="Append",
-        timeMode="ProcessingTime",
+    """Decide a stream of (kind, ip, ts, event_id); ``ts`` and ``window`` in microseconds.
+
+    With ``ttl_ms`` the state of a key idle for that much processing time is dropped; see
+    ``live_ttl``. Without it, as for a replay, state stays.
+    """
+    timeout = GroupStateTimeout.NoTimeout
+    if ttl_ms is not None:
+        timeout = GroupStateTimeout.ProcessingTimeTimeout
+    return requests.select(*KEYS, "ts", "event_id").groupBy(*KEYS).applyInPandasWithState(
+        _decide(window, soft, daily, ttl_ms),
+        OUTPUT,
+        STATE,
+        "append",
+        timeout,
     )
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application whose state store can hold list state."""
-    session = spark.newSession()
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        session.conf.set(key, spark.conf.get(key))
-    return session
-
-
 def run_available(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """Process what the source holds now and return the written result."""
     out, checkpoint = new_folder(spark, label), new_folder(spark, f"{label}-checkpoint")
