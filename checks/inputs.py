@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodescan.operators.crawl import page_links
 from lodescan.operators.grouping import number_within, top_per_group
-from lodescan.sources.tables import page_index, usable_pages
+from lodescan.session import materialize
+from lodescan.sources.tables import page_index, spread_small, usable_pages
 
 HOST = "regexp_extract(url, '^https?://(www[.])?([^/:?#]+)', 2)"
 # a number per site that both engines compute alike
@@ -174,7 +175,8 @@ def derive(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usable_pages(derive(spark, sf_dir, SITE_PAGES, "pages"))
+    pages = spread_small(table(spark, sf_dir, "pages"), "page_id")
+    return usable_pages(spark.sql(SITE_PAGES, pages=pages))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +210,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses with their number inside the site; no html."""
     index = page_index(table(spark, sf_dir, "pages"))
-    return number_within(index, ["site_key"], "page_id", "page_no")
+    return materialize(number_within(index, ["site_key"], "page_id", "page_no"), "numbered")
 
 
 def navigation(numbered: DataFrame) -> DataFrame:
@@ -299,7 +301,8 @@ def sitemaps(numbered: DataFrame) -> DataFrame:
     wrong = roots.filter("s % 4 in (1, 3)").select(
         "origin", F.lit("/sitemap_index.xml").alias("path"), F.lit("<html>not found</html>").alias("xml")
     )
-    return children.unionByName(index).unionByName(plain).unionByName(wrong)
+    files = children.unionByName(index).unionByName(plain).unionByName(wrong)
+    return materialize(files, "sitemaps")
 
 
 def limiter_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

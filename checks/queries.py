@@ -130,7 +130,7 @@ def page_meta_flags(spark: SparkSession, sf: str) -> DataFrame:
         H.platform(html).alias("platform"),
         H.has_geo(html).alias("geo"),
         H.has_faqpage_markup(html).alias("faqpage"),
-        *[H.found(html, p).alias(f"prop_{n}") for n, p in V.SCHEMA_PROPERTIES],
+        *[H.has_property(html, n).alias(f"prop_{n}") for n, _ in V.SCHEMA_PROPERTIES],
         H.has_mailto(html).alias("mailto"),
         H.has_tel(html).alias("tel"),
         H.has_canonical(html).alias("canonical"),

@@ -2,16 +2,22 @@
 
 Everything here is data, not logic. Patterns are Java regular expressions for
 ``rlike`` / ``regexp_*``; ``B`` is an ASCII word boundary, spelled with look-arounds
-because Java's own ``\\b`` is Unicode-aware.
+because Java's own ``\\b`` is Unicode-aware. Where only existence matters, ``B_BEFORE``
+consumes the character in front instead, which is much cheaper to try at every position.
 """
 
 # --- regex building blocks ------------------------------------------------------
 WORD = "[A-Za-z0-9_]"
 B_START = f"(?<!{WORD})"
 B_END = f"(?!{WORD})"
+B_BEFORE = "(?:^|[^A-Za-z0-9_])"
 # every character the web platform treats as white space
 WS_CHARS = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WS = f"[{WS_CHARS}]"
+# one range that covers all white space outside ASCII, to tell quickly that there is none
+WS_BEYOND_ASCII = r"[\x{A0}\x{1680}-\x{FEFF}]"
+# ASCII white space that is not a single blank already
+WS_ASCII_RUN = r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]"
 
 # --- crawl budgets ---------------------------------------------------------------
 SUMMARY_PAGE_CAP = 12
@@ -37,38 +43,38 @@ ASSET_PATH = r"(?i)\.(png|jpe?g|gif|webp|svg|css|js|pdf|zip|mp4|woff2?|ico)(\?|\
 LOW_VALUE_PATH = r"(?i)/(tag|category|author|feed)/"
 
 # --- HTML patterns ----------------------------------------------------------------
-SCRIPT_ELEMENT = r"(?i)<script[\s\S]*?</script>"
-STYLE_ELEMENT = r"(?i)<style[\s\S]*?</style>"
+SCRIPT_ELEMENT = r"(?is)<script.*?</script>"
+STYLE_ELEMENT = r"(?is)<style.*?</style>"
 ANY_TAG = r"<[^>]+>"
-TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title>"
-LD_JSON_BLOCK = r"(?i)<script[^>]*application/ld\+json[^>]*>([\s\S]*?)</script>"
-LD_JSON_MENTION = r"(?i)application/ld\+json"
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+LD_JSON_BLOCK = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
+LD_JSON_MENTION = "application/ld+json"
 TYPE_LITERAL_CI = r'(?i)"@type"\s*:\s*"([^"]+)"'
 META_DESCRIPTION = (
     r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["'][^"']{20,}"""
 )
 IMG_TAG = rf"(?i)<img{B_END}[^>]*>"
-ALT_ATTRIBUTE = rf"(?i){B_START}alt\s*="
+ALT_ATTRIBUTE = rf"(?i){B_BEFORE}alt\s*="
 VIEWPORT = r"""(?i)name=["']viewport["']"""
 OPEN_GRAPH = r"""(?i)property=["']og:"""
-BREADCRUMB = r"(?i)breadcrumb"
-COMMERCE_PLATFORM = (
-    r"(?i)woocommerce|cdn\.shopify|snipcart|bigcommerce|squarespace-commerce|ecwid"
-)
+BREADCRUMB = "breadcrumb"
+COMMERCE_PLATFORMS = [
+    "woocommerce", "cdn.shopify", "snipcart", "bigcommerce", "squarespace-commerce", "ecwid",
+]
 PRODUCT_TYPE = r'(?i)"@type"\s*:\s*"product"'
 ADD_TO_CART = r"(?i)add[-_ ]to[-_ ]cart"
 PRODUCT_LINK = r"(?i)/product/|/products/|/shop/[a-z0-9-]+"
 PRODUCT_LINK_CAP = 5
 STORE_EVIDENCE = 4
 RETAIL_WORDS = (
-    rf"(?i){B_START}(boutique|clothing|apparel|shop|store|gifts?|jewelry|goods"
+    rf"(?i){B_BEFORE}(boutique|clothing|apparel|shop|store|gifts?|jewelry|goods"
     rf"|merchandise|prints?|gallery|outfitter|supply){B_END}"
 )
 PLATFORMS = [
-    ("WordPress", r"(?i)wp-content"),
-    ("Shopify", r"(?i)cdn\.shopify"),
-    ("Wix", r"(?i)wix\.com|_wixcss"),
-    ("Squarespace", r"(?i)squarespace"),
+    ("WordPress", ["wp-content"]),
+    ("Shopify", ["cdn.shopify"]),
+    ("Wix", ["wix.com", "_wixcss"]),
+    ("Squarespace", ["squarespace"]),
 ]
 PLATFORM_UNKNOWN = "unknown"
 GEO = r'(?i)"geo"\s*:|GeoCoordinates'
@@ -82,7 +88,7 @@ SCHEMA_PROPERTIES = [
     ("sameAs", r'"sameAs"\s*:'),
 ]
 MENU_MARKUP = "menuMarkup"
-HEADING_2_TO_4 = r"(?i)<h[2-4][^>]*>([\s\S]*?)</h[2-4]>"
+HEADING_2_TO_4 = r"(?is)<h[2-4][^>]*>(.*?)</h[2-4]>"
 FORM_TAG = rf"(?i)<form{B_END}"
 FIELD_TAG = rf"(?i)<(input|textarea|select){B_END}"
 FORM_PAGE_FIELDS = 2
@@ -214,7 +220,7 @@ HEDGE_WORDS = [
     "appears", "seems", "could be", "check (that|whether|if)", "not verified",
 ]
 HEDGES = (
-    rf"(?i){B_START}("
+    rf"(?i){B_BEFORE}("
     + "|".join(w + (f"(?={WORD})" if w.endswith(" ") else B_END) for w in HEDGE_WORDS)
     + ")"
 )

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as V
-from .text import all_matches, choose, collapse_ws, count_matches, found, trim_ws
+from .text import (
+    all_matches, choose, collapse_ws, count_near, found_near, let, mentions, trim_ws,
+)
 
 
 def strip_to_text(html: Column) -> Column:
     text = F.regexp_replace(html, V.SCRIPT_ELEMENT, " ")
     text = F.regexp_replace(text, V.STYLE_ELEMENT, " ")
-    return collapse_ws(F.regexp_replace(text, V.ANY_TAG, " "))
+    return let(F.regexp_replace(text, V.ANY_TAG, " "), collapse_ws)
 
 
 def page_title(html: Column) -> Column:
@@ -19,7 +21,9 @@ def page_title(html: Column) -> Column:
 
 
 def ld_json_blocks(html: Column) -> Column:
-    return all_matches(html, V.LD_JSON_BLOCK, 1)
+    none = F.array().cast("array<string>")
+    blocks = all_matches(html, V.LD_JSON_BLOCK, 1)
+    return F.when(mentions(html, V.LD_JSON_MENTION), blocks).otherwise(none)
 
 
 def page_has_schema_block(html: Column) -> Column:
@@ -70,11 +74,13 @@ def schema_types_tree(html: Column) -> Column:
 
 def schema_types_regex(html: Column) -> Column:
     """Distinct scalar ``"@type":"X"`` anywhere in the page, in order of appearance."""
-    return F.array_distinct(all_matches(html, V.TYPE_LITERAL_CI, 1))
+    none = F.array().cast("array<string>")
+    names = all_matches(html, V.TYPE_LITERAL_CI, 1)
+    return F.when(mentions(html, '"@type"'), F.array_distinct(names)).otherwise(none)
 
 
 def has_schema_mention(html: Column) -> Column:
-    return found(html, V.LD_JSON_MENTION)
+    return mentions(html, V.LD_JSON_MENTION)
 
 
 def any_type(types: Column, pattern: str) -> Column:
@@ -90,56 +96,65 @@ def has_menu_type(types: Column) -> Column:
 
 
 def has_meta_description(html: Column) -> Column:
-    return found(html, V.META_DESCRIPTION)
+    return found_near(html, V.META_DESCRIPTION, "<meta")
 
 
 def img_count(html: Column) -> Column:
-    return count_matches(html, V.IMG_TAG)
+    return count_near(html, V.IMG_TAG, "<img")
 
 
 def img_with_alt(html: Column) -> Column:
-    return F.size(F.filter(all_matches(html, V.IMG_TAG, 0), lambda t: t.rlike(V.ALT_ATTRIBUTE)))
+    tags = F.filter(all_matches(html, V.IMG_TAG, 0), lambda t: t.rlike(V.ALT_ATTRIBUTE))
+    return F.when(mentions(html, "<img"), F.size(tags)).otherwise(F.lit(0))
 
 
 def has_viewport(html: Column) -> Column:
-    return found(html, V.VIEWPORT)
+    return found_near(html, V.VIEWPORT, "viewport")
 
 
 def has_og(html: Column) -> Column:
-    return found(html, V.OPEN_GRAPH)
+    return found_near(html, V.OPEN_GRAPH, "og:")
 
 
 def has_breadcrumb(html: Column) -> Column:
-    return found(html, V.BREADCRUMB)
+    return mentions(html, V.BREADCRUMB)
 
 
 def has_commerce_platform(html: Column) -> Column:
-    return found(html, V.COMMERCE_PLATFORM)
+    return mentions(html, *V.COMMERCE_PLATFORMS)
 
 
 def product_evidence(html: Column) -> Column:
-    links = F.least(count_matches(html, V.PRODUCT_LINK), F.lit(V.PRODUCT_LINK_CAP))
-    return count_matches(html, V.PRODUCT_TYPE) + count_matches(html, V.ADD_TO_CART) + links
+    links = F.least(
+        count_near(html, V.PRODUCT_LINK, "/product", "/shop/"), F.lit(V.PRODUCT_LINK_CAP)
+    )
+    types = count_near(html, V.PRODUCT_TYPE, '"product"')
+    return types + count_near(html, V.ADD_TO_CART, "cart") + links
 
 
 def retail_hint(html: Column) -> Column:
-    return found(html, V.RETAIL_WORDS)
+    return F.coalesce(html.rlike(V.RETAIL_WORDS), F.lit(False))
 
 
 def platform(html: Column) -> Column:
-    return choose([(found(html, p), name) for name, p in V.PLATFORMS], V.PLATFORM_UNKNOWN)
+    return choose([(mentions(html, *words), name) for name, words in V.PLATFORMS], V.PLATFORM_UNKNOWN)
 
 
 def has_geo(html: Column) -> Column:
-    return found(html, V.GEO)
+    return found_near(html, V.GEO, '"geo"', "geocoordinates")
 
 
 def has_faqpage_markup(html: Column) -> Column:
-    return found(html, V.FAQ_PAGE_MARKUP)
+    return found_near(html, V.FAQ_PAGE_MARKUP, "faqpage")
+
+
+def has_property(html: Column, name: str) -> Column:
+    """Whether the page's markup holds a property from the fixed list, by its pattern."""
+    return found_near(html, dict(V.SCHEMA_PROPERTIES)[name], name.lower())
 
 
 def schema_props(html: Column) -> Column:
-    return F.struct(*[found(html, p).alias(name) for name, p in V.SCHEMA_PROPERTIES])
+    return F.struct(*[has_property(html, n).alias(n) for n, _ in V.SCHEMA_PROPERTIES])
 
 
 def question_heading_count(html: Column) -> Column:
@@ -147,35 +162,36 @@ def question_heading_count(html: Column) -> Column:
         return collapse_ws(F.regexp_replace(heading, V.ANY_TAG, " "))
 
     headings = all_matches(html, V.HEADING_2_TO_4, 1)
-    return F.size(F.filter(headings, lambda h: text(h).endswith("?")))
+    questions = F.size(F.filter(headings, lambda h: text(h).endswith("?")))
+    return F.when(mentions(html, "<h2", "<h3", "<h4"), questions).otherwise(F.lit(0))
 
 
 def form_count(html: Column) -> Column:
-    return count_matches(html, V.FORM_TAG)
+    return count_near(html, V.FORM_TAG, "<form")
 
 
 def field_count(html: Column) -> Column:
-    return count_matches(html, V.FIELD_TAG)
+    return count_near(html, V.FIELD_TAG, "<input", "<textarea", "<select")
 
 
 def is_form_page(html: Column) -> Column:
-    return found(html, V.FORM_TAG) & (field_count(html) >= V.FORM_PAGE_FIELDS)
+    return found_near(html, V.FORM_TAG, "<form") & (field_count(html) >= V.FORM_PAGE_FIELDS)
 
 
 def has_mailto(html: Column) -> Column:
-    return found(html, V.MAILTO)
+    return found_near(html, V.MAILTO, "mailto:")
 
 
 def has_tel(html: Column) -> Column:
-    return found(html, V.TEL)
+    return found_near(html, V.TEL, "tel:")
 
 
 def has_canonical(html: Column) -> Column:
-    return found(html, V.CANONICAL)
+    return found_near(html, V.CANONICAL, "canonical")
 
 
 def has_noindex(html: Column) -> Column:
-    return found(html, V.NOINDEX)
+    return found_near(html, V.NOINDEX, "noindex")
 
 
 def newest_year(text: Column) -> Column:

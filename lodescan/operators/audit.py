@@ -4,29 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import fixed_values as V
 from ..functions import scoring as S
-from ..sources.tables import tier_definitions, tier_phases
+from ..sources.tables import tier_definitions
 
 
 def tier_quotes(spark: SparkSession) -> DataFrame:
     """Quote of every tier: four rows. Enterprise sites get no number."""
-    phases = tier_phases(spark)
-    typical = tier_definitions(spark).select("tier", F.explode("typical").alias("phase"))
-    totals = (
-        phases.join(typical, ["tier", "phase"], "left_semi")
-        .groupBy("tier")
-        .agg(F.sum("price").cast("int").alias("quote_total"))
-    )
-    listed = phases.groupBy("tier").agg(
-        F.array_sort(F.collect_list(F.struct("phase_no", "phase", "price", "what", "who"))).alias("phases"),
-        F.min_by("price", "phase_no").alias("first_price"),
-    )
-    return (
-        tier_definitions(spark)
-        .withColumnRenamed("name", "quote_name")
-        .join(listed, "tier", "left")
-        .join(totals, "tier", "left")
+    typical = F.filter("phases", lambda p: F.array_contains(F.col("typical"), p["phase"]))
+    total = F.aggregate(typical, F.lit(0), lambda sum_so_far, p: sum_so_far + p["price"])
+    return tier_definitions(spark).withColumns(
+        {"quote_total": total, "first_price": F.get("phases", F.lit(0))["price"]}
     )
 
 

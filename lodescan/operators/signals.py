@@ -61,7 +61,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
         H.ld_json_blocks(html).alias("blocks"),
         H.strip_to_text(html).alias("text"),
     )
-    props = [H.found(html, p).alias(f"prop_{n}") for n, p in V.SCHEMA_PROPERTIES]
+    props = [H.has_property(html, n).alias(f"prop_{n}") for n, _ in V.SCHEMA_PROPERTIES]
     return staged.select(
         *keep,
         path_or_root(F.col("url")).alias("path"),

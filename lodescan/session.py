@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # JSON-LD in the wild repeats keys; without this such a block counts as invalid
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # no stack trace per column call: the signal plans hold hundreds of them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -8,6 +8,7 @@ from .. import fixed_values as V
 from ..functions.html import sitemap_locs
 from ..functions.text import choose, found
 from ..functions.urls import Url, is_asset, is_low_value_path
+from ..session import materialize
 
 
 def sitemap_files(sitemaps: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def read_children(files: DataFrame, children: DataFrame) -> DataFrame:
 
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     """(origin, file_no, pos, loc): every address the sitemap of an origin contributes."""
-    files = sitemap_files(sitemaps)
+    files = materialize(sitemap_files(sitemaps), "sitemap-files")  # the text is read once
     chosen = choose_sitemaps(files)
     direct = chosen.filter(~F.col("is_index")).select(
         "origin", F.lit(0).alias("file_no"), F.posexplode("locs").alias("pos", "loc")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V
@@ -21,8 +23,20 @@ def usable_pages(pages: DataFrame) -> DataFrame:
     return usable
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table stored in fewer pieces than there are cores out to all of them.
+
+    Parsing html is the costly step, so a small table is worth one shuffle first. A table
+    of many pieces, as any large one, is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return usable_pages(spark.read.parquet(path))
+    return usable_pages(spread_small(spark.read.parquet(path), "page_id"))
 
 
 def page_index(pages: DataFrame) -> DataFrame:
@@ -37,18 +51,31 @@ def page_index(pages: DataFrame) -> DataFrame:
     )
 
 
+TIER_SCHEMA = (
+    "array<struct<tier:string,quote_name:string,enterprise:boolean,typical:array<string>,"
+    "photo:string,description:string,"
+    "phases:array<struct<phase:string,price:int,what:string,who:string>>>>"
+)
+
+
 def tier_definitions(spark: SparkSession) -> DataFrame:
-    """One row per size tier: a constant of four rows."""
-    return spark.createDataFrame(
-        V.TIERS,
-        "tier string, name string, enterprise boolean, typical array<string>, "
-        "photo string, description string",
-    )
+    """One row per size tier with its phases: a constant of four rows."""
+    rows = [
+        {
+            "tier": tier, "quote_name": name, "enterprise": enterprise, "typical": typical,
+            "photo": photo, "description": description,
+            "phases": [
+                {"phase": phase, "price": price, "what": what, "who": who}
+                for owner, phase, price, what, who in V.PHASES
+                if owner == tier
+            ]
+            or None,
+        }
+        for tier, name, enterprise, typical, photo, description in V.TIERS
+    ]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), TIER_SCHEMA)))
 
 
 def tier_phases(spark: SparkSession) -> DataFrame:
     """One row per tier and phase: a constant of eight rows."""
-    rows = [(p[0], i, *p[1:]) for i, p in enumerate(V.PHASES)]
-    return spark.createDataFrame(
-        rows, "tier string, phase_no int, phase string, price int, what string, who string"
-    )
+    return tier_definitions(spark).select("tier", F.inline("phases"))
