@@ -176,7 +176,7 @@ def derive(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread_small(table(spark, sf_dir, "pages"), "page_id")
-    return usable_pages(spark.sql(SITE_PAGES, pages=pages))
+    return spark.sql(SITE_PAGES, pages=usable_pages(pages))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
