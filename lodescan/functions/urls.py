@@ -85,9 +85,12 @@ class Url:
     def __init__(self, text: Column) -> None:
         self.raw = text
         self._text = _tidy(text)
+        self._parts: dict[int, Column] = {}
 
     def _part(self, group: int) -> Column:
-        return F.regexp_extract(self._text, PARTS, group)
+        if group not in self._parts:
+            self._parts[group] = F.regexp_extract(self._text, PARTS, group)
+        return self._parts[group]
 
     def _if_valid(self, value: Column) -> Column:
         return F.when(self.is_valid, value)

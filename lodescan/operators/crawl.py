@@ -24,7 +24,9 @@ from .grouping import first_per_key, top_per_group
 
 
 def page_links(pages: DataFrame, per_page: int | None = V.SUMMARY_LINKS_PER_PAGE) -> DataFrame:
-    """(page_id, pos, href): links of each page in document order, made absolute; map-only.
+    """(page_id, site_key, pos, href): links of each page in document order; map-only.
+
+    ``href`` is absolute, ``site_key`` the site of the page itself.
 
     Links that cannot be resolved are dropped before the per-page budget is applied.
     ``Url(href)`` gives the parts of a link.
@@ -32,6 +34,7 @@ def page_links(pages: DataFrame, per_page: int | None = V.SUMMARY_LINKS_PER_PAGE
     url = Url(F.col("url"))
     staged = pages.select(
         "page_id",
+        url.site.alias("site_key"),
         url.scheme.alias("scheme"),
         url.origin.alias("origin"),
         url.path.alias("path"),
@@ -43,13 +46,17 @@ def page_links(pages: DataFrame, per_page: int | None = V.SUMMARY_LINKS_PER_PAGE
     usable = F.filter(absolute, lambda a: ~a.rlike(HTTP_SCHEME) | Url(a).is_valid)
     if per_page is not None:
         usable = F.slice(usable, 1, per_page)
-    return staged.select("page_id", F.posexplode(usable).alias("pos", "href"))
+    return staged.select("page_id", "site_key", F.posexplode(usable).alias("pos", "href"))
 
 
 def crawlable_links(links: DataFrame) -> DataFrame:
-    """(page_id, pos, link_origin, page_key): web links that lead to no asset."""
+    """(page_id, pos, link_origin, page_key): links inside the page's site, assets aside.
+
+    A crawl follows its root's origin only, so links that leave the site can go before
+    the join with the stored pages.
+    """
     url = Url(F.col("href"))
-    return links.filter(url.is_valid & ~is_asset(url.path)).select(
+    return links.filter((url.site == F.col("site_key")) & ~is_asset(url.path)).select(
         "page_id", "pos", url.origin.alias("link_origin"), url.key.alias("page_key")
     )
 

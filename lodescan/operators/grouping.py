@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 # rows of one group that a single task may number at a time
 NUMBERING_BLOCK = 100_000
 # a key table is broadcast only when it was counted and holds no more rows than this
@@ -59,6 +61,7 @@ def number_within(
 
 
 def hint_if_small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint for a stored key table, only after counting it."""
-    small = keys.limit(limit + 1).count() <= limit
-    return (F.broadcast(keys) if small else keys), small
+    """Store a key table, count it, and hint a broadcast only if it is within ``limit``."""
+    stored = materialize(keys, "keys")
+    small = stored.count() <= limit
+    return (F.broadcast(stored) if small else stored), small

@@ -32,7 +32,10 @@ CHUNK_ROWS = 1_000_000
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a timestamp or a zone-less timestamp read as UTC."""
+    """Microseconds since 1970 of a zone-less timestamp that holds UTC.
+
+    For an instant (``TIMESTAMP``) use ``unix_micros``.
+    """
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 

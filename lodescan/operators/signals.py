@@ -45,9 +45,12 @@ def page_facts(pages: DataFrame, text_chars: int = V.DEEP_PAGE_CHARS) -> DataFra
 
 
 def single_page(pages: DataFrame, url: str) -> DataFrame:
-    """The page behind one address, by page key; the filter runs before any html work."""
-    key = page_key(F.lit(url))
-    wanted = pages.filter(page_key(F.col("url")) == key)
+    """The page behind one address, by page key; the filter runs before any html work.
+
+    A stored ``page_key`` column lets the scan itself skip other pages.
+    """
+    stored = "page_key" in pages.columns
+    wanted = pages.filter((F.col("page_key") if stored else page_key(F.col("url"))) == page_key(F.lit(url)))
     return wanted.orderBy("page_id").limit(1)
 
 
