@@ -15,11 +15,13 @@ from pyspark.sql import Column, functions as F
 from ..fixed_values import ASSET_PATH, LOW_VALUE_PATH
 from .text import choose, found, let, trim_ws
 
+# digits up to 65535, or none
+PORT = "0*(?:6553[0-5]|655[0-2][0-9]|65[0-4][0-9]{2}|6[0-4][0-9]{3}|[1-5][0-9]{4}|[0-9]{1,4})|"
 PARTS = (
     r"(?i)^(https?):[/\\]+"  # 1 scheme
     r"([^/\\?#]*@)?"  # 2 user info
     r"([^/\\?#:@\[\]<>^|%\x00-\x20]+|\[[0-9a-f:.]+\])"  # 3 host
-    r"(?::([0-9]*))?"  # 4 port
+    rf"(?::({PORT}))?"  # 4 port
     r"([/\\][^?#]*)?"  # 5 path
     r"(\?[^#]*)?"  # 6 query
     r"(#[\s\S]*)?\z"  # 7 fragment
@@ -97,9 +99,7 @@ class Url:
 
     @cached_property
     def is_valid(self) -> Column:
-        port = self._part(4)
-        port_ok = F.coalesce(port.try_cast("bigint") <= 65535, port == "")
-        return (self._part(3) != "") & port_ok
+        return self._part(3) != ""
 
     @cached_property
     def scheme(self) -> Column:
@@ -155,9 +155,13 @@ class Url:
     @cached_property
     def key(self) -> Column:
         """Site plus lower-cased path without trailing slashes; the raw text if invalid."""
-        path = F.lower(F.regexp_replace(self.path, r"/+\z", ""))
-        path = F.when(path == "", F.lit("/")).otherwise(path)
-        return F.coalesce(F.concat(self.site, path), self.raw)
+        return F.coalesce(key_of(self.site, self.path), self.raw)
+
+
+def key_of(site: Column, path: Column) -> Column:
+    """Page key of an address whose site and path are known."""
+    bare = F.lower(F.regexp_replace(path, r"/+\z", ""))
+    return F.concat(site, F.when(bare == "", F.lit("/")).otherwise(bare))
 
 
 def normalize_url(text: Column) -> Column:
@@ -201,26 +205,41 @@ def safe_host(url: Column) -> Column:
     return F.coalesce(Url(url).authority, url)
 
 
-def join_reference(href: Column, base: Url) -> Column:
-    """Absolute text for a link found on ``base``; feed it to ``Url`` to tidy it."""
+# a link that names its own host: scheme with slashes, or two slashes
+OWN_HOST = r"(?i)^[\x00-\x20]*(https?:[\t\n\r]*)?[/\\][\t\n\r]*[/\\]"
+OWN_SCHEME = r"(?i)^[\x00-\x20]*[a-z][a-z0-9+.\-]*:"
+
+
+def is_resolvable(href: Column, has_base: Column) -> Column:
+    """Whether a link leads anywhere: only a bad host, or a bad page address, can prevent it."""
+    host_and_rest = F.regexp_replace(_tidy(href), r"(?i)^(https?:)?[/\\]+", "https://")
+    return F.when(href.rlike(OWN_HOST), Url(host_and_rest).is_valid).otherwise(
+        has_base | href.rlike(OWN_SCHEME)
+    )
+
+
+def link_text(href: Column, base: Url) -> Column:
+    """The link without stray characters, and without a scheme that only repeats the base's."""
     link = _tidy(href)
-    same_scheme = F.lower(F.regexp_extract(link, "(?i)^(https?):", 1)) == base.scheme
-    relative = F.when(
-        same_scheme & ~link.rlike(r"(?i)^https?:[/\\]"),
-        F.regexp_replace(link, HTTP_SCHEME, ""),
-    ).otherwise(link)
+    repeats = link.rlike(r"(?i)^https?:(?![/\\])") & (
+        F.lower(F.regexp_extract(link, "(?i)^(https?):", 1)) == base.scheme
+    )
+    return F.when(repeats, F.regexp_replace(link, HTTP_SCHEME, "")).otherwise(link)
+
+
+def absolute_link(link: Column, base: Url) -> Column:
+    """Absolute form of a ``link_text``; feed it to ``Url`` for its parts."""
     folder = F.regexp_extract(base.path, "^.*/", 0)
     return choose(
         [
-            (relative.rlike(r"(?i)^https?:[^/\\]"),
-             F.regexp_replace(relative, HTTP_SCHEME, "$0//")),
-            (relative.rlike(ANY_SCHEME), relative),
-            (relative.rlike(r"^[/\\]{2}"), F.concat(base.scheme, F.lit(":"), relative)),
-            (relative.rlike(r"^[/\\]"), F.concat(base.origin, relative)),
-            (relative.startswith("?"), F.concat(base.origin, base.path, relative)),
-            (relative == "", F.concat(base.origin, base.path, base.query)),
+            (link.rlike(r"(?i)^https?:[^/\\]"), F.regexp_replace(link, HTTP_SCHEME, "$0//")),
+            (link.rlike(ANY_SCHEME), link),
+            (link.rlike(r"^[/\\]{2}"), F.concat(base.scheme, F.lit(":"), link)),
+            (link.rlike(r"^[/\\]"), F.concat(base.origin, link)),
+            (link.startswith("?"), F.concat(base.origin, base.path, link)),
+            (link == "", F.concat(base.origin, base.path, base.query)),
         ],
-        F.concat(base.origin, folder, relative),
+        F.concat(base.origin, folder, link),
     )
 
 
@@ -229,7 +248,8 @@ def resolve_link(href: Column, base: Column) -> Column:
 
     Other schemes (mail, phone, script) resolve to themselves, as in a browser.
     """
-    absolute = join_reference(href, Url(base))
+    page = Url(base)
+    absolute = let(link_text(href, page), lambda link: absolute_link(link, page))
     return let(
         absolute, lambda a: F.when(a.rlike(HTTP_SCHEME), Url(a).href).otherwise(a)
     )

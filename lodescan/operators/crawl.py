@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import fixed_values as V
 from ..functions import html as H
-from ..functions.urls import Url, HTTP_SCHEME, is_asset, join_reference
+from ..functions.urls import Url, absolute_link, is_asset, is_resolvable, key_of, link_text
 from ..session import materialize
-from .grouping import first_per_key, top_per_group
+from .grouping import compute_once, first_per_key, top_per_group
 
 
 def page_links(pages: DataFrame, per_page: int | None = V.SUMMARY_LINKS_PER_PAGE) -> DataFrame:
@@ -41,12 +41,15 @@ def page_links(pages: DataFrame, per_page: int | None = V.SUMMARY_LINKS_PER_PAGE
         url.query.alias("query"),
         H.link_hrefs(F.col("html")).alias("hrefs"),
     )
-    base = SimpleNamespace(**{c: F.col(c) for c in ("scheme", "origin", "path", "query")})
-    absolute = F.transform("hrefs", lambda h: join_reference(h, base))
-    usable = F.filter(absolute, lambda a: ~a.rlike(HTTP_SCHEME) | Url(a).is_valid)
+    # only the cheap check runs on the array; the rest is compiled code over exploded rows
+    usable = F.filter("hrefs", lambda h: is_resolvable(h, F.col("origin").isNotNull()))
     if per_page is not None:
         usable = F.slice(usable, 1, per_page)
-    return staged.select("page_id", "site_key", F.posexplode(usable).alias("pos", "href"))
+    base = SimpleNamespace(**{c: F.col(c) for c in ("scheme", "origin", "path", "query")})
+    ids, parts = ["page_id", "site_key"], list(vars(base))
+    found = staged.select(*ids, *parts, F.posexplode(usable).alias("pos", "raw"))
+    tidy = compute_once(found, *ids, "pos", *parts, link=link_text(F.col("raw"), base))
+    return compute_once(tidy, *ids, "pos", href=absolute_link(F.col("link"), base))
 
 
 def crawlable_links(links: DataFrame) -> DataFrame:
@@ -56,8 +59,12 @@ def crawlable_links(links: DataFrame) -> DataFrame:
     the join with the stored pages.
     """
     url = Url(F.col("href"))
-    return links.filter((url.site == F.col("site_key")) & ~is_asset(url.path)).select(
-        "page_id", "pos", url.origin.alias("link_origin"), url.key.alias("page_key")
+    inside = compute_once(
+        links.filter(url.site == F.col("site_key")),
+        "page_id", "site_key", "pos", link_origin=url.origin, path=url.path,
+    )
+    return inside.filter(~is_asset(F.col("path"))).select(
+        "page_id", "pos", "link_origin", key_of(F.col("site_key"), F.col("path")).alias("page_key")
     )
 
 

@@ -12,6 +12,16 @@ NUMBERING_BLOCK = 100_000
 BROADCAST_ROWS = 500_000
 
 
+def compute_once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """Select ``keep`` and the computed columns, each evaluated once per row.
+
+    A plain projection is copied into every later filter and projection that uses it, and
+    long expressions multiply. A one-row generator stops that and stays compiled code.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Keep the first row of every key, by a partial aggregate instead of a sort."""
     rest = [c for c in df.columns if c not in keys]
