@@ -47,7 +47,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lodescan/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with files that outlive a lost executor, and gives the planner the
@@ -55,5 +55,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
