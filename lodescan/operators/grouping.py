@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
@@ -50,9 +53,9 @@ def number_within(
 
     The id range is cut into blocks, so that a group of any size is numbered by many
     tasks: rows per block are counted first, and each block starts where the counts of the
-    earlier blocks end.
+    earlier blocks end. Null is a group like any other.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(unique_id) / block))
+    blocked = df.withColumn("_block", F.expr(f"`{unique_id}` div {block}"))
     earlier = Window.partitionBy(*groups).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -60,13 +63,15 @@ def number_within(
         blocked.groupBy(*groups, "_block")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
     )
-    inside = Window.partitionBy(*groups, "_block").orderBy(unique_id)
+    keys = [*groups, "_block"]
+    renamed = starts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_start")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    inside = Window.partitionBy(*keys).orderBy(unique_id)
     return (
-        blocked.join(starts, [*groups, "_block"])
+        blocked.join(renamed, reduce(and_, same))
         .withColumn(number, F.col("_start") + F.row_number().over(inside))
-        .drop("_block", "_start")
+        .drop("_block", "_start", *[f"_of_{k}" for k in keys])
     )
 
 
