@@ -141,7 +141,7 @@ def _resolve(entries: DataFrame, limit: int) -> DataFrame:
     waiting = entries.withColumn("bucket", F.pmod("hash", F.lit(parts)))
     fitting: list[DataFrame] = []
     merged: list[DataFrame] = []
-    level = 0
+    level, last = 0, 0
     while True:
         sizes = materialize(
             waiting.groupBy("bucket").agg(
@@ -185,7 +185,7 @@ def _resolve(entries: DataFrame, limit: int) -> DataFrame:
         "dedup-roots",
     )
     for links in reversed(merged):
-        upper = roots.withColumnsRenamed({"entry": "root", "root": "upper"})
+        upper = roots.select(F.col("entry").alias("root"), F.col("root").alias("upper"))
         roots = roots.unionByName(
             links.join(upper, "root").select("entry", F.col("upper").alias("root"))
         )

@@ -156,11 +156,13 @@ def simhash_components(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names their component, with their own columns.
 
-    A component without any id keeps its rows.
+    Rows without an id can't be told apart and stay; so do all rows with an id that names one.
     """
     found = simhash_components(docs, id_col, text_col)
     stay = (
-        found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        found.filter(F.col("doc_id") == F.col("component_id"))
         .select(F.col("doc_id").alias("_stay_id")).distinct()
     )
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")), "left_semi")
+    return docs.join(stay, F.col(id_col) == F.col("_stay_id"), "left_semi").unionByName(
+        docs.filter(F.col(id_col).isNull())
+    )
