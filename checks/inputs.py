@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodescan.operators.crawl import page_links
-from lodescan.operators.grouping import number_within, top_per_group
+from lodescan.operators.grouping import number_within
 from lodescan.session import materialize
-from lodescan.sources.tables import page_index, spread_small, usable_pages
+from lodescan.sources.tables import page_index, usable_pages
 
 HOST = "regexp_extract(url, '^https?://(www[.])?([^/:?#]+)', 2)"
 # a number per site that both engines compute alike
@@ -22,8 +21,8 @@ SITE_NO = (
     " + ascii(substr(host, 7, 1)) * 3 + ascii(substr(host, 8, 1)))"
 )
 SITEMAP_PAGES_PER_FILE = 8
-SITEMAP_FILE_LIMIT = 50_000  # the sitemap protocol's limit of entries per file
-LINKS_PER_PAGE = 80
+# a larger site has an index over several files, as the sitemap protocol asks
+SITEMAP_PLAIN_PAGES = 50_000
 
 SITE_PAGES = f"""
 WITH base AS (SELECT page_id, url, html, {HOST} AS host FROM {{pages}}),
@@ -47,6 +46,7 @@ SELECT page_id, url, concat(
          ELSE '' END,
     CASE WHEN page_id % 3 = 0 THEN '<SCRIPT type="application/ld+json">{{{{"@type" : "FAQPage","mainEntity":[{{{{"@type":"Question","name":"q"}}}}]}}}}</SCRIPT>' ELSE '' END,
     CASE WHEN page_id % 10 = 6 THEN '<script type="application/ld+json">{{{{"@type":"Product","name":"p","openingHours":"Mo"}}}}</script>' ELSE '' END,
+    CASE WHEN page_id % 13 = 7 THEN '<script type="application/ld+json">{{{{"@type":["Odd]x","Plain"],"about":{{{{"@type":"First","name":"n","@type":"Last"}}}}}}}}</script>' ELSE '' END,
     CASE WHEN s % 6 = 1 THEN '<link href="/wp-content/t.css">' WHEN s % 6 = 2 THEN '<script src="https://cdn.shopify.com/a.js"></script>' WHEN s % 6 = 3 THEN '<img src="https://static.wix.com/x.png">' WHEN s % 6 = 4 THEN '<meta name="generator" content="Squarespace">' ELSE '' END,
     '</head>')),
   CASE WHEN page_id % 3 = 1 THEN '<img src="a.png" alt=""><IMG src="b.png" alt="b"><imgx alt="">' WHEN page_id % 3 = 2 THEN '<img src="a.png" data-alt><img src="b.png" alt = "b">' ELSE '' END,
@@ -64,8 +64,14 @@ SELECT page_id, url, concat(
 FROM n
 """
 
+# the whole title as the inside of a JSON string
+TITLE = (
+    "replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), chr(92), concat(chr(92), chr(92))),"
+    " '\"', concat(chr(92), '\"')), chr(10), concat(chr(92), 'n'))"
+)
+
 RESPONSES = """
-WITH p AS (SELECT page_id, regexp_extract(html, '<title>([A-Za-z ]*)', 1) AS t FROM {pages}),
+WITH p AS (SELECT page_id, TITLE_TEXT AS t FROM {pages}),
 f AS (SELECT page_id, concat(
   '"findings":[{{"priority":"high","title":"', t, ' heading","rec":"',
   CASE page_id % 7 WHEN 0 THEN 'Confirm the phone number' WHEN 1 THEN 'It may help to add hours' WHEN 2 THEN 'A maybe is no may.'
@@ -82,20 +88,20 @@ SELECT page_id, CASE page_id % 8
   WHEN 6 THEN concat('{{"role":"Trailing",', findings, '}} done')
   ELSE CAST(NULL AS STRING) END AS text
 FROM f
-"""
+""".replace("TITLE_TEXT", TITLE)
 
 REPORTS = """
-WITH p AS (SELECT page_id, regexp_extract(html, '<title>([A-Za-z ]*)', 1) AS t FROM {pages})
+WITH p AS (SELECT page_id, TITLE_TEXT AS t FROM {pages})
 SELECT page_id, CASE page_id % 4
   WHEN 0 THEN concat('```json', chr(10), '{{"summary":"Verdict on ', t, '","voice":"Dry.","surfaces":{{"organic":"o","answer":"a","local":"l"}},"findings":[{{"priority":"high","title":"Likely thin","rec":"Write more"}}]}}', chr(10), '```')
   WHEN 1 THEN concat('{{"summary":"Short ', t, '","findings":[{{"priority":"high","title":"No markup","rec":"Add it"}}]}}')
   WHEN 2 THEN '{{"summary":'
   ELSE CAST(NULL AS STRING) END AS text
 FROM p
-"""
+""".replace("TITLE_TEXT", TITLE)
 
 PANELS = """
-WITH p AS (SELECT page_id, regexp_extract(html, '<title>([A-Za-z ]*)', 1) AS t FROM {pages}),
+WITH p AS (SELECT page_id, TITLE_TEXT AS t FROM {pages}),
 r AS (SELECT page_id, concat('{{"name":"Reader with a rather long name ', t, '","role":"', repeat('role ', 12), '","comment":"', repeat(concat(t, '. '), 40), '"}}') AS reader FROM p)
 SELECT page_id, CASE page_id % 4
   WHEN 0 THEN concat('{{"panel":[', repeat(concat(reader, ','), 6), '{{"name":"Seventh","role":"r","comment":"c"}}]}}')
@@ -103,7 +109,7 @@ SELECT page_id, CASE page_id % 4
   WHEN 2 THEN concat('{{"panel":[', reader)
   ELSE concat('```json', chr(10), '{{"panel":[', reader, ',{{"role":"No name","comment":null}}]}}', chr(10), '```') END AS text
 FROM r
-"""
+""".replace("TITLE_TEXT", TITLE)
 
 SPEED = """
 SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'error' ELSE 'ok' END AS status,
@@ -175,8 +181,9 @@ def derive(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread_small(table(spark, sf_dir, "pages"), "page_id")
-    return spark.sql(SITE_PAGES, pages=usable_pages(pages))
+    # some of the pages repeat a key in their JSON-LD, which is no error to a browser
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return spark.sql(SITE_PAGES, pages=usable_pages(table(spark, sf_dir, "pages")))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +221,7 @@ def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def navigation(numbered: DataFrame) -> DataFrame:
-    """Menu fragment per page, linking page n of a site to its pages 2n and 2n+1."""
+    """(page_id, menu): menu fragment per page, linking page n of a site to its pages 2n and 2n+1."""
     child = numbered.select(
         "site_key",
         F.floor(F.col("page_no") / 2).alias("page_no"),
@@ -232,27 +239,32 @@ def navigation(numbered: DataFrame) -> DataFrame:
             )
         )
 
-    menus = linked.groupBy("page_id", "url").agg(anchor(0).alias("first"), anchor(1).alias("second"))
+    menus = linked.groupBy("page_id").agg(anchor(0).alias("first"), anchor(1).alias("second"))
     return menus.select(
-        "page_id", "url", F.concat(F.coalesce("first", F.lit("")), F.coalesce("second", F.lit(""))).alias("html")
+        "page_id", F.concat(F.coalesce("first", F.lit("")), F.coalesce("second", F.lit(""))).alias("menu")
     )
 
 
-def all_links(spark: SparkSession, sf_dir: str, numbered: DataFrame, per_page: int | None) -> DataFrame:
-    """Links of the pages followed by those of their menus, under one budget per page."""
-    own = page_links(site_pages(spark, sf_dir), None)
-    menu = page_links(navigation(numbered), None).withColumn("pos", F.col("pos") + 1_000_000)
-    links = own.unionByName(menu)
-    if per_page is None:
-        return links
-    return top_per_group(links, ["page_id"], [F.col("pos")], per_page, "nth").drop("nth")
+def linked_pages(spark: SparkSession, sf_dir: str, numbered: DataFrame) -> DataFrame:
+    """Site pages with their menu at the end, stored as a crawler's page table would be."""
+    menus = navigation(numbered).withColumnRenamed("page_id", "menu_page")
+    pages = site_pages(spark, sf_dir)
+    html = F.concat("html", F.coalesce("menu", F.lit("")))
+    linked = pages.join(menus, F.col("page_id") == F.col("menu_page"), "left")
+    return materialize(linked.select("page_id", "url", html.alias("html")), "linked-pages")
 
 
 def sitemaps(numbered: DataFrame) -> DataFrame:
-    """Sitemap files of every site, at most a protocol-sized list in each."""
+    """Sitemap files of every site; every page of a site with sitemaps is in one of them.
+
+    One file is one row, so its list is put together in one; sites past
+    ``SITEMAP_PLAIN_PAGES`` pages have files of eight pages under an index.
+    """
+    sizes = numbered.groupBy("site_key").agg(F.count("*").alias("n_pages"))
     roots = numbered.filter("page_no = 1").select(
         "site_key", "origin", F.expr(SITE_NO.replace("host", "site_key")).alias("s")
-    )
+    ).join(sizes, "site_key")
+    indexed = (F.col("s") % 4 < 2) | ((F.col("s") % 4 == 2) & (F.col("n_pages") > SITEMAP_PLAIN_PAGES))
     chunk = F.floor((F.col("page_no") - 1) / SITEMAP_PAGES_PER_FILE)
     kind = F.element_at(F.array(*map(F.lit, ["misc", "post", "page", "product"])), (F.col("chunk") % 4 + 1).cast("int"))
     file_name = F.concat(F.lit("/sitemap-"), kind, F.lit("-"), F.col("chunk").cast("string"), F.lit(".xml"))
@@ -269,15 +281,14 @@ def sitemaps(numbered: DataFrame) -> DataFrame:
         .groupBy("site_key", "chunk")
         .agg(ordered("page_no", loc).alias("locs"))
     )
-    files = chunks.join(roots, "site_key").filter("s % 4 < 2")
+    files = chunks.join(roots, "site_key").filter(indexed)
     children = files.select(
         "origin", file_name.alias("path"),
         F.concat(F.lit("<?xml version='1.0'?><URLSET>"), "locs", F.lit(extras + "</URLSET>")).alias("xml"),
     )
     child_loc = F.concat(F.lit("<sitemap><loc>"), "origin", file_name, F.lit("</loc></sitemap>"))
     index = (
-        files.filter(F.col("chunk") < SITEMAP_FILE_LIMIT)
-        .groupBy("origin", "s")
+        files.groupBy("origin", "s")
         .agg(ordered("chunk", child_loc).alias("locs"))
         .select(
             "origin",
@@ -289,9 +300,7 @@ def sitemaps(numbered: DataFrame) -> DataFrame:
         )
     )
     plain = (
-        numbered.filter(F.col("page_no") <= SITEMAP_FILE_LIMIT)
-        .join(roots.drop("origin"), "site_key")
-        .filter("s % 4 = 2")
+        numbered.join(roots.filter((F.col("s") % 4 == 2) & ~indexed).select("site_key"), "site_key")
         .groupBy("site_key")
         .agg(ordered("page_no", loc).alias("locs"))
         .join(roots, "site_key")

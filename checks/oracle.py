@@ -134,19 +134,19 @@ def distinct(a: str) -> str:
 
 # every @type of the valid blocks: scalars, and elements of arrays
 TYPE_ROWS = f"""blocks AS (
-  SELECT page_id, trim(b) AS b FROM (SELECT page_id, unnest({matches('html', LD, 1)}) AS b FROM site_pages)
-), valid AS MATERIALIZED (SELECT page_id, CAST(b AS JSON) AS j FROM blocks WHERE CASE WHEN json_valid(b) THEN true ELSE false END),
-nodes AS (SELECT page_id, t.key AS k, t.type AS ty, t.atom AS atom, t.path AS p FROM valid, json_tree(valid.j) AS t),
+  SELECT page_id, n, trim(b) AS b FROM (SELECT page_id, unnest({matches('html', LD, 1)}) AS b, unnest(range(len({matches('html', LD, 1)}))) AS n FROM site_pages)
+), valid AS MATERIALIZED (SELECT page_id, n, CAST(b AS JSON) AS j FROM blocks WHERE CASE WHEN json_valid(b) THEN true ELSE false END),
+nodes AS (
+  SELECT page_id, t.key AS k, t.type AS ty, t.atom AS atom, t.path AS p FROM valid, json_tree(valid.j) AS t
+  QUALIFY t.key IS NULL OR t.id = max(t.id) OVER (PARTITION BY page_id, n, t.parent, t.key)
+),
 type_rows AS (
   SELECT DISTINCT page_id, json_extract_string(atom, '$') AS ty FROM nodes
   WHERE ty = 'VARCHAR' AND ((k = '@type' AND json_extract_string(atom, '$') <> '') OR ends_with(p, '"@type"'))
 )"""
 
-SIGNALS = f"""crawl AS (
-  SELECT * FROM (SELECT page_id, {site('url')} AS site_key, {origin('url')} AS origin,
-    row_number() OVER (PARTITION BY {site('url')} ORDER BY page_id) AS crawl_rank FROM pages WHERE html <> '') WHERE crawl_rank <= 12
-), sig AS (
-  SELECT c.*, {path('url')} AS path, len({matches('html', LD, 1)}) > 0 AS has_block, {has('html', META)} AS meta,
+SIGNALS = f"""sig AS (
+  SELECT c.* EXCLUDE (url), {path('c.url')} AS path, len({matches('html', LD, 1)}) > 0 AS has_block, {has('html', META)} AS meta,
     {has('html', 'breadcrumb')} AS breadcrumb, {has('html', COMMERCE)} AS commerce, {EVIDENCE} AS evidence,
     {has('html', GEO)} AS geo, {has('html', FAQPAGE)} AS faqpage,
     {', '.join(f"{has('html', p, f)} AS prop_{n}" for n, (p, f) in PROPS.items())},
@@ -177,7 +177,7 @@ SIGNALS = f"""crawl AS (
 
 LOCAL_NAMES = (
     "LocalBusiness|Restaurant|FoodEstablishment|Cafe|Bar|Bakery|Brewery|Winery|Distillery|Store|Shop|Hotel|Motel"
-    "|Lodging|Resort|BedAndBreakfast|Spa|Salon|HealthAndBeauty|MedicalBusiness|Dentist|Physician|Hospital"
+    "|Lodging|Resort|BedAndBreakfast|Spa|BeautySalon|HairSalon|NailSalon|HealthAndBeauty|MedicalBusiness|Dentist|Physician|Hospital"
     "|VeterinaryCare|ProfessionalService|LegalService|Attorney|Notary|FinancialService|InsuranceAgency"
     "|AccountingService|RealEstateAgent|AutomotiveBusiness|AutoRepair|HomeAndConstructionBusiness|GeneralContractor"
     "|Plumber|Electrician|RoofingContractor|Locksmith|MovingCompany|TravelAgency|TouristAttraction|Aquarium|Zoo"
@@ -198,13 +198,14 @@ def property_list(wanted: str) -> str:
 
 
 AUDIT = f"""sites AS (
-  SELECT r.*, coalesce(t.schema_types, []) AS schema_types FROM rolled r LEFT JOIN site_types t USING (site_key)
+  SELECT r.*, coalesce(t.schema_types, []) AS schema_types, CAST(coalesce(m.sitemap_total, 0) AS BIGINT) AS sitemap_total
+  FROM rolled r LEFT JOIN site_types t USING (site_key) LEFT JOIN sitemap_totals m USING (origin)
 ), flags AS (
   SELECT *, {any_type('FAQPage|Question')} AS has_faq_schema, {any_type(LOCAL_NAMES)} AS has_local_business,
     {any_type('Organization')} AS has_organization, {any_type('^Menu$')} AS prop_menuMarkup,
     CASE WHEN product_evidence >= 4 THEN 'store' WHEN commerce_platform THEN 'installed_empty' ELSE 'none' END AS commerce_state,
     starts_with(origin, 'https') AS is_https, coalesce(newest_year <= {AS_OF_YEAR - 2}, false) AS looks_stale,
-    page_count AS site_size, page_count >= 12 AS crawl_capped FROM sites
+    greatest(page_count, sitemap_total) AS site_size, page_count >= 12 AS crawl_capped FROM sites
 ), signals AS (
   SELECT *, has_local_business AND has_geo AS complete_local_entity, (has_local_business AND has_geo) OR has_organization AS has_entity_graph,
     commerce_state = 'store' AS has_store, {property_list('')} AS properties_found, {property_list('NOT')} AS properties_missing,
@@ -238,9 +239,6 @@ AUDIT = f"""sites AS (
   FROM scored
 )"""
 
-ROLLUP_TABLES = with_tables(SITE_PAGES, TYPE_ROWS, SIGNALS)
-AUDIT_TABLES = with_tables(SITE_PAGES, TYPE_ROWS, SIGNALS, AUDIT)
-
 QUOTE_NAME = (
     "CASE tier WHEN 'small' THEN 'Small site' WHEN 'medium' THEN 'Medium site' "
     "WHEN 'large' THEN 'Large / e-commerce site' ELSE 'Enterprise / institutional' END"
@@ -254,19 +252,22 @@ TAG_LOCS = "".join(f"<url><loc>https://tags.example.org/tag/{i}/</loc></url>" fo
 EXTRA_LOCS = TAG_LOCS + "<url><loc>https://other.example.com/p</loc></url><url><loc>/a.png</loc></url>"
 SITEMAPS = f"""num AS (
   SELECT page_id, url, {site('url')} AS site_key, {origin('url')} AS origin, row_number() OVER (PARTITION BY {site('url')} ORDER BY page_id) AS page_no FROM pages
-), roots AS (SELECT site_key, origin, {key('url')} AS root_key, {I.SITE_NO.replace('host', 'site_key')} AS s FROM num WHERE page_no = 1),
-chunks AS (
+), roots AS (
+  SELECT *, s % 4 < 2 OR (s % 4 = 2 AND n_pages > {I.SITEMAP_PLAIN_PAGES}) AS indexed FROM (
+    SELECT site_key, origin, {key('url')} AS root_key, url AS root_url, {I.SITE_NO.replace('host', 'site_key')} AS s FROM num WHERE page_no = 1)
+  JOIN (SELECT site_key, count(*) AS n_pages FROM num GROUP BY site_key) USING (site_key)
+), chunks AS (
   SELECT site_key, (page_no - 1) // {I.SITEMAP_PAGES_PER_FILE} AS chunk, string_agg('<url><loc> ' || url || ' </loc></url>', '' ORDER BY page_no) AS locs FROM num GROUP BY ALL
 ), sitemaps AS (
-  SELECT r.origin, {FILE_NAME} AS path, '<?xml version=''1.0''?><URLSET>' || locs || '{EXTRA_LOCS}</URLSET>' AS xml FROM chunks JOIN roots r USING (site_key) WHERE s % 4 < 2
+  SELECT r.origin, {FILE_NAME} AS path, '<?xml version=''1.0''?><URLSET>' || locs || '{EXTRA_LOCS}</URLSET>' AS xml FROM chunks JOIN roots r USING (site_key) WHERE indexed
   UNION ALL
   SELECT r.origin, CASE WHEN any_value(s) % 4 = 0 THEN '/sitemap_index.xml' ELSE '/wp-sitemap.xml' END,
     '<sitemapindex><loc>' || r.origin || '/feed/</loc><loc>' || r.origin || '/sitemap-page-lost.xml</loc>'
     || string_agg('<sitemap><loc>' || r.origin || {FILE_NAME} || '</loc></sitemap>', '' ORDER BY chunk) || '</sitemapindex>'
-  FROM chunks JOIN roots r USING (site_key) WHERE s % 4 < 2 AND chunk < {I.SITEMAP_FILE_LIMIT} GROUP BY r.origin
+  FROM chunks JOIN roots r USING (site_key) WHERE indexed GROUP BY r.origin
   UNION ALL
   SELECT r.origin, '/sitemap.xml', '<urlset>' || string_agg('<url><loc> ' || url || ' </loc></url>', '' ORDER BY page_no) || '{EXTRA_LOCS}</urlset>'
-  FROM num JOIN roots r USING (site_key) WHERE s % 4 = 2 AND page_no <= {I.SITEMAP_FILE_LIMIT} GROUP BY r.origin
+  FROM num JOIN roots r USING (site_key) WHERE s % 4 = 2 AND NOT indexed GROUP BY r.origin
   UNION ALL
   SELECT origin, '/sitemap_index.xml', '<html>not found</html>' FROM roots WHERE s % 4 IN (1, 3)
 ), chosen AS (
@@ -289,43 +290,52 @@ children AS (
   SELECT origin, 0 AS file_no, unnest(locs) AS loc, unnest(range(len(locs))) AS pos FROM chosen WHERE NOT is_index
   UNION ALL SELECT origin, file_no, unnest(locs), unnest(range(len(locs))) FROM cut
 ), seeds AS (
-  SELECT origin, file_no, pos, {key('loc')} AS k FROM sitemap_urls
+  SELECT origin, file_no, pos, {key('loc')} AS k, loc FROM sitemap_urls
   WHERE regexp_matches(loc, '^https?://', 'i') AND {site('loc')} = {site('origin')} AND NOT {asset(path('loc'))}
+), sitemap_totals AS (
+  SELECT origin, count_if(NOT (regexp_matches(loc, '^https?://') AND {low_value(path('loc'))})) AS sitemap_total FROM sitemap_urls GROUP BY origin
 )"""
 
 
-def crawl(cap: int, per_page: int | None, sitemap: bool) -> str:
-    """First-in-first-out crawl of each site, one queue entry per recursion step."""
+def crawl(cap: int, per_page: int | None, sitemap: bool = True) -> str:
+    """First-in-first-out crawl of each site, one queue entry per recursion step.
+
+    An entry is a page key and the address it was queued by; the links of a page are resolved
+    against that address.
+    """
     budget = f"[1:{per_page}]" if per_page else ""
-    queue = "[r.root_key] || coalesce(q.seeds, [])" if sitemap else "[r.root_key]"
-    tables = f"""kids AS (
+    first = "[{'k': r.root_key, 'a': r.root_url}]"
+    queue = f"{first} || coalesce(q.seeds, [])" if sitemap else first
+    followed = (
+        f"list_transform(list_filter(list_transform(h, lambda x: {resolve('x', 'a')}), "
+        f"lambda y: regexp_matches(y, '^https?://', 'i') AND {origin('y')} = origin AND NOT {asset(path('y'))}), "
+        f"lambda z: {{{{'k': {key('z')}, 'a': z}}}})"
+    ).replace("{{", "{").replace("}}", "}")
+    return f"""kids AS (
   SELECT p.page_id, string_agg('<a href="' || c.url || '">c</a>', '' ORDER BY c.page_no) AS menu
   FROM num p JOIN num c ON p.site_key = c.site_key AND c.page_no IN (2 * p.page_no, 2 * p.page_no + 1) GROUP BY p.page_id
 ), linked AS (SELECT s.page_id, s.url, s.html || coalesce(k.menu, '') AS html FROM site_pages s LEFT JOIN kids k USING (page_id)),
-hrefs AS (SELECT page_id, url, {matches('html', ANCHOR, 1)}{budget} AS h FROM linked),
-flat AS (SELECT page_id, url, unnest(h) AS href, unnest(range(len(h))) AS pos FROM hrefs),
-resolved AS (SELECT page_id, pos, {site('url')} AS site_key, {resolve('href', 'url')} AS a FROM flat),
-outgoing AS (
-  SELECT o.page_id, list({key('a')} ORDER BY pos) AS keys FROM resolved o JOIN roots r USING (site_key)
-  WHERE regexp_matches(a, '^https?://', 'i') AND {origin('a')} = r.origin AND NOT {asset(path('a'))} GROUP BY o.page_id
-), idx AS (SELECT {key('url')} AS k, min(page_id) AS page_id FROM site_pages GROUP BY 1),
-start AS (SELECT origin, list(k ORDER BY file_no, pos) AS seeds FROM seeds GROUP BY origin),
+idx AS MATERIALIZED (
+  SELECT k, first.page_id AS page_id, {matches('first.html', ANCHOR, 1)}{budget} AS h
+  FROM (SELECT {key('url')} AS k, min_by({{'page_id': page_id, 'html': html}}, page_id) AS first FROM linked GROUP BY 1)
+),
+start AS (SELECT origin, list({{'k': k, 'a': loc}} ORDER BY file_no, pos) AS seeds FROM seeds GROUP BY origin),
 walk AS (
-  SELECT r.site_key, {queue} AS queue, CAST([] AS VARCHAR[]) AS seen, CAST([] AS BIGINT[]) AS found FROM roots r LEFT JOIN start q USING (origin)
+  SELECT r.site_key, r.origin, {queue} AS queue, CAST([] AS VARCHAR[]) AS seen,
+    list_filter([{{'p': 0::BIGINT, 'a': ''}}], lambda x: x.p > 0) AS found FROM roots r LEFT JOIN start q USING (origin)
   UNION ALL
-  SELECT site_key,
-    queue[2:] || CASE WHEN fresh AND page IS NOT NULL AND len(found) + 1 < {cap} THEN coalesce(keys, []) ELSE [] END,
-    CASE WHEN fresh THEN list_append(seen, queue[1]) ELSE seen END,
-    CASE WHEN fresh AND page IS NOT NULL THEN list_append(found, page) ELSE found END
-  FROM (SELECT w.*, NOT list_contains(w.seen, w.queue[1]) AS fresh, i.page_id AS page, o.keys
-    FROM walk w LEFT JOIN idx i ON i.k = w.queue[1] LEFT JOIN outgoing o ON o.page_id = i.page_id
+  SELECT site_key, origin,
+    queue[2:] || CASE WHEN fresh AND page IS NOT NULL AND len(found) + 1 < {cap} THEN list_filter({followed}, lambda n: NOT list_contains(seen, n.k)) ELSE [] END,
+    CASE WHEN fresh THEN list_append(seen, queue[1].k) ELSE seen END,
+    CASE WHEN fresh AND page IS NOT NULL THEN list_append(found, {{'p': page, 'a': a}}) ELSE found END
+  FROM (SELECT w.*, w.queue[1].a AS a, NOT list_contains(w.seen, w.queue[1].k) AS fresh, i.page_id AS page, coalesce(i.h, []) AS h
+    FROM walk w LEFT JOIN idx i ON i.k = w.queue[1].k
     WHERE len(w.queue) > 0 AND len(w.found) < {cap})
+), crawl AS MATERIALIZED (
+  SELECT site_key, origin, f.p AS page_id, f.a AS url, crawl_rank FROM (
+    SELECT site_key, origin, unnest(found) AS f, unnest(range(1, len(found) + 1)) AS crawl_rank
+    FROM walk WHERE len(queue) = 0 OR len(found) >= {cap})
 )"""
-    done = f"(SELECT site_key, found FROM walk WHERE len(queue) = 0 OR len(found) >= {cap})"
-    return (
-        with_tables(SITE_PAGES, SITEMAPS, tables, recursive=True)
-        + f"SELECT site_key, unnest(found) AS page_id, unnest(range(1, len(found) + 1)) AS crawl_rank FROM {done}"
-    )
 
 
 def resolve(h: str, base: str) -> str:
@@ -349,6 +359,12 @@ def path_text(p: str) -> str:
 # --- replies -----------------------------------------------------------------------------------
 
 
+CRAWLED = (SITE_PAGES, SITEMAPS, crawl(12, 80))
+ROLLUP_TABLES = with_tables(*CRAWLED, TYPE_ROWS, SIGNALS, recursive=True)
+AUDIT_TABLES = with_tables(*CRAWLED, TYPE_ROWS, SIGNALS, AUDIT, recursive=True)
+DEEP_CRAWLED = (SITE_PAGES, SITEMAPS, crawl(15, None))
+
+
 def unfence(t: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(trim({t}, chr(32) || chr(10)), '^```json\s*', '', 'i'), '```$', ''), chr(32) || chr(10))"
 
@@ -369,10 +385,7 @@ def findings_rows(j: str, extra: str, source: str) -> str:
   FROM (SELECT {extra}, unnest(CAST(json_extract({j}, '$.findings[*]') AS JSON[])) AS f, unnest(range(len(json_extract({j}, '$.findings[*]')))) AS pos FROM {source}))"""
 
 
-CRAWL_15 = f"""crawl AS (
-  SELECT * FROM (SELECT page_id, url, {site('url')} AS site_key, {origin('url')} AS origin,
-    row_number() OVER (PARTITION BY {site('url')} ORDER BY page_id) AS crawl_rank FROM pages) WHERE crawl_rank <= 15
-), results AS (
+CRAWL_15 = f"""results AS (
   SELECT c.*, coalesce(json_extract_string(p.j, '$.role'), '') AS role, p.j FROM crawl c LEFT JOIN parsed p USING (page_id)
   WHERE p.page_id IS NULL OR NOT p.replied OR p.j IS NOT NULL
 ), found AS ({findings_rows('j', 'site_key, crawl_rank, page_id, url, role', 'results')})"""
@@ -455,6 +468,21 @@ def limiter(where: str = "true") -> str:
 
 LIMITED = with_tables(limiter(), recursive=True) + "SELECT event_id, soft_ok, daily_ok, daily_ok AS admitted FROM capped"
 
+PANEL_ROWS = (
+    f"panels AS ({derived(I.PANELS)})",
+    f"panel_json AS (SELECT page_id, CASE WHEN json_valid(c) THEN CAST(c AS JSON) END AS j FROM (SELECT page_id, {unfence('text')} AS c FROM panels))",
+    "panel_rows AS (SELECT page_id, unnest(range(len(json_extract(j, '$.panel[*]')))) AS pos, unnest(CAST(json_extract(j, '$.panel[*]') AS JSON[])) AS p FROM panel_json)",
+    """panel_cleaned AS (SELECT q.page_id, CAST(pos AS INT) AS pos, CASE WHEN pos IS NOT NULL THEN left(coalesce(json_extract_string(p, '$.name'), ''), 30) END AS name,
+  CASE WHEN pos IS NOT NULL THEN left(coalesce(json_extract_string(p, '$.role'), ''), 40) END AS role,
+  CASE WHEN pos IS NOT NULL THEN left(coalesce(json_extract_string(p, '$.comment'), ''), 260) END AS comment
+  FROM panel_json q LEFT JOIN (SELECT * FROM panel_rows WHERE pos < 6) r USING (page_id))""",
+)
+CRAWL_ROWS = "SELECT site_key, page_id, url, crawl_rank FROM crawl"
+DIGESTS = f"""SELECT c.site_key, string_agg('URL: ' || c.url || chr(10) || 'TITLE: ' || {title_of('html')} || chr(10) || 'TEXT: ' || left({text_of('html')}, 1200), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY crawl_rank) AS digests
+  FROM crawl c JOIN site_pages USING (page_id) WHERE crawl_rank <= 8 GROUP BY c.site_key"""
+SYNTHESIS = """SELECT site_key, string_agg(url || ' (' || role || '): ' || coalesce(titles, ''), chr(10) ORDER BY crawl_rank) AS synthesis
+  FROM results LEFT JOIN (SELECT page_id, string_agg(coalesce(title, ''), '; ' ORDER BY pos) AS titles FROM found GROUP BY page_id) USING (page_id) GROUP BY site_key"""
+
 ORACLE: dict[str, str] = {
     "url_parts": f"""SELECT page_id, url AS normalized, {key('url')} AS page_key, {origin('url')} AS origin,
   {site('url')} AS site_key, {path('url')} AS path, {host('url')} AS host FROM pages""",
@@ -538,17 +566,23 @@ ORACLE: dict[str, str] = {
         for s in ("organic", "answer", "local")
     )
     + ", CASE WHEN tier = 'enterprise' THEN 'call' WHEN pct >= 90 THEN 'refresh' ELSE 'phase_1' END AS offer, first_price FROM audit",
-    "site_audit": with_tables(
-        SITE_PAGES, TYPE_ROWS, SIGNALS, AUDIT, SPEED,
+    "site_audit": (HOME_TABLES := with_tables(
+        *CRAWLED, TYPE_ROWS, SIGNALS, AUDIT, SPEED,
         f"reports AS ({derived(I.REPORTS)})",
         f"report_json AS (SELECT page_id, CASE WHEN json_valid(c) THEN CAST(c AS JSON) END AS j FROM (SELECT page_id, {unfence('text')} AS c FROM reports))",
         "homes AS (SELECT site_key, page_id FROM crawl WHERE crawl_rank = 1)",
         f"first AS ({findings_rows('j', 'page_id', 'report_json')})",
-    )
+        recursive=True,
+    ))
     + """SELECT a.site_key, tier, pct, s.score AS speed_score, s.lcp AS lcp, json_extract_string(r.j, '$.summary') AS summary,
   json_extract_string(r.j, '$.surfaces.answer') AS answer_read, f.priority AS first_priority
   FROM audit a JOIN homes h USING (site_key) LEFT JOIN speed_read s ON s.page_id = h.page_id AND s.score IS NOT NULL LEFT JOIN report_json r ON r.page_id = h.page_id
   LEFT JOIN first f ON f.page_id = h.page_id AND f.pos = 0""",
+    "summary_audit": HOME_TABLES
+    + f"""SELECT a.site_key, a.origin, page_count, sitemap_total, site_size, crawl_capped, tier, {QUOTE_NAME} AS quote_name, quote_total, pct, grade, organic, answer, "local",
+  {READ} AS speed_read, json_extract_string(r.j, '$.summary') AS summary, v.crawled_pages
+  FROM audit a JOIN homes h USING (site_key) LEFT JOIN speed_read s ON s.page_id = h.page_id AND s.score IS NOT NULL LEFT JOIN report_json r ON r.page_id = h.page_id
+  JOIN (SELECT site_key, string_agg(url, ' | ' ORDER BY crawl_rank) AS crawled_pages FROM crawl GROUP BY site_key) v USING (site_key)""",
     "audit_payload": AUDIT_TABLES
     + f'SELECT site_key, tier, pct, "local", prop_sameAs AS same_as, prop_menuMarkup AS menu_markup, home_title, {QUOTE_NAME} AS quote_name, quote_total FROM audit',
     "sitemap_choice": with_tables(SITEMAPS) + "SELECT origin, path, is_index, CAST(len(locs) AS INT) AS locs FROM chosen",
@@ -559,17 +593,12 @@ ORACLE: dict[str, str] = {
     "sitemap_total": with_tables(SITEMAPS)
     + f"""SELECT u.origin, count_if(NOT (regexp_matches(loc, '^https?://') AND {low_value(path('loc'))})) AS sitemap_total, any_value(n) AS seeds
   FROM sitemap_urls u LEFT JOIN (SELECT origin, count(*) AS n FROM seeds GROUP BY origin) s USING (origin) GROUP BY u.origin""",
-    "crawl_plan_12": crawl(12, 80, True),
-    "crawl_plan_15": crawl(15, None, True),
-    "crawl_links_only": crawl(12, 80, False),
-    "site_digests": with_tables(
-        SITE_PAGES,
-        f"ranked AS (SELECT *, {site('url')} AS site_key, row_number() OVER (PARTITION BY {site('url')} ORDER BY page_id) AS n FROM site_pages)",
-    )
-    + f"""SELECT site_key, string_agg('URL: ' || url || chr(10) || 'TITLE: ' || {title_of('html')} || chr(10) || 'TEXT: ' || left({text_of('html')}, 1200), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS digests
-  FROM ranked WHERE n <= 8 GROUP BY site_key""",
+    "crawl_plan_12": with_tables(*CRAWLED, recursive=True) + CRAWL_ROWS,
+    "crawl_plan_15": with_tables(*DEEP_CRAWLED, recursive=True) + CRAWL_ROWS,
+    "crawl_links_only": with_tables(SITE_PAGES, SITEMAPS, crawl(12, 80, False), recursive=True) + CRAWL_ROWS,
+    "site_digests": with_tables(*CRAWLED, recursive=True) + DIGESTS,
     "site_prompts": AUDIT_TABLES
-    + "SELECT site_key, concat_ws(chr(10), "
+    + "SELECT site_key, digests, concat_ws(chr(10), "
     + ", ".join(
         f"'- {label}: ' || {value}"
         for label, value in [
@@ -593,42 +622,42 @@ ORACLE: dict[str, str] = {
             ("home title", "home_title"),
         ]
     )
-    + ") AS facts FROM audit",
-    "panel_input": with_tables(
-        SITE_PAGES,
-        f"ranked AS (SELECT *, {site('url')} AS site_key, row_number() OVER (PARTITION BY {site('url')} ORDER BY page_id) AS n FROM site_pages)",
-    )
-    + f"SELECT site_key, page_id, url, left({text_of('html')}, 2600) AS text FROM ranked WHERE n = 1",
+    + f") AS facts FROM audit JOIN ({DIGESTS}) USING (site_key)",
+    "panel_input": with_tables(*CRAWLED, recursive=True)
+    + f"SELECT c.site_key, page_id, c.url, left({text_of('html')}, 2600) AS text FROM crawl c JOIN site_pages USING (page_id) WHERE crawl_rank = 1",
     "findings_clean": with_tables(
         REPLIES,
         "usable AS (SELECT page_id, coalesce(json_extract_string(j, '$.role'), '') AS role, j FROM parsed WHERE NOT replied OR j IS NOT NULL)",
         f"found AS ({findings_rows('j', 'page_id, role', 'usable')})",
     )
     + "SELECT u.page_id, u.role, f.pos, f.priority, f.title, f.rec FROM usable u LEFT JOIN found f USING (page_id)",
-    "synthesis_input": with_tables(REPLIES, CRAWL_15)
-    + """SELECT site_key, string_agg(url || ' (' || role || '): ' || coalesce(titles, ''), chr(10) ORDER BY crawl_rank) AS synthesis
-  FROM results LEFT JOIN (SELECT page_id, string_agg(coalesce(title, ''), '; ' ORDER BY pos) AS titles FROM found GROUP BY page_id) USING (page_id) GROUP BY site_key""",
+    "synthesis_input": with_tables(*DEEP_CRAWLED, REPLIES, CRAWL_15, recursive=True)
+    + SYNTHESIS,
     "report_lines": with_tables(
-        REPLIES, CRAWL_15,
+        *DEEP_CRAWLED, REPLIES, CRAWL_15,
         f"sizes AS (SELECT {site('url')} AS site_key, count(*) AS site_size FROM pages GROUP BY 1)",
-        "http_sites AS (SELECT site_key FROM crawl WHERE crawl_rank = 1 AND starts_with(origin, 'http:'))",
+        f"known_sites AS (SELECT site_key FROM roots WHERE ({I.SITE_NO.replace('host', 'site_key')}) % 3 <> 0)",
         """coverage AS (SELECT r.site_key, CASE WHEN any_value(h.site_key) IS NOT NULL AND any_value(s.site_size) > count(*) THEN count(*) || ' of ~' || any_value(s.site_size) ELSE CAST(count(*) AS VARCHAR) END AS coverage
-  FROM results r LEFT JOIN sizes s USING (site_key) LEFT JOIN http_sites h USING (site_key) GROUP BY r.site_key)""",
+  FROM results r LEFT JOIN sizes s USING (site_key) LEFT JOIN known_sites h USING (site_key) GROUP BY r.site_key)""",
+        recursive=True,
     )
     + f"""SELECT site_key, crawl_rank, {path('url')} AS path, role, pos, CASE priority WHEN 'high' THEN 'Critical' WHEN 'med' THEN 'Important' ELSE 'Polish' END AS label, title, rec, coverage
   FROM found JOIN coverage USING (site_key)""",
-    "deep_payload": with_tables(SITE_PAGES, REPLIES, CRAWL_15)
+    "deep_payload": with_tables(*DEEP_CRAWLED, REPLIES, CRAWL_15, recursive=True)
     + f"""SELECT r.site_key, CAST(row_number() OVER (PARTITION BY r.site_key ORDER BY r.crawl_rank) - 1 AS INT) AS pos, r.url, {title_of('s.html')} AS title, r.role,
   CAST(coalesce(n, 0) AS INT) AS findings FROM results r JOIN site_pages s USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS n FROM found GROUP BY page_id) f USING (page_id)""",
-    "panel_clean": with_tables(
-        f"panels AS ({derived(I.PANELS)})",
-        f"parsed AS (SELECT page_id, CASE WHEN json_valid(c) THEN CAST(c AS JSON) END AS j FROM (SELECT page_id, {unfence('text')} AS c FROM panels))",
-        "rows AS (SELECT page_id, unnest(range(len(json_extract(j, '$.panel[*]')))) AS pos, unnest(CAST(json_extract(j, '$.panel[*]') AS JSON[])) AS p FROM parsed)",
+    "deep_report": with_tables(
+        *DEEP_CRAWLED, REPLIES, CRAWL_15, *PANEL_ROWS,
+        f"synthesis AS ({SYNTHESIS})",
+        "home_panels AS (SELECT c.site_key, string_agg(concat_ws('/', name, role, comment), ' | ' ORDER BY pos) AS panel FROM crawl c JOIN panel_cleaned USING (page_id) WHERE crawl_rank = 1 AND pos IS NOT NULL GROUP BY c.site_key)",
+        recursive=True,
     )
-    + """SELECT q.page_id, CAST(pos AS INT) AS pos, CASE WHEN pos IS NOT NULL THEN left(coalesce(json_extract_string(p, '$.name'), ''), 30) END AS name,
-  CASE WHEN pos IS NOT NULL THEN left(coalesce(json_extract_string(p, '$.role'), ''), 40) END AS role,
-  CASE WHEN pos IS NOT NULL THEN left(coalesce(json_extract_string(p, '$.comment'), ''), 260) END AS comment
-  FROM parsed q LEFT JOIN (SELECT * FROM rows WHERE pos < 6) r USING (page_id)""",
+    + """SELECT site_key, n.pages, synthesis, panel FROM (SELECT site_key, CAST(count(*) AS INT) AS pages FROM results GROUP BY site_key) n
+  LEFT JOIN synthesis USING (site_key) LEFT JOIN home_panels USING (site_key)""",
+    "page_audit": with_tables(SITE_PAGES)
+    + f"""SELECT * FROM ({FACTS}) WHERE page_id = (SELECT min(page_id) FROM site_pages
+  WHERE {key('url')} = (SELECT {key('url')} FROM pages ORDER BY page_id LIMIT 1))""",
+    "panel_clean": with_tables(*PANEL_ROWS) + "SELECT * FROM panel_cleaned",
     "speed_readings": with_tables(SPEED) + f"SELECT page_id, score, lcp, lcp_ms, timed_out, {READ} AS read FROM speed_read",
     "leads_valid": with_tables(LEADS, LEADS_OK)
     + r"SELECT *, CASE WHEN regexp_matches(trim(email), '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN left(trim(email), 200) END AS reply_to FROM accepted",

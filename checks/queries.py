@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,10 +25,11 @@ from lodescan.sources.sitemaps import (
     child_sitemaps, choose_sitemaps, read_children, sitemap_files, sitemap_seeds,
     sitemap_totals, sitemap_urls,
 )
+from lodescan.plans import audits as P
 from lodescan.sources.tables import page_index, tier_phases
 from lodescan.streaming.leads import write_lead_stream
 from lodescan.streaming.limiter import limit_stream, run_available
-from lodescan.session import new_folder
+from lodescan.session import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,14 +173,26 @@ def page_prompts(spark: SparkSession, sf: str) -> DataFrame:
 # --- sites ----------------------------------------------------------------------------
 
 
+def _crawl(
+    spark: SparkSession, sf: str, cap: int = V.SUMMARY_PAGE_CAP,
+    per_page: int | None = V.SUMMARY_LINKS_PER_PAGE, sitemap: bool = True,
+) -> P.Crawl:
+    """Every site crawled from its root, sitemap and menus."""
+    numbered = I.numbered_pages(spark, sf)
+    linked = I.linked_pages(spark, sf, numbered)
+    return P.crawl_sites(linked, I.sitemaps(numbered) if sitemap else None, cap, per_page)
+
+
+def _deep_crawl(spark: SparkSession, sf: str) -> P.Crawl:
+    return _crawl(spark, sf, V.DEEP_PAGE_CAP, None)
+
+
 def _rolled(spark: SparkSession, sf: str) -> DataFrame:
-    pages = I.site_pages(spark, sf)
-    crawl = G.crawl_by_id(I.table(spark, sf, "pages"))
-    return G.site_rollup(G.crawled_signals(pages, crawl))
+    return G.site_rollup(G.crawled_signals(I.site_pages(spark, sf), _crawl(spark, sf).plan))
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
-    return G.property_lists(G.complete_signals(_rolled(spark, sf), AS_OF_YEAR))
+    return P.summary_signals(_crawl(spark, sf), AS_OF_YEAR, I.site_pages(spark, sf))
 
 
 def _audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,18 +265,23 @@ def display_bands(spark: SparkSession, sf: str) -> DataFrame:
     return bands.select("site_key", "pct", "grade", "grade_color", *meters, "offer", "first_price")
 
 
-def _home_rows(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
-    roots = G.crawl_by_id(I.table(spark, sf, "pages"), 1).select("site_key", "page_id")
-    return rows.join(roots, "page_id")
+def _home_rows(crawl: P.Crawl, rows: DataFrame) -> DataFrame:
+    homes = crawl.plan.filter("crawl_rank = 1").select("site_key", "page_id")
+    return rows.join(homes, "page_id")
+
+
+def _summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary audit end to end, with the speed reading and report of the home page."""
+    crawl = _crawl(spark, sf)
+    speed = J.speed_readings(_home_rows(crawl, I.speed(spark, sf))).filter("score is not null")
+    speed = speed.select("site_key", F.struct("score", "lcp", "read").alias("speed"))
+    reports = J.site_reports(_home_rows(crawl, I.reports(spark, sf)))
+    return P.summary_audit(crawl, AS_OF_YEAR, speed, reports, I.site_pages(spark, sf))
 
 
 def site_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Audits with the speed reading and report of their home page, where there is one."""
-    speed = J.speed_readings(_home_rows(spark, sf, I.speed(spark, sf))).filter("score is not null")
-    speed = speed.select("site_key", F.struct("score", "lcp", "read").alias("speed"))
-    reports = J.site_reports(_home_rows(spark, sf, I.reports(spark, sf)))
-    audit = A.attach(_audit(spark, sf), speed, reports)
-    return audit.select(
+    return _summary(spark, sf).select(
         "site_key", "tier", "pct",
         F.col("speed.score").alias("speed_score"),
         F.col("speed.lcp").alias("lcp"),
@@ -272,6 +291,16 @@ def site_audit(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def summary_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Crawl, signals, size from the sitemap, tier, quote, scores and visited addresses."""
+    return _summary(spark, sf).select(
+        "site_key", "origin", "page_count", "sitemap_total", "site_size", "crawl_capped", "tier",
+        "quote_name", "quote_total", "pct", "grade", "organic", "answer", "local",
+        F.col("speed.read").alias("speed_read"), F.col("report.summary").alias("summary"),
+        joined("crawled_pages").alias("crawled_pages"),
+    )
+
+
 def audit_payload(spark: SparkSession, sf: str) -> DataFrame:
     """The nested record of the audit sink, written and read back."""
     path = new_folder(spark, "audits")
@@ -318,53 +347,40 @@ def sitemap_total(spark: SparkSession, sf: str) -> DataFrame:
     return sitemap_totals(urls).join(seeds, "origin", "left")
 
 
-def _crawl(spark: SparkSession, sf: str, cap: int, per_page: int | None) -> DataFrame:
-    numbered = I.numbered_pages(spark, sf)
-    links = I.all_links(spark, sf, numbered, per_page)
-    seeds = sitemap_seeds(sitemap_urls(I.sitemaps(numbered)))
-    index = page_index(I.site_pages(spark, sf))
-    return C.select_crawl(index, links, seeds, cap)
-
-
 def crawl_plan_12(spark: SparkSession, sf: str) -> DataFrame:
-    plan = _crawl(spark, sf, V.SUMMARY_PAGE_CAP, V.SUMMARY_LINKS_PER_PAGE)
-    return plan.select("site_key", "page_id", "crawl_rank")
+    return _crawl(spark, sf).plan.select("site_key", "page_id", "url", "crawl_rank")
 
 
 def crawl_plan_15(spark: SparkSession, sf: str) -> DataFrame:
-    plan = _crawl(spark, sf, V.DEEP_PAGE_CAP, None)
-    return plan.select("site_key", "page_id", "crawl_rank")
+    return _deep_crawl(spark, sf).plan.select("site_key", "page_id", "url", "crawl_rank")
 
 
 def crawl_links_only(spark: SparkSession, sf: str) -> DataFrame:
     """Without sitemaps every page but the root is found through links."""
-    numbered = I.numbered_pages(spark, sf)
-    links = I.all_links(spark, sf, numbered, V.SUMMARY_LINKS_PER_PAGE)
-    index = page_index(I.site_pages(spark, sf))
-    return C.select_crawl(index, links, None, V.SUMMARY_PAGE_CAP).select("site_key", "page_id", "crawl_rank")
+    return _crawl(spark, sf, sitemap=False).plan.select("site_key", "page_id", "url", "crawl_rank")
 
 
 # --- model input and replies --------------------------------------------------------------
 
 
 def site_digests(spark: SparkSession, sf: str) -> DataFrame:
-    crawl = G.crawl_by_id(I.table(spark, sf, "pages"))
-    return J.site_digests(I.site_pages(spark, sf), crawl)
+    return J.site_digests(I.site_pages(spark, sf), _crawl(spark, sf).plan)
 
 
 def site_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    audit = _audit(spark, sf)
-    return audit.select("site_key", J.fact_lines(audit).alias("facts"))
+    """One model request per site: its facts and its page digests."""
+    crawl, pages = _crawl(spark, sf), I.site_pages(spark, sf)
+    audit = A.site_audit(P.summary_signals(crawl, AS_OF_YEAR, pages))
+    return J.site_prompt(audit, J.site_digests(pages, crawl.plan))
 
 
 def panel_input(spark: SparkSession, sf: str) -> DataFrame:
-    crawl = G.crawl_by_id(I.table(spark, sf, "pages"), 1)
-    return J.panel_input(I.site_pages(spark, sf), crawl)
+    return J.panel_input(I.site_pages(spark, sf), _crawl(spark, sf).plan)
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
-    crawl = G.crawl_by_id(I.table(spark, sf, "pages"), V.DEEP_PAGE_CAP)
-    return J.page_results(crawl.select("site_key", "crawl_rank", "page_id", "url"), I.responses(spark, sf))
+    plan = _deep_crawl(spark, sf).plan.select("site_key", "crawl_rank", "page_id", "url")
+    return J.page_results(plan, I.responses(spark, sf))
 
 
 def findings_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -382,23 +398,48 @@ def synthesis_input(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sites in three have a summary audit that tells their size."""
     sizes = page_index(I.table(spark, sf, "pages")).groupBy("site_key").agg(F.count("*").alias("site_size"))
-    # sites whose home page is https have no summary audit here
-    roots = G.crawl_by_id(I.table(spark, sf, "pages"), 1).filter("origin like 'http:%'")
-    summary = sizes.join(roots.select("site_key"), "site_key", "left_semi")
-    return J.report_lines(_results(spark, sf), summary)
+    known = F.expr(f"({I.SITE_NO.replace('host', 'site_key')}) % 3 <> 0")
+    return J.report_lines(_results(spark, sf), sizes.filter(known))
+
+
+def _deep(spark: SparkSession, sf: str) -> DataFrame:
+    """The deep report end to end, written as its sink does and read back."""
+    crawl = _deep_crawl(spark, sf)
+    panels = _home_rows(crawl, I.panels(spark, sf)).select("site_key", "text")
+    report = P.deep_report(crawl, I.responses(spark, sf), panels, I.site_pages(spark, sf))
+    path = new_folder(spark, "deep")
+    sinks.write_deep(report, path)
+    return spark.read.schema(report.schema).parquet(path)
 
 
 def deep_payload(spark: SparkSession, sf: str) -> DataFrame:
-    titles = I.site_pages(spark, sf).select("page_id", H.page_title(F.col("html")).alias("title"))
-    payload = sinks.deep_payload(_results(spark, sf).join(titles, "page_id"))
-    rows = payload.select("site_key", F.posexplode("pages").alias("pos", "page"))
+    rows = _deep(spark, sf).select("site_key", F.posexplode("pages").alias("pos", "page"))
     return rows.select(
         "site_key", "pos", F.col("page.url").alias("url"), F.col("page.title").alias("title"),
         F.col("page.role").alias("role"), F.size("page.findings").alias("findings"),
     )
 
 
+def deep_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Page records, synthesis line and reader panel of a site in one record."""
+    return _deep(spark, sf).select(
+        "site_key", F.size("pages").alias("pages"), "synthesis",
+        joined(F.transform("panel", lambda p: F.concat_ws("/", p["name"], p["role"], p["comment"]))).alias("panel"),
+    )
+
+
+def page_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The page behind one address, asked for by another spelling of it."""
+    pages = I.site_pages(spark, sf).withColumn("page_key", U.page_key(F.col("url")))
+    stored = materialize(pages, "keyed-pages")
+    wanted = I.table(spark, sf, "pages").agg(F.min_by("url", "page_id")).first()[0]
+    spelled = re.sub(r"^https?://(www[.])?([^?#]*).*", r"HTTP://WWW.\2/", wanted).upper()
+    facts = P.page_audit(stored, spelled)
+    return facts.withColumn("schema_types", joined("schema_types"))
+
+
 def panel_clean(spark: SparkSession, sf: str) -> DataFrame:
     panel = J.clean_panel(F.col("text"))
     rows = I.panels(spark, sf).select("page_id", F.posexplode_outer(panel).alias("pos", "p"))
@@ -527,10 +568,11 @@ QUERIES: dict[str, Query] = {
         schema_types_tree, schema_types_regex, page_meta_flags, product_evidence,
         question_headings, form_pages, newest_year, page_facts, page_prompts, site_rollup,
         site_lists, home_signals, site_entity_flags, commerce_state, tier_and_quote,
-        site_phases, site_scorecard, display_bands, site_audit, audit_payload,
+        site_phases, site_scorecard, display_bands, site_audit, summary_audit, audit_payload,
         sitemap_choice, sitemap_children, sitemap_cutoff, sitemap_total, crawl_plan_12,
         crawl_plan_15, crawl_links_only, site_digests, site_prompts, panel_input,
-        findings_clean, synthesis_input, report_lines, deep_payload, panel_clean,
+        findings_clean, synthesis_input, report_lines, deep_payload, deep_report, page_audit,
+        panel_clean,
         speed_readings, leads_valid, leads_rejected, lead_summary, leads_latest,
         intake_long, intake_markdown, request_meta, origin_rejects, soft_limit, daily_cap,
         bypass, trailing_hits, daily_counts, stream_soft_limit, stream_leads,

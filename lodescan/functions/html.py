@@ -37,15 +37,22 @@ def _is_single_json_value(block: Column) -> Column:
     return wrapped.isNotNull() & second.isNull()
 
 
-TYPE_LITERAL = r'"@type"\s*:\s*("(?:[^"\\]|\\.)*+"|\[[^\]]*\])'
+# a string, or an array whose strings may hold any bracket
+TYPE_LITERAL = r'"@type"\s*:\s*("(?:[^"\\]|\\.)*+"|\[(?:[^\]"]|"(?:[^"\\]|\\.)*+")*+\])'
 
 
 def schema_types_in_blocks(blocks: Column) -> Column:
     """Every ``@type`` at any depth of the blocks that parse, without repeats.
 
-    An empty name is no type, unless it stands in an array of names.
+    An empty name is no type, unless it stands in an array of names. Of a key repeated in one
+    object the last counts; writing the parsed block again drops the others.
     """
-    valid = F.filter(blocks, _is_single_json_value)
+
+    def without_repeats(block: Column) -> Column:
+        again = F.to_json(F.try_parse_json(block))
+        return F.when(block.rlike(r'(?s)"@type".*"@type"'), again).otherwise(block)
+
+    valid = F.transform(F.filter(blocks, _is_single_json_value), without_repeats)
     literals = F.filter(
         F.flatten(F.transform(valid, lambda b: all_matches(b, TYPE_LITERAL, 1))),
         lambda t: t != '""',

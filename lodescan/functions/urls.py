@@ -66,7 +66,8 @@ def _escape(text: Column, ascii_chars: dict[str, str]) -> Column:
 
 def _drop_dot_segments(path: Column) -> Column:
     """Resolve ``.`` and ``..``; a path that ends in one keeps its trailing slash."""
-    segments = F.slice(F.split(path, "/"), 2, 1_000_000)
+    parts = F.split(path, "/")
+    segments = F.slice(parts, 2, F.size(parts))
     kept = F.aggregate(
         segments,
         F.array().cast("array<string>"),

@@ -68,13 +68,10 @@ def attach(audit: DataFrame, speed: DataFrame | None, reports: DataFrame | None)
     return audit
 
 
-def crawled_pages(crawl: DataFrame, index: DataFrame) -> DataFrame:
+def crawled_pages(crawl: DataFrame) -> DataFrame:
     """Visited addresses per site, in crawl order; at most one crawl budget per site."""
-    rows = crawl.select("site_key", "page_id", "crawl_rank").join(
-        index.select("page_id", "url"), "page_id"
-    )
     ordered = F.array_sort(F.collect_list(F.struct("crawl_rank", "url")))
-    return rows.groupBy("site_key").agg(
+    return crawl.groupBy("site_key").agg(
         F.transform(ordered, lambda r: r["url"]).alias("crawled_pages")
     )
 

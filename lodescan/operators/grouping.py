@@ -7,12 +7,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialize
-
 # rows of one group that a single task may number at a time
 NUMBERING_BLOCK = 100_000
-# a key table is broadcast only when it was counted and holds no more rows than this
-BROADCAST_ROWS = 500_000
 
 
 def compute_once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
@@ -73,10 +69,3 @@ def number_within(
         .withColumn(number, F.col("_start") + F.row_number().over(inside))
         .drop("_block", "_start", *[f"_of_{k}" for k in keys])
     )
-
-
-def hint_if_small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Store a key table, count it, and hint a broadcast only if it is within ``limit``."""
-    stored = materialize(keys, "keys")
-    small = stored.count() <= limit
-    return (F.broadcast(stored) if small else stored), small

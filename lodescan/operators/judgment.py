@@ -9,7 +9,6 @@ from ..functions import html as H
 from ..functions.scoring import priority_label, round_half_up
 from ..functions.text import choose, or_blank, trim_ws
 from ..functions.urls import path_or_root
-from .grouping import hint_if_small
 
 FINDING = "struct<priority:string,title:string,rec:string>"
 PAGE_REPLY = f"role string, findings array<{FINDING}>"
@@ -32,26 +31,18 @@ SPEED_REPLY = (
 def page_digests(pages: DataFrame, crawl: DataFrame, chars: int = V.DIGEST_CHARS) -> DataFrame:
     """Address, title and leading text of the first pages of each crawl."""
     marks = crawl.filter(F.col("crawl_rank") <= V.DIGEST_PAGES).select(
-        "page_id", "site_key", "crawl_rank"
+        "page_id", "url", "site_key", "crawl_rank"
+    )
+    html = F.col("html")
+    return pages.select("page_id", "html").join(marks, "page_id").select(
+        "page_id", "site_key", "crawl_rank",
+        F.concat_ws(
+            "\n",
+            F.concat(F.lit("URL: "), "url"),
+            F.concat(F.lit("TITLE: "), H.page_title(html)),
+            F.concat(F.lit("TEXT: "), F.left(H.strip_to_text(html), F.lit(chars))),
+        ).alias("digest"),
     )
-    marks, small = hint_if_small(marks)
-
-    def digest(df: DataFrame, *keep: str) -> DataFrame:
-        html = F.col("html")
-        return df.select(
-            *keep,
-            F.concat_ws(
-                "\n",
-                F.concat(F.lit("URL: "), "url"),
-                F.concat(F.lit("TITLE: "), H.page_title(html)),
-                F.concat(F.lit("TEXT: "), F.left(H.strip_to_text(html), F.lit(chars))),
-            ).alias("digest"),
-        )
-
-    pages = pages.select("page_id", "url", "html")
-    if small:
-        return digest(pages.join(marks, "page_id"), "page_id", "site_key", "crawl_rank")
-    return digest(pages, "page_id").join(marks, "page_id")
 
 
 def joined_in_order(rows: DataFrame, text: str, separator: str, alias: str) -> DataFrame:
@@ -150,12 +141,11 @@ def page_prompt(facts: DataFrame) -> DataFrame:
 
 def panel_input(pages: DataFrame, crawl: DataFrame) -> DataFrame:
     """Leading text of each home page, the input of the reader panel."""
-    homes = crawl.filter("crawl_rank = 1").select("page_id", "site_key")
-    homes, small = hint_if_small(homes)
+    homes = crawl.filter("crawl_rank = 1").select("page_id", "url", "site_key")
     text = F.left(H.strip_to_text(F.col("html")), F.lit(V.PANEL_CHARS)).alias("text")
-    if small:
-        return pages.join(homes, "page_id").select("site_key", "page_id", "url", text)
-    return pages.select("page_id", "url", text).join(homes, "page_id")
+    return pages.select("page_id", "html").join(homes, "page_id").select(
+        "site_key", "page_id", "url", text
+    )
 
 
 # --- model replies --------------------------------------------------------------------

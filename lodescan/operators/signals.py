@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed_values as V
 from ..functions import html as H
 from ..functions.text import choose
-from ..functions.urls import Url, page_key, path_or_root
-from .grouping import hint_if_small, top_per_group
-from ..sources.tables import page_index
+from ..functions.urls import page_key, path_or_root
 
 
 def page_facts(pages: DataFrame, text_chars: int = V.DEEP_PAGE_CHARS) -> DataFrame:
@@ -94,30 +92,15 @@ def page_signals(pages: DataFrame) -> DataFrame:
     )
 
 
-def crawl_by_id(pages: DataFrame, cap: int = V.SUMMARY_PAGE_CAP) -> DataFrame:
-    """Simplest crawl order: the first ``cap`` pages of each site by id.
-
-    Reads addresses only. The root is the lowest id; it fixes the origin of the site.
-    """
-    index = page_index(pages).filter(F.col("site_key").isNotNull())
-    return top_per_group(index, ["site_key"], [F.col("page_id")], cap, "crawl_rank").select(
-        "site_key", "page_id", "url", "origin", "crawl_rank"
-    )
-
-
 def crawled_signals(pages: DataFrame, crawl: DataFrame) -> DataFrame:
-    """Signals of the crawled pages, without ever shuffling html.
+    """Signals of the crawled pages; paths are those of the addresses they were queued by.
 
-    A crawl that was counted as small is broadcast, so only its pages are parsed. A large
-    one names most pages anyway: then every page is parsed where it lies and the narrow
-    signal rows meet the crawl in an ordinary join.
+    The crawl's ids meet the html before anything is parsed. The planner picks the join: a
+    stored crawl that it sees to be small is broadcast and html is read in place, and a large
+    one filters the scan at run time, so that only crawled pages are moved.
     """
-    marks = crawl.select("page_id", "site_key", "origin", "crawl_rank")
-    marks, small = hint_if_small(marks)
-    pages = pages.select("page_id", "url", "html")
-    if small:
-        return page_signals(pages.join(marks, "page_id"))
-    return page_signals(pages).join(marks, "page_id")
+    marks = crawl.select("page_id", "url", "site_key", "origin", "crawl_rank")
+    return page_signals(pages.select("page_id", "html").join(marks, "page_id"))
 
 
 def site_rollup(signals: DataFrame) -> DataFrame:

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..operators import audit as A
 from ..operators import judgment as J
-from ..operators.crawl import page_links, select_crawl
-from ..operators.signals import crawled_signals, complete_signals, page_facts, property_lists, single_page, site_rollup
-from ..operators.grouping import hint_if_small
+from ..operators.crawl import select_crawl
+from ..operators.signals import (
+    complete_signals, crawled_signals, page_facts, property_lists, single_page, site_rollup,
+)
+from ..session import materialize
+from ..sources.sinks import deep_payload
 from ..sources.sitemaps import sitemap_seeds, sitemap_totals, sitemap_urls
-from ..sources.tables import page_index, usable_pages
+from ..sources.tables import usable_pages
 
 
 @dataclass
 class Crawl:
     pages: DataFrame
-    index: DataFrame
     plan: DataFrame
     totals: DataFrame | None
 
@@ -29,22 +31,22 @@ def crawl_sites(
     sitemaps: DataFrame | None = None,
     cap: int = V.SUMMARY_PAGE_CAP,
     links_per_page: int | None = V.SUMMARY_LINKS_PER_PAGE,
-    extra_links: DataFrame | None = None,
 ) -> Crawl:
-    """Bounded crawl of every site in ``pages``."""
+    """Bounded crawl of every site in ``pages``; ``sitemaps`` is (origin, path, xml)."""
     pages = usable_pages(pages)
-    index = page_index(pages)
-    links = page_links(pages, links_per_page)
-    if extra_links is not None:
-        links = links.unionByName(extra_links)
-    urls = sitemap_urls(sitemaps) if sitemaps is not None else None
-    seeds = sitemap_seeds(urls) if urls is not None else None
-    plan = select_crawl(index, links, seeds, cap)
-    totals = None
-    if urls is not None:
-        origins = plan.filter("crawl_rank = 1").select("site_key", "origin")
-        totals = sitemap_totals(urls).join(origins, "origin").select("site_key", "sitemap_total")
-    return Crawl(pages, index, plan, totals)
+    if sitemaps is None:
+        return Crawl(pages, select_crawl(pages, None, cap, links_per_page), None)
+    urls = materialize(sitemap_urls(sitemaps), "sitemap-urls")
+    plan = select_crawl(pages, sitemap_seeds(urls), cap, links_per_page)
+    origins = plan.filter("crawl_rank = 1").select("site_key", "origin")
+    totals = sitemap_totals(urls).join(origins, "origin").select("site_key", "sitemap_total")
+    return Crawl(pages, plan, totals)
+
+
+def summary_signals(crawl: Crawl, as_of_year: int, pages: DataFrame | None = None) -> DataFrame:
+    """Signals of every site; ``pages`` if their html differs from what the crawl followed."""
+    rolled = site_rollup(crawled_signals(crawl.pages if pages is None else pages, crawl.plan))
+    return property_lists(complete_signals(rolled, as_of_year, crawl.totals))
 
 
 def summary_audit(
@@ -52,29 +54,38 @@ def summary_audit(
     as_of_year: int,
     speed: DataFrame | None = None,
     reports: DataFrame | None = None,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """Signals, tier, quote and scores per site, with speed readings and reports if given."""
-    rolled = site_rollup(crawled_signals(crawl.pages, crawl.plan))
-    signals = property_lists(complete_signals(rolled, as_of_year, crawl.totals))
-    audit = A.attach(A.site_audit(signals), speed, reports)
-    return audit.join(A.crawled_pages(crawl.plan, crawl.index), "site_key", "left")
+    audit = A.site_audit(summary_signals(crawl, as_of_year, pages))
+    return A.attach(audit, speed, reports).join(A.crawled_pages(crawl.plan), "site_key", "left")
 
 
-def deep_facts(crawl: Crawl) -> DataFrame:
-    """Fact rows of the crawled pages; html never meets a shuffle."""
-    marks, small = hint_if_small(crawl.plan.select("page_id", "site_key", "crawl_rank"))
-    if small:
-        chosen = crawl.pages.join(marks.select("page_id"), "page_id", "left_semi")
-        return page_facts(chosen).join(marks, "page_id")
-    return page_facts(crawl.pages).join(marks, "page_id")
+def deep_facts(crawl: Crawl, pages: DataFrame | None = None) -> DataFrame:
+    """Fact rows of the crawled pages, under the addresses they were queued by."""
+    marks = crawl.plan.select("page_id", "url", "site_key", "crawl_rank")
+    html = (crawl.pages if pages is None else pages).select("page_id", "html")
+    keyed = marks.select("page_id", "site_key", "crawl_rank")
+    return page_facts(html.join(marks.select("page_id", "url"), "page_id")).join(keyed, "page_id")
 
 
-def deep_report(crawl: Crawl, responses: DataFrame) -> DataFrame:
-    """Page results with cleaned findings; ``responses`` is (page_id, text)."""
-    facts = deep_facts(crawl).select("site_key", "crawl_rank", "page_id", "url", "title")
-    return J.page_results(facts, responses)
+def deep_report(
+    crawl: Crawl, responses: DataFrame, panels: DataFrame | None = None,
+    pages: DataFrame | None = None,
+) -> DataFrame:
+    """One record per site: its page results, the synthesis line and the reader panel.
+
+    ``responses`` is (page_id, text), ``panels`` (site_key, text).
+    """
+    facts = deep_facts(crawl, pages).select("site_key", "crawl_rank", "page_id", "url", "title")
+    results = materialize(J.page_results(facts, responses), "page-results")
+    report = deep_payload(results).join(J.synthesis_input(results), "site_key", "left")
+    if panels is None:
+        return report
+    cleaned = panels.select("site_key", J.clean_panel(F.col("text")).alias("panel"))
+    return report.join(cleaned, "site_key", "left")
 
 
 def page_audit(pages: DataFrame, url: str) -> DataFrame:
-    """Fact row of one page."""
+    """Fact row of one page; a stored ``page_key`` column lets the filter reach the scan."""
     return page_facts(single_page(usable_pages(pages), url))

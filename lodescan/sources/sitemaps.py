@@ -29,13 +29,16 @@ def sitemap_files(sitemaps: DataFrame) -> DataFrame:
 
 
 def choose_sitemaps(files: DataFrame) -> DataFrame:
-    """First usable file of each origin, in the order the well-known paths are tried."""
-    return (
+    """First usable file of each origin, in the order the well-known paths are tried.
+
+    The path is chosen without its addresses, which join it afterwards.
+    """
+    first = (
         files.filter(F.col("priority").isNotNull())
         .groupBy("origin")
-        .agg(F.min_by(F.struct("path", "is_index", "locs"), "priority").alias("first"))
-        .select("origin", "first.*")
+        .agg(F.min_by("path", "priority").alias("path"))
     )
+    return files.select("origin", "path", "is_index", "locs").join(first, ["origin", "path"])
 
 
 def child_sitemaps(chosen: DataFrame) -> DataFrame:
@@ -94,4 +97,4 @@ def sitemap_seeds(urls: DataFrame) -> DataFrame:
     loc = Url(F.col("loc"))
     return urls.filter(
         (loc.site == Url(F.col("origin")).site) & ~is_asset(loc.path)
-    ).select("origin", "file_no", "pos", loc.key.alias("page_key"))
+    ).select("origin", "file_no", "pos", loc.key.alias("page_key"), loc.href.alias("url"))

@@ -7,7 +7,7 @@ from lodescan.operators import crawl as C
 from lodescan.operators.grouping import first_per_key, number_within, top_per_group
 from lodescan.plans import audits as P
 from lodescan.sources.sitemaps import sitemap_seeds, sitemap_totals, sitemap_urls
-from lodescan.sources.tables import page_index, usable_pages
+from lodescan.sources.tables import usable_pages
 
 
 def fifo(pages, seeds, cap, per_page):
@@ -54,10 +54,10 @@ def test_crawl_equals_queue(spark, seed, cap, per_page):
     ]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
     seed_rows = [
-        (f"https://{h}", 0, pos, h + path) for h, paths in seeds.items() for pos, path in enumerate(paths)
+        (f"https://{h}", 0, pos, h + path, f"https://{h}{path}") for h, paths in seeds.items() for pos, path in enumerate(paths)
     ]
-    seed_df = spark.createDataFrame(seed_rows, "origin string, file_no int, pos int, page_key string")
-    plan = C.select_crawl(page_index(df), C.page_links(df, per_page), seed_df, cap)
+    seed_df = spark.createDataFrame(seed_rows, "origin string, file_no int, pos int, page_key string, url string")
+    plan = C.select_crawl(df, seed_df, cap, per_page)
     got = {(r.site_key, r.page_id, r.crawl_rank) for r in plan.collect()}
     assert got == fifo(pages, seeds, cap, per_page)
 
@@ -68,10 +68,57 @@ def test_links_to_other_origins_and_assets_are_not_followed(spark):
         (i, f"https://a.com/{p}", "<p>") for i, p in enumerate(["b", "c", "d.pdf", "e"], 1)
     ]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    plan = C.select_crawl(page_index(df), C.page_links(df))
+    plan = C.select_crawl(df)
     assert [r.page_id for r in plan.orderBy("crawl_rank").collect()] == [0, 4]
 
 
+def test_links_are_resolved_against_the_queued_address(spark):
+    """A page stored under another spelling of its site goes on linking inside the crawl."""
+    rows = [
+        (0, "https://a.com/", '<a href="/b">b</a>'), (1, "http://www.a.com/b", '<a href="/c">c</a>'),
+        (2, "https://a.com/C/", '<a href="?q=1">q</a><a href="d">d</a>'), (3, "https://www.a.com/d", "x"),
+    ]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    plan = C.select_crawl(df).orderBy("crawl_rank").collect()
+    assert [(r.page_id, r.url) for r in plan] == [
+        (0, "https://a.com/"), (1, "https://a.com/b"), (2, "https://a.com/c"), (3, "https://a.com/d")]
+
+
+def test_only_frontier_pages_are_searched_for_links(spark, monkeypatch):
+    """A site that its sitemap fills needs no link; of the others, pages found last only."""
+    read = []
+    whole = C.page_links
+
+    def watched(pages, *rest):
+        read.append(sorted(r.page_id for r in pages.select("page_id").collect()))
+        return whole(pages, *rest)
+
+    monkeypatch.setattr(C, "page_links", watched)
+    rows = [(i, f"https://a.com/{i}", '<a href="/1">x</a><a href="/4">y</a>') for i in range(6)]
+    rows += [(10 + i, f"https://b.com/{i}", '<a href="/1">x</a>') for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    seeds = spark.createDataFrame(
+        [("https://a.com", 0, i, f"a.com/{i}", f"https://a.com/{i}") for i in range(6)],
+        "origin string, file_no int, pos int, page_key string, url string")
+    plan = C.select_crawl(df, seeds, cap=3)
+    assert sorted(r.page_id for r in plan.collect()) == [0, 1, 2, 10, 11]
+    assert read == [[10], [11]]
+
+
+def test_a_large_site_keeps_all_its_sitemap_pages(spark, monkeypatch):
+    from checks import inputs as I
+
+    monkeypatch.setattr(I, "SITEMAP_PLAIN_PAGES", 5)
+    host = next(h for h in (f"abc{c}defgh.example" for c in "abcdefghijklmnop") if spark.sql(
+        f"SELECT {I.SITE_NO.replace('host', repr(h))} % 4 = 2 AS x").first().x)
+    rows = [(i, f"https://{host}/{i}", host, f"https://{host}", i + 1) for i in range(12)]
+    numbered = spark.createDataFrame(rows, "page_id long, url string, site_key string, origin string, page_no long")
+    files = I.sitemaps(numbered)
+    assert {r.path for r in files.collect()} == {
+        "/wp-sitemap.xml", "/sitemap-misc-0.xml", "/sitemap-post-1.xml"}
+    assert sitemap_totals(sitemap_urls(files)).first().sitemap_total == 12 + 2 * 2  # each file adds two
+
+
 def test_link_budget_counts_resolvable_links_only(spark):
     html = '<a href="http://">bad</a><a href="mailto:x">m</a><a href="/1">1</a><a href="/2">2</a>'
     df = spark.createDataFrame([(0, "https://a.com/", html)], "page_id bigint, url string, html string")
@@ -126,8 +173,11 @@ def test_summary_and_deep_plans(spark):
     assert (audit["b.com"].site_size, audit["b.com"].tier, audit["b.com"].quote_total) == (60, "enterprise", None)
     assert audit["a.com"].question_heading_pages == ["/b"]
     replies = spark.createDataFrame([(0, '{"role":"Home","findings":[]}'), (1, "nonsense")], "page_id bigint, text string")
-    deep = P.deep_report(crawl, replies).orderBy("page_id").collect()
-    assert [(r.page_id, r.role) for r in deep] == [(0, "Home"), (2, "")]
+    panels = spark.createDataFrame([("a.com", '{"panel":[{"name":"N","role":"R","comment":"C"}]}')], "site_key string, text string")
+    deep = {r.site_key: r for r in P.deep_report(crawl, replies, panels).collect()}
+    assert [(p.url, p.role) for p in deep["a.com"].pages] == [("https://a.com/", "Home")]
+    assert deep["a.com"].panel[0].name == "N" and deep["b.com"].panel is None
+    assert deep["b.com"].synthesis == "https://b.com/ (): "
     one = P.page_audit(pages, "http://www.a.com/B/").collect()
     assert [(r.page_id, r.question_headings) for r in one] == [(1, 1)]
 
@@ -157,11 +207,13 @@ def test_first_and_top(spark):
     assert {(r.k, r.v) for r in top} == {("a", "x"), ("b", "z")}
 
 
-def test_html_never_meets_a_shuffle_in_the_signals(spark):
-    from lodescan.operators.signals import crawl_by_id, page_signals
+def test_html_of_a_small_crawl_is_read_in_place(spark):
+    from lodescan.operators.signals import crawled_signals
+    from lodescan.session import materialize
 
-    pages = spark.range(100).selectExpr("id AS page_id", "concat('https://s', id % 7, '.com/', id) AS url", "'<p>' AS html")
-    plan = page_signals(pages).join(crawl_by_id(pages).hint("merge"), "page_id")._jdf.queryExecution().executedPlan().toString()
+    pages = materialize(spark.range(100).selectExpr("id AS page_id", "concat('https://s', id % 7, '.com/', id) AS url", "'<p>' AS html"), "pages")
+    crawl = materialize(C.select_crawl(pages), "crawl")
+    plan = crawled_signals(pages, crawl)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange" in line]
-    assert exchanges and not any("html" in line for line in exchanges)
-    assert "WindowGroupLimit" in plan
+    assert any("BroadcastExchange" in line for line in exchanges)
+    assert not any("html" in line for line in exchanges)
