@@ -451,21 +451,30 @@ human AS (
 LOG = f"log AS ({derived(I.REQUEST_LOG)})"
 
 
-def limiter(where: str = "true") -> str:
+EVENT_REQUESTS = "SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS ip, epoch_us(ts) AS ts FROM events"
+
+
+def limiter(where: str = "true", source: str = EVENT_REQUESTS, window: str = str(WINDOW), soft: str = str(SOFT), daily: str = str(DAILY)) -> str:
     """Greedy sliding window, one request of each key per recursion step."""
     return f"""numbered AS (
-  SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS ip, epoch_us(ts) AS ts,
-    row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS rn FROM events WHERE {where}
+  SELECT event_id, kind, ip, ts, row_number() OVER (PARTITION BY kind, ip ORDER BY ts, event_id) AS rn FROM ({source}) WHERE {where}
 ), decided AS (
   SELECT event_id, kind, ip, ts, rn, true AS soft_ok, [ts] AS hits FROM numbered WHERE rn = 1
   UNION ALL
-  SELECT event_id, kind, ip, ts, rn, len(live) < {SOFT}, CASE WHEN len(live) < {SOFT} THEN list_append(live, ts) ELSE live END
-  FROM (SELECT n.*, list_filter(d.hits, lambda x: n.ts - x < {WINDOW}) AS live FROM decided d JOIN numbered n ON n.kind = d.kind AND n.ip = d.ip AND n.rn = d.rn + 1)
+  SELECT event_id, kind, ip, ts, rn, len(live) < {soft}, CASE WHEN len(live) < {soft} THEN list_append(live, ts) ELSE live END
+  FROM (SELECT n.*, list_filter(d.hits, lambda x: n.ts - x < {window.replace('kind', 'n.kind')}) AS live FROM decided d JOIN numbered n ON n.kind = d.kind AND n.ip = d.ip AND n.rn = d.rn + 1)
 ), capped AS (
-  SELECT *, soft_ok AND row_number() OVER (PARTITION BY kind, ip, ts // 86400000000, soft_ok ORDER BY ts, event_id) <= {DAILY} AS daily_ok FROM decided
+  SELECT *, soft_ok AND row_number() OVER (PARTITION BY kind, ip, ts // 86400000000, soft_ok ORDER BY ts, event_id) <= {daily} AS daily_ok FROM decided
 )"""
 
 
+GUARDED = limiter(
+    source="""SELECT event_id, ['audit', 'deep', 'page'][CAST(event_id % 3 + 1 AS INT)] AS kind,
+  CASE WHEN event_id % 5 IN (1, 2) THEN '0.0.0.0' ELSE CAST(user_id AS VARCHAR) END AS ip, epoch_us(ts) // 1000 AS ts FROM events""",
+    window="CASE kind WHEN 'deep' THEN 1800000000 ELSE 1200000000 END",
+    soft="CASE kind WHEN 'audit' THEN 8 WHEN 'deep' THEN 3 ELSE 10 END",
+    daily="CASE kind WHEN 'audit' THEN 20 WHEN 'deep' THEN 6 ELSE 30 END",
+)
 LIMITED = with_tables(limiter(), recursive=True) + "SELECT event_id, soft_ok, daily_ok, daily_ok AS admitted FROM capped"
 
 PANEL_ROWS = (
@@ -641,7 +650,7 @@ ORACLE: dict[str, str] = {
   FROM results r LEFT JOIN sizes s USING (site_key) LEFT JOIN known_sites h USING (site_key) GROUP BY r.site_key)""",
         recursive=True,
     )
-    + f"""SELECT site_key, crawl_rank, {path('url')} AS path, role, pos, CASE priority WHEN 'high' THEN 'Critical' WHEN 'med' THEN 'Important' ELSE 'Polish' END AS label, title, rec, coverage
+    + f"""SELECT site_key, crawl_rank, {path('url')} AS path, role, pos, CASE priority WHEN 'high' THEN 'Critical' WHEN 'med' THEN 'Important' ELSE 'Polish' END AS label, CASE priority WHEN 'high' THEN '#c0492a' WHEN 'med' THEN '#c9952f' ELSE '#4a6b5b' END AS color, title, rec, coverage
   FROM found JOIN coverage USING (site_key)""",
     "deep_payload": with_tables(*DEEP_CRAWLED, REPLIES, CRAWL_15, recursive=True)
     + f"""SELECT r.site_key, CAST(row_number() OVER (PARTITION BY r.site_key ORDER BY r.crawl_rank) - 1 AS INT) AS pos, r.url, {title_of('s.html')} AS title, r.role,
@@ -692,11 +701,14 @@ ORACLE: dict[str, str] = {
   AND NOT coalesce(regexp_replace(lower(regexp_extract(origin, '^https?://([^/]+)', 1)), CASE WHEN starts_with(origin, 'https') THEN ':443$' ELSE ':80$' END, '') = host, false)""",
     "soft_limit": with_tables(limiter(), recursive=True) + "SELECT event_id, kind, ip, soft_ok FROM decided",
     "daily_cap": LIMITED,
-    "bypass": with_tables(limiter("NOT ends_with(CAST(user_id AS VARCHAR), '7')"), recursive=True)
+    "bypass": with_tables(limiter("NOT ends_with(ip, '7')"), recursive=True)
     + "SELECT event_id, daily_ok AS admitted FROM capped UNION ALL SELECT event_id, true FROM events WHERE ends_with(CAST(user_id AS VARCHAR), '7')",
+    "guard_limits": with_tables(GUARDED, recursive=True)
+    + "SELECT event_id, kind, ip, soft_ok, daily_ok, daily_ok AS admitted FROM capped",
     "trailing_hits": f"""SELECT event_id, count(*) OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts) RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS hits FROM events""",
     "daily_counts": "SELECT event_type AS kind, CAST(user_id AS VARCHAR) AS ip, epoch_us(ts) // 86400000000 AS day, count(*) AS requests FROM events GROUP BY ALL",
-    "stream_soft_limit": LIMITED,
+    # one file after the other in the order of time: no request is late
+    "stream_soft_limit": LIMITED.replace("SELECT event_id, soft_ok", "SELECT event_id, false AS late, soft_ok"),
     "stream_leads": with_tables(LEADS, LEADS_OK)
     + "SELECT lead_id, email, true AS accepted FROM accepted UNION ALL SELECT lead_id, email, false FROM leads WHERE NOT coalesce(name <> '' AND email <> '', false)",
 }

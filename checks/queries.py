@@ -474,7 +474,11 @@ def lead_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leads_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The lead sink, appended to and read back, reduced to the last row of each key."""
     accepted, _ = L.validate_leads(I.leads(spark, sf))
+    path = new_folder(spark, "lead-sink")
+    sinks.append_leads(accepted, path)
+    accepted = spark.read.schema(accepted.schema).parquet(path)
     return sinks.latest_leads(accepted).select("received_at", "email", "lead_id", "name", "score")
 
 
@@ -539,26 +543,30 @@ def daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     return M.daily_counts(I.limiter_requests(spark, sf))
 
 
+def guard_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every kind under its own limits, requests without an ip under one."""
+    decided = M.guard_limits(I.guard_requests(spark, sf))
+    return decided.select("event_id", "kind", "ip", "soft_ok", "daily_ok", "admitted")
+
+
 def stream_soft_limit(spark: SparkSession, sf: str) -> DataFrame:
-    schema = I.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    requests = events.select(
-        F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("ip"),
-        M.micros(F.col("ts")).alias("ts"), "event_id",
-    )
-    out = run_available(limit_stream(requests, WINDOW, SOFT, DAILY), spark, "limiter")
-    return out.select("event_id", "soft_ok", "daily_ok", "admitted")
+    """The requests in several micro-batches, the state carried from one to the next."""
+    folder = I.request_files(spark, sf)
+    requests = spark.readStream.schema(
+        "kind string, ip string, ts bigint, event_id bigint"
+    ).option("maxFilesPerTrigger", 1).parquet(folder)
+    limited = limit_stream(requests, WINDOW, SOFT, DAILY, ttl_ms=None)
+    out = run_available(limited, spark, "limiter")
+    return out.select("event_id", "soft_ok", "daily_ok", "admitted", "late")
 
 
 def stream_leads(spark: SparkSession, sf: str) -> DataFrame:
     schema = I.table(spark, sf, "customer").schema
     customers = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf)
     leads = spark.sql(I.LEADS, customer=customers)
-    accepted, rejected = new_folder(spark, "leads"), new_folder(spark, "lead-rejects")
-    write_lead_stream(leads, accepted, rejected, new_folder(spark, "lead-checkpoint")).awaitTermination()
-    good, bad = spark.read.parquet(accepted), spark.read.parquet(rejected)
-    marked = good.select("lead_id", "email", F.lit(True).alias("accepted"))
-    return marked.unionByName(bad.select("lead_id", "email", F.lit(False).alias("accepted")))
+    path = new_folder(spark, "leads")
+    write_lead_stream(leads, path, new_folder(spark, "lead-checkpoint")).awaitTermination()
+    return spark.read.parquet(path).select("lead_id", "email", F.col("accepted").cast("boolean"))
 
 
 QUERIES: dict[str, Query] = {
@@ -575,6 +583,6 @@ QUERIES: dict[str, Query] = {
         panel_clean,
         speed_readings, leads_valid, leads_rejected, lead_summary, leads_latest,
         intake_long, intake_markdown, request_meta, origin_rejects, soft_limit, daily_cap,
-        bypass, trailing_hits, daily_counts, stream_soft_limit, stream_leads,
+        bypass, guard_limits, trailing_hits, daily_counts, stream_soft_limit, stream_leads,
     ]
 }

@@ -160,10 +160,6 @@ def has_property(html: Column, name: str) -> Column:
     return found_near(html, dict(V.SCHEMA_PROPERTIES)[name], name.lower())
 
 
-def schema_props(html: Column) -> Column:
-    return F.struct(*[has_property(html, n).alias(n) for n, _ in V.SCHEMA_PROPERTIES])
-
-
 def question_heading_count(html: Column) -> Column:
     def text(heading: Column) -> Column:
         return collapse_ws(F.regexp_replace(heading, V.ANY_TAG, " "))

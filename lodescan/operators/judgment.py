@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions import html as H
-from ..functions.scoring import priority_label, round_half_up
+from ..functions.scoring import priority_color, priority_label, round_half_up
 from ..functions.text import choose, or_blank, trim_ws
 from ..functions.urls import path_or_root
 
@@ -259,6 +259,7 @@ def report_lines(results: DataFrame, summary: DataFrame | None = None) -> DataFr
     lines = found.select(
         "site_key", "crawl_rank", "path", "role", "pos",
         priority_label(F.col("finding.priority")).alias("label"),
+        priority_color(F.col("finding.priority")).alias("color"),
         F.col("finding.title").alias("title"),
         F.col("finding.rec").alias("rec"),
     )

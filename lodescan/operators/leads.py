@@ -14,25 +14,29 @@ def valid_email(text: Column) -> Column:
     return F.when(trimmed.rlike(V.EMAIL), F.left(trimmed, F.lit(V.EMAIL_CHARS)))
 
 
-def _complete() -> Column:
+def is_complete() -> Column:
     return F.coalesce((F.col("name") != "") & (F.col("email") != ""), F.lit(False))
 
 
+def shortened(leads: DataFrame, chosen: Column | None = None) -> DataFrame:
+    """Leads as they are stored: long fields cut, blanks for nulls; of ``chosen`` rows only."""
+    values = {
+        **{name: F.left(or_blank(F.col(name)), F.lit(n)) for name, n in V.LEAD_CHARS.items()},
+        "url": or_blank(F.col("url")),
+        "tier": or_blank(F.col("tier")),
+        "score": or_blank(F.col("score")),
+        "mockup": F.coalesce(F.col("mockup"), F.lit(False)),
+    }
+    if chosen is None:
+        return leads.withColumns(values)
+    return leads.withColumns({
+        name: F.when(chosen, value).otherwise(F.col(name)) for name, value in values.items()
+    })
+
+
 def validate_leads(leads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): name and email are required, long fields are cut."""
-    cut = {
-        name: F.left(or_blank(F.col(name)), F.lit(chars)) for name, chars in V.LEAD_CHARS.items()
-    }
-    accepted = leads.filter(_complete()).withColumns(
-        {
-            **cut,
-            "url": or_blank(F.col("url")),
-            "tier": or_blank(F.col("tier")),
-            "score": or_blank(F.col("score")),
-            "mockup": F.coalesce(F.col("mockup"), F.lit(False)),
-        }
-    )
-    return accepted, leads.filter(~_complete())
+    return shortened(leads.filter(is_complete())), leads.filter(~is_complete())
 
 
 def lead_summary(leads: DataFrame) -> DataFrame:

@@ -6,29 +6,56 @@ other. What keeps that parallel and bounded:
 * Requests further apart than the window cannot affect each other, so each key's timeline
   falls into independent chains, found on pre-aggregated counts per time slice.
 * Chains no longer than the limit are admitted without any sequential work.
-* Other chains are decided in sorted partitions with a state of ``soft`` timestamps.
+* Other chains are decided in sorted partitions with a state of ``soft`` timestamps; the work
+  is per admitted request, rejected ones are passed over by binary search.
 * A chain too long for one task is cut into chunks. Chunk after chunk is decided, for all
-  long chains at once, and only the last ``soft`` admitted timestamps travel on.
+  long chains at once, and only the last ``soft`` admitted timestamps travel on. Each request
+  depends on the ones before it, so these rounds are needed; they number as the longest chain
+  has chunks, and the result does not depend on where a chain is cut.
 * A single slice that is itself too long is first reduced, before its shuffle, to the few
   requests that can be admitted: the first ``soft`` after each moment a slot frees up.
+
+Every kind may have its own limits. A request without an ip counts for ``UNKNOWN_IP``, and one
+without a kind for the empty kind.
 """
 
 from __future__ import annotations
 
-import math
 from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..fixed_values import GUARD_LIMITS, UNKNOWN_IP
 from ..session import materialize
 from .grouping import top_per_group
 
 KEYS = ["kind", "ip"]
 SLICES_PER_WINDOW = 16
 CHUNK_ROWS = 1_000_000
+# kind -> its value; a plain number holds for every kind
+PerKind = int | dict[str, int]
+
+
+def by_kind(values: PerKind) -> Column:
+    """The value of a row's kind; kinds that a table of them lacks are a mistake."""
+    if not isinstance(values, dict):
+        return F.lit(values).cast("long")
+    chosen = F.raise_error(F.concat(F.lit("no limits for kind "), F.col("kind"))).cast("long")
+    for kind, value in values.items():
+        chosen = F.when(F.col("kind") == kind, F.lit(value).cast("long")).otherwise(chosen)
+    return chosen
+
+
+def keyed(requests: DataFrame) -> DataFrame:
+    """Requests whose kind and ip are filled in."""
+    return requests.withColumns({
+        "kind": F.coalesce("kind", F.lit("")),
+        "ip": F.when(F.col("ip") != "", F.col("ip")).otherwise(F.lit(UNKNOWN_IP)),
+    })
 
 
 def micros(ts: Column) -> Column:
@@ -39,51 +66,73 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
-def _decide(window: int, soft: int):
-    """Partition function over rows sorted by (kind, ip, chain, carried, ts, event_id)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, hits = None, deque()
-        for batch in batches:
-            verdicts = []
-            rows = zip(batch["kind"], batch["ip"], batch["chain"], batch["carried"], batch["ts"])
-            for kind, ip, chain, carried, ts in rows:
-                if (kind, ip, chain) != current:
-                    current, hits = (kind, ip, chain), deque()
-                while hits and ts - hits[0] >= window:
-                    hits.popleft()
-                admitted = bool(carried) or len(hits) < soft
-                if admitted:
-                    hits.append(ts)
-                verdicts.append(admitted)
-            yield batch.assign(soft_ok=verdicts)
-
-    return run
-
-
-def _run_chains(rows: DataFrame, window: int, soft: int) -> DataFrame:
-    """Decide rows of (kind, ip, chain, carried, ts, event_id); state rows come first."""
+def _decide_run(ts: np.ndarray, window: int, soft: int, hits: deque) -> np.ndarray:
+    """Which of these sorted requests of one chain are admitted; ``hits`` goes on to the next."""
+    admitted = np.zeros(len(ts), bool)
+    at = 0
+    while at < len(ts):
+        if len(hits) >= soft:
+            # the oldest of the last ``soft`` admitted must have left the window
+            at = max(at, int(np.searchsorted(ts, hits[0] + window))) if soft else len(ts)
+            if at == len(ts):
+                break
+            hits.popleft()
+        admitted[at] = True
+        hits.append(int(ts[at]))
+        at += 1
+    return admitted
+
+
+def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (kind, ip, chain, carried, ts, event_id); carried rows are admitted ones."""
+    current, hits = None, deque()
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = list(zip(batch["kind"], batch["ip"], batch["chain"], batch["carried"], strict=True))
+        starts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+        ts = batch["ts"].to_numpy()
+        verdicts = np.zeros(len(batch), bool)
+        for begin, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if keys[begin][:3] != current:
+                current, hits = keys[begin][:3], deque()
+            if keys[begin][3]:
+                hits.extend(ts[begin:end].tolist())
+                verdicts[begin:end] = True
+                continue
+            window, soft = int(batch["window"].iloc[begin]), int(batch["soft"].iloc[begin])
+            while len(hits) > soft:
+                hits.popleft()
+            verdicts[begin:end] = _decide_run(ts[begin:end], window, soft, hits)
+        yield batch.assign(soft_ok=verdicts)
+
+
+COLUMNS = [*KEYS, "chain", "ts", "event_id", "window", "soft"]
+
+
+def _run_chains(rows: DataFrame) -> DataFrame:
+    """Decide rows of ``COLUMNS`` and carried; state rows come first."""
     order = [*KEYS, "chain", F.desc("carried"), "ts", "event_id"]
-    columns = [*KEYS, "chain", "carried", "ts", "event_id"]
-    rows = rows.select(*columns)
+    rows = rows.select(*COLUMNS, "carried")
     schema = rows.schema.simpleString()[len("struct<"):-1] + ",soft_ok:boolean"
     ready = rows.repartition(*KEYS, "chain").sortWithinPartitions(*order)
-    return ready.mapInPandas(_decide(window, soft), schema)
+    return ready.mapInPandas(_decide, schema)
 
 
-def _slices(requests: DataFrame, width: int, window: int, chunk_rows: int) -> DataFrame:
+def _slices(requests: DataFrame, chunk_rows: int) -> DataFrame:
     """Per key and time slice: its chain, its chunk in the chain and the chain's size."""
-    counts = requests.groupBy(*KEYS, "slice").agg(F.count("*").alias("rows"))
+    counts = requests.groupBy(*KEYS, "slice", "width", "window").agg(F.count("*").alias("rows"))
     timeline = Window.partitionBy(*KEYS).orderBy("slice")
     chain = Window.partitionBy(*KEYS, "chain").orderBy("slice")
-    idle = (F.col("slice") - F.lag("slice").over(timeline) - 1) * width >= window
+    gap = (F.col("slice") - F.lag("slice").over(timeline) - 1) * F.col("width")
     before = F.coalesce(
         F.sum("rows").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     marked = (
-        counts.withColumn("opens", F.coalesce(idle, F.lit(True)).cast("bigint"))
+        counts.withColumn("opens", F.coalesce(gap >= F.col("window"), F.lit(True)).cast("bigint"))
         .withColumn("chain", F.sum("opens").over(timeline))
-        .withColumn("bin", F.floor(before / chunk_rows))
+        .withColumn("before", before)
+        .withColumn("bin", F.expr(f"before div {chunk_rows}"))
         .withColumn("oversize", F.col("rows") > chunk_rows)
     )
     cut = (
@@ -101,14 +150,14 @@ def _slices(requests: DataFrame, width: int, window: int, chunk_rows: int) -> Da
     )
 
 
-def _possible(rows: DataFrame, state: DataFrame, window: int, soft: int) -> DataFrame:
+def _possible(rows: DataFrame, state: DataFrame) -> DataFrame:
     """Rows of an oversize slice that can be admitted at all, given the carried hits.
 
     The slice is shorter than the window, so between two moments at which a carried hit
     expires no more than ``soft`` requests, the earliest ones, can be admitted.
     """
     expiry = state.groupBy(*KEYS, "chain").agg(
-        F.collect_list(F.col("ts") + window).alias("expiry")
+        F.collect_list(F.col("ts") + F.col("window")).alias("expiry")
     )
     stage = F.coalesce(
         F.size(F.filter("expiry", lambda e: e <= F.col("ts"))), F.lit(0)
@@ -116,28 +165,31 @@ def _possible(rows: DataFrame, state: DataFrame, window: int, soft: int) -> Data
     staged = rows.join(expiry, [*KEYS, "chain"], "left").withColumn(
         "stage", F.when(F.col("expiry").isNull(), F.lit(0)).otherwise(stage)
     )
+    # the largest limit lets the planner cut before the shuffle, the kind's own one decides
+    most = rows.agg(F.max("soft")).first()[0] or 1
     return top_per_group(
-        staged, [*KEYS, "chain", "stage"], [F.col("ts"), F.col("event_id")], soft, "nth"
-    ).drop("expiry", "stage", "nth")
+        staged, [*KEYS, "chain", "stage"], [F.col("ts"), F.col("event_id")], most, "nth"
+    ).filter(F.col("nth") <= F.col("soft")).drop("expiry", "stage", "nth")
 
 
-def _decide_long_chains(rows: DataFrame, window: int, soft: int) -> DataFrame:
+def _decide_long_chains(rows: DataFrame) -> DataFrame:
     rows = materialize(rows, "long-chains")
     last = rows.agg(F.max("chunk")).first()[0]
-    columns = [*KEYS, "chain", "ts", "event_id"]
     latest = [F.desc("ts"), F.desc("event_id")]
-    state = rows.limit(0).select(*columns)
+    state = rows.limit(0).select(*COLUMNS)
+    most = rows.agg(F.max("soft")).first()[0] or 1
     admitted = []
     for number in range(0 if last is None else last + 1):
         chunk = rows.filter(F.col("chunk") == number)
-        oversize = _possible(chunk.filter("oversize"), state, window, soft)
+        oversize = _possible(chunk.filter("oversize"), state)
         todo = chunk.filter("not oversize").unionByName(oversize)
         carried = state.withColumn("carried", F.lit(True))
-        queue = todo.select(*columns, F.lit(False).alias("carried")).unionByName(carried)
-        done = _run_chains(queue, window, soft).filter("soft_ok")
-        done = materialize(done.select(*columns, "carried"), "chunk-admitted")
+        queue = todo.select(*COLUMNS, F.lit(False).alias("carried")).unionByName(carried)
+        done = _run_chains(queue).filter("soft_ok")
+        done = materialize(done.select(*COLUMNS, "carried"), "chunk-admitted")
         admitted.append(done.filter("not carried").select(*KEYS, "event_id"))
-        state = top_per_group(done, [*KEYS, "chain"], latest, soft, "nth").select(*columns)
+        state = top_per_group(done, [*KEYS, "chain"], latest, most, "nth") \
+            .filter(F.col("nth") <= F.col("soft")).select(*COLUMNS)
     if not admitted:
         return rows.select(*KEYS, "ts", "event_id", F.lit(True).alias("soft_ok"))
     winners = reduce(DataFrame.unionByName, admitted).withColumn("soft_ok", F.lit(True))
@@ -147,57 +199,70 @@ def _decide_long_chains(rows: DataFrame, window: int, soft: int) -> DataFrame:
 
 
 def soft_limit(
-    requests: DataFrame, window: int, soft: int, chunk_rows: int = CHUNK_ROWS
+    requests: DataFrame, window: PerKind, soft: PerKind, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Adds ``soft_ok`` to (kind, ip, ts, event_id); ``ts`` and ``window`` in microseconds.
 
     A request is admitted while fewer than ``soft`` earlier admitted requests of its key
-    lie less than ``window`` before it.
+    lie less than ``window`` before it. Ids are unique.
     """
-    width = max(window // SLICES_PER_WINDOW, 1)
-    sliced = requests.select(*KEYS, "ts", "event_id").withColumn(
-        "slice", F.floor(F.col("ts") / width)
+    sliced = (
+        keyed(requests.select(*KEYS, "ts", "event_id"))
+        .withColumn("window", by_kind(window))
+        .withColumn("soft", by_kind(soft))
+        .withColumn("width", F.expr(f"greatest(window div {SLICES_PER_WINDOW}, 1)"))
+        .withColumn("slice", F.expr("(ts - pmod(ts, width)) div width"))
     )
-    slices = materialize(_slices(sliced, width, window, chunk_rows), "time-slices")
+    slices = materialize(_slices(sliced, chunk_rows), "time-slices")
     placed = sliced.join(slices, [*KEYS, "slice"])
     result = [*KEYS, "ts", "event_id", "soft_ok"]
 
-    quiet = placed.filter(F.col("chain_rows") <= soft).withColumn("soft_ok", F.lit(True))
-    busy = placed.filter((F.col("chain_rows") > soft) & ~F.col("long"))
-    busy = _run_chains(busy.withColumn("carried", F.lit(False)), window, soft)
+    quiet = placed.filter(F.col("chain_rows") <= F.col("soft")).withColumn("soft_ok", F.lit(True))
+    crowded = F.col("chain_rows") > F.col("soft")
+    busy = placed.filter(crowded & ~F.col("long"))
+    busy = _run_chains(busy.withColumn("carried", F.lit(False)))
     decided = quiet.select(*result).unionByName(busy.select(*result))
-    if not slices.filter((F.col("chain_rows") > soft) & F.col("long")).isEmpty():
-        long = placed.filter((F.col("chain_rows") > soft) & F.col("long"))
-        decided = decided.unionByName(_decide_long_chains(long, window, soft).select(*result))
+    if not slices.filter("long").isEmpty():
+        decided = decided.unionByName(
+            _decide_long_chains(placed.filter(crowded & F.col("long"))).select(*result)
+        )
     return decided
 
 
 def day_of(ts: Column) -> Column:
     """UTC day number of microseconds."""
-    return F.floor(ts / 86_400_000_000)
+    day = F.lit(86_400_000_000)
+    return F.floor((ts - F.pmod(ts, day)) / day)
+
 
+# rejected requests are not numbered; they go to so many parts of their key and day
+REJECT_PARTS = 1024
 
-def daily_cap(decided: DataFrame, daily: int) -> DataFrame:
+
+def daily_cap(decided: DataFrame, daily: PerKind) -> DataFrame:
     """Adds ``daily_ok``: the first ``daily`` soft-admitted requests of a key and UTC day.
 
     A request the cap rejects has used its slot in the sliding window all the same. The
-    soft limit bounds how many rows a key and day can bring here.
+    soft limit bounds how many admitted rows a key and day can bring here.
     """
-    admitted = decided.filter("soft_ok")
-    today = Window.partitionBy(*KEYS, day_of(F.col("ts"))).orderBy("ts", "event_id")
-    counted = admitted.withColumn("daily_ok", F.row_number().over(today) <= daily)
-    rejected = decided.filter(~F.col("soft_ok")).withColumn("daily_ok", F.lit(False))
-    return counted.unionByName(rejected)
+    part = F.when(F.col("soft_ok"), F.lit(-1)).otherwise(
+        F.pmod(F.xxhash64("event_id"), F.lit(REJECT_PARTS))
+    )
+    today = Window.partitionBy(*KEYS, day_of(F.col("ts")), part).orderBy("ts", "event_id")
+    return decided.withColumn("_nth", F.row_number().over(today)).withColumn(
+        "daily_ok", F.col("soft_ok") & (F.col("_nth") <= by_kind(daily))
+    ).drop("_nth")
 
 
 def limiter(
     requests: DataFrame,
-    window: int,
-    soft: int,
-    daily: int | None,
+    window: PerKind,
+    soft: PerKind,
+    daily: PerKind | None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Both limits. Requests with a true ``bypass`` skip them and are not recorded."""
+    requests = keyed(requests)
     has_bypass = "bypass" in requests.columns
     skip = F.coalesce(F.col("bypass"), F.lit(False)) if has_bypass else F.lit(False)
     decided = soft_limit(requests.filter(~skip), window, soft, chunk_rows)
@@ -213,8 +278,20 @@ def limiter(
     return decided.unionByName(free.withColumns(yes))
 
 
+def guard_limits(
+    requests: DataFrame, limits: dict[str, tuple[int, int, int]] = GUARD_LIMITS
+) -> DataFrame:
+    """The limiter with the limits of each kind: soft, window in seconds, daily."""
+    return limiter(
+        requests,
+        {kind: seconds * 1_000_000 for kind, (_, seconds, _) in limits.items()},
+        {kind: soft for kind, (soft, _, _) in limits.items()},
+        {kind: daily for kind, (_, _, daily) in limits.items()},
+    )
+
+
 def daily_counts(requests: DataFrame) -> DataFrame:
-    return requests.groupBy(*KEYS, day_of(F.col("ts")).alias("day")).agg(
+    return keyed(requests).groupBy(*KEYS, day_of(F.col("ts")).alias("day")).agg(
         F.count("*").alias("requests")
     )
 
@@ -222,32 +299,31 @@ def daily_counts(requests: DataFrame) -> DataFrame:
 def trailing_hits(requests: DataFrame, window: int) -> DataFrame:
     """Adds ``hits``: all requests of the key in the ``window`` microseconds up to each one.
 
-    The window is cut into slices. Whole slices come from counts; only the slice of the
-    request and the one a window earlier are compared row by row, so no task holds more
-    than two slices of a key.
+    Requests of one key and moment are counted together. Each count enters at its moment and
+    leaves a window later, and hits are the running balance. The changes are dealt to blocks
+    of near equal numbers by key and time; a block starts from the balance of the earlier
+    blocks of its key, so a hot key is shared by as many tasks as it needs.
     """
-    parts = math.gcd(window, SLICES_PER_WINDOW)
-    width = window // parts
-    rows = requests.select(*KEYS, "ts", "event_id").withColumn(
-        "slice", F.floor(F.col("ts") / width)
-    )
-    counts = rows.groupBy(*KEYS, "slice").agg(F.count("*").alias("rows"))
-    earlier = Window.partitionBy(*KEYS).orderBy("slice").rangeBetween(-parts, -1)
-    whole = counts.select(
-        *KEYS, "slice", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("whole")
-    )
-    expired = rows.select(
-        *KEYS, (F.col("ts") + window).alias("ts"), "event_id",
-        (F.col("slice") + parts).alias("slice"), F.lit(True).alias("expired"),
-    )
-    both = rows.withColumn("expired", F.lit(False)).unionByName(expired)
-    so_far = Window.partitionBy(*KEYS, "slice").orderBy("ts").rangeBetween(
+    rows = keyed(requests.select(*KEYS, "ts", "event_id"))
+    moments = rows.groupBy(*KEYS, "ts").agg(F.count("*").alias("change"))
+    leaving = moments.select(*KEYS, F.col("ts") + window, (-F.col("change")).alias("change"))
+    changes = moments.unionAll(leaving).repartitionByRange(*KEYS, "ts").withColumn(
+        "block", F.spark_partition_id()
+    )
+    changes = materialize(changes, "hit-changes")
+    earlier = Window.partitionBy(*KEYS).orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    opening = changes.groupBy(*KEYS, "block").agg(F.sum("change").alias("balance")).select(
+        *KEYS, "block", F.coalesce(F.sum("balance").over(earlier), F.lit(0)).alias("opening")
+    )
+    so_far = Window.partitionBy(*KEYS, "block").orderBy("ts").rangeBetween(
         Window.unboundedPreceding, 0
     )
-    balance = F.sum(F.when(F.col("expired"), F.lit(-1)).otherwise(F.lit(1))).over(so_far)
-    return (
-        both.withColumn("balance", balance)
-        .filter(~F.col("expired"))
-        .join(whole, [*KEYS, "slice"])
-        .select(*KEYS, "ts", "event_id", (F.col("balance") + F.col("whole")).alias("hits"))
+    balance = (
+        changes.withColumn("balance", F.sum("change").over(so_far))
+        .filter("change > 0")
+        .join(opening, [*KEYS, "block"])
+        .select(*KEYS, "ts", (F.col("balance") + F.col("opening")).alias("hits"))
     )
+    return rows.join(balance, [*KEYS, "ts"])

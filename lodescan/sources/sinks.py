@@ -10,10 +10,6 @@ def write_audits(payload: DataFrame, path: str, mode: str = "append") -> None:
     payload.write.mode(mode).partitionBy("tier").json(path)
 
 
-def audits_as_json(payload: DataFrame) -> DataFrame:
-    return payload.select("site_key", "tier", F.to_json(F.struct("*")).alias("payload"))
-
-
 def deep_payload(pages: DataFrame) -> DataFrame:
     """Page records per site in crawl order; a site has at most one crawl budget of them."""
     record = F.struct("crawl_rank", "url", "title", "role", "findings")

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.leads import validate_leads
+from ..operators.leads import is_complete, shortened
 
 
 def write_lead_stream(
-    leads: DataFrame, accepted: str, rejected: str, checkpoint: str
+    leads: DataFrame, path: str, checkpoint: str, **trigger: object
 ) -> StreamingQuery:
-    """Each batch replaces its own folder, so a repeated batch leaves no second copy."""
+    """Write leads under ``path``/batch=n/accepted=true and false, in one pass per batch.
+
+    Each batch replaces its own folder, so a repeated batch leaves no second copy. ``trigger``
+    is that of a stream writer; without one the source is processed as far as it goes now.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = validate_leads(batch)
-        good.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        marked = batch.withColumn("accepted", is_complete())
+        shortened(marked, F.col("accepted")).write.mode("overwrite") \
+            .partitionBy("accepted").parquet(f"{path}/batch={batch_id}")
 
     return (
         leads.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

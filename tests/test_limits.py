@@ -55,6 +55,40 @@ def test_soft_and_daily_equal_brute_force(spark, seed, n, span, window, soft, ch
     assert all(r.admitted == (r.soft_ok and r.daily_ok) for r in out)
 
 
+def test_kinds_have_their_own_limits_and_nulls_one_ip(spark):
+    r = random.Random(9)
+    rows = []
+    for event in range(400):
+        ip = r.choice([None, "", "0.0.0.0", "a", "b"])
+        rows.append((r.choice(["audit", "deep", "page"]), ip, r.randrange(40_000), event))
+    limits = {"audit": (3, 0.004, 5), "deep": (1, 0.0025, 2), "page": (6, 0.001, 400)}
+    df = spark.createDataFrame(rows, SCHEMA)
+    for chunk in (1_000_000, 20):
+        out = M.limiter(
+            df, {k: int(s * 1e6) for k, (_, s, _) in limits.items()},
+            {k: v[0] for k, v in limits.items()}, {k: v[2] for k, v in limits.items()}, chunk_rows=chunk,
+        ).collect()
+        assert len(out) == len(rows)
+        expected = {}
+        for kind, (soft, seconds, daily) in limits.items():
+            own = [(k, ip or "0.0.0.0", ts, e) for k, ip, ts, e in rows if k == kind]
+            expected |= brute_force(own, int(seconds * 1e6), soft, daily)
+        assert {r.event_id: (r.soft_ok, r.daily_ok) for r in out} == expected
+
+
+def test_unknown_kinds_are_a_mistake(spark):
+    df = spark.createDataFrame([("other", "a", 1, 1)], SCHEMA)
+    with pytest.raises(Exception, match="no limits for kind other"):
+        M.guard_limits(df).collect()
+
+
+def test_null_kinds_and_ips_keep_their_rows(spark):
+    rows = [(None, None, 1, 1), (None, None, 2, 2), ("a", "x", 1, 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.event_id: r.soft_ok for r in M.soft_limit(df, 10, 1).collect()} == {1: True, 2: False, 3: True}
+    assert {r.event_id: r.hits for r in M.trailing_hits(df, 10).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_rejects_do_not_extend_the_window(spark):
     rows = [("audit", "a", t, i) for i, t in enumerate([0, 5, 9, 10, 19, 20])]
     out = M.soft_limit(spark.createDataFrame(rows, SCHEMA), 10, 1).orderBy("ts").collect()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodescan.operators import limits as M
 from lodescan.session import new_folder
 from lodescan.streaming.leads import write_lead_stream
-from lodescan.streaming.limiter import limit_stream, live_ttl, run_available
+from lodescan.streaming.limiter import DAY, late_counts, limit_stream, live_ttl, run_available
 
 SCHEMA = "kind string, ip string, ts bigint, event_id bigint"
 
@@ -24,13 +24,33 @@ def test_stream_equals_batch(spark, seed):
         start = end
     window, soft, daily = 3 * 3_600_000_000, 3, 8
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = run_available(limit_stream(stream, window, soft, daily), spark, "limited")
+    out = run_available(limit_stream(stream, window, soft, daily, ttl_ms=None), spark, "limited")
     batch = M.limiter(spark.createDataFrame(rows, SCHEMA), window, soft, daily)
     key = ["event_id", "soft_ok", "daily_ok", "admitted"]
     assert {tuple(x) for x in out.select(*key).collect()} == {tuple(x) for x in batch.select(*key).collect()}
     assert live_ttl(window) == 90_000_000
 
 
+def test_late_rows_are_decided_on_arrival(spark):
+    """One request per batch: every day has its own counter, however late a request comes."""
+    days = [10, 10, 9, 10, 9, 10, 11, 9]
+    folder = new_folder(spark, "late")
+    for event, day in enumerate(days):
+        row = [("audit", None, day * DAY + event, event)]
+        spark.createDataFrame(row, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = run_available(limit_stream(stream, 1, 9, 1, ttl_ms=None), spark, "late-out")
+    rows = sorted(out.collect(), key=lambda r: r.event_id)
+    used, newest, expected = set(), -1, []
+    for event, day in enumerate(days):
+        expected.append((event, day not in used, day * DAY + event < newest))
+        used.add(day)
+        newest = max(newest, day * DAY + event)
+    assert [(r.event_id, r.admitted, r.late) for r in rows] == expected
+    assert {(r.day, r.late_requests) for r in late_counts(out).collect()} == {(9, 3)}
+    assert {r.ip for r in rows} == {"0.0.0.0"}
+
+
 def test_lead_stream_keeps_rejects(spark):
     rows = [(1, "Ann", "a@x.y"), (2, "", "b@x.y"), (3, "Cy", None)]
     source = new_folder(spark, "lead-source")
@@ -38,7 +58,8 @@ def test_lead_stream_keeps_rejects(spark):
     blank = {c: F.lit(None).cast("string") for c in ("url", "tier", "score", "business", "works", "broken", "budget")}
     leads = spark.readStream.schema("lead_id int, name string, email string").parquet(source)
     leads = leads.withColumns({**blank, "mockup": F.lit(True)})
-    accepted, rejected = new_folder(spark, "ok"), new_folder(spark, "bad")
-    write_lead_stream(leads, accepted, rejected, new_folder(spark, "checkpoint")).awaitTermination()
-    assert [r.lead_id for r in spark.read.parquet(accepted).collect()] == [1]
-    assert {r.lead_id for r in spark.read.parquet(rejected).collect()} == {2, 3}
+    path = new_folder(spark, "leads")
+    write_lead_stream(leads, path, new_folder(spark, "checkpoint")).awaitTermination()
+    rows = spark.read.parquet(path).select("lead_id", "accepted", "name", "url").collect()
+    assert {(r.lead_id, str(r.accepted)) for r in rows} == {(1, "true"), (2, "false"), (3, "false")}
+    assert {r.lead_id: r.url for r in rows} == {1: "", 2: None, 3: None}
