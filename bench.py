@@ -7,12 +7,13 @@ import os
 import time
 
 from checks.queries import QUERIES
-from lodescan.session import build_session
+from lodescan.session import build_session, clean_run
 
 HEADLINE = [
-    "page_facts", "page_text", "site_scorecard", "site_audit", "site_digests",
-    "sitemap_total", "crawl_plan_12", "findings_clean", "report_lines", "lead_summary",
-    "intake_long", "request_meta", "daily_cap", "trailing_hits", "stream_soft_limit",
+    "page_facts", "page_text", "site_scorecard", "summary_audit", "site_digests",
+    "sitemap_total", "crawl_plan_12", "deep_report", "findings_clean", "lead_summary",
+    "intake_long", "request_meta", "daily_cap", "guard_limits", "trailing_hits",
+    "stream_soft_limit",
 ]
 
 
@@ -52,6 +53,7 @@ def main() -> None:
     for name, rows in (("page_facts", pages), ("page_text", pages), ("daily_cap", events)):
         if name in seconds:
             result[f"{name}_rows_per_sec"] = round(rows / seconds[name], 1)
+    clean_run(spark)
     print(json.dumps(result))
 
 

@@ -70,6 +70,16 @@ TITLE = (
     " '\"', concat(chr(92), '\"')), chr(10), concat(chr(92), 'n'))"
 )
 
+# addresses as people write them, one kind after the other
+ODD_URLS = """
+SELECT page_id, url AS plain, CASE page_id % 8
+  WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN '' WHEN 2 THEN 'no address here' WHEN 3 THEN replace(url, '.example', '.EXAMPLE')
+  WHEN 4 THEN concat(split_part(url, '/', 1), '//', split_part(url, '/', 3), ':8080/Odd//')
+  WHEN 5 THEN concat('  https://', split_part(url, '/', 3), ':443/a b ')
+  WHEN 6 THEN concat(split_part(url, '/', 3), '?q=1') ELSE concat(split_part(url, '/', 1), '//', split_part(url, '/', 3), ':99999/') END AS url
+FROM {pages}
+"""
+
 RESPONSES = """
 WITH p AS (SELECT page_id, TITLE_TEXT AS t FROM {pages}),
 f AS (SELECT page_id, concat(
@@ -186,6 +196,10 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SITE_PAGES, pages=usable_pages(table(spark, sf_dir, "pages")))
 
 
+def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, ODD_URLS, "pages")
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, RESPONSES, "pages")
 

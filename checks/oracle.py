@@ -495,6 +495,15 @@ SYNTHESIS = """SELECT site_key, string_agg(url || ' (' || role || '): ' || coale
 ORACLE: dict[str, str] = {
     "url_parts": f"""SELECT page_id, url AS normalized, {key('url')} AS page_key, {origin('url')} AS origin,
   {site('url')} AS site_key, {path('url')} AS path, {host('url')} AS host FROM pages""",
+    # what a browser's address parser makes of each kind; the raw text where it refuses
+    "odd_urls": with_tables(f"odd AS (SELECT page_id % 8 AS m, page_id, url, plain, split_part(plain, '/', 1) AS scheme, split_part(plain, '/', 3) AS h FROM ({derived(I.ODD_URLS)}))")
+    + f"""SELECT page_id,
+  CASE m WHEN 3 THEN plain WHEN 4 THEN url WHEN 5 THEN 'https://' || h || '/a%20b' WHEN 6 THEN 'https://' || h || '/?q=1' END AS normalized,
+  CASE m WHEN 3 THEN {key('plain')} WHEN 4 THEN {site('plain')} || '/odd' WHEN 5 THEN {site('plain')} || '/a%20b' ELSE url END AS page_key,
+  CASE m WHEN 3 THEN {origin('plain')} WHEN 4 THEN scheme || '//' || h || ':8080' WHEN 5 THEN 'https://' || h ELSE url END AS origin,
+  CASE WHEN m IN (3, 4, 5) THEN {site('plain')} END AS site_key,
+  CASE m WHEN 3 THEN {path('plain')} WHEN 4 THEN '/Odd//' WHEN 5 THEN '/a%20b' ELSE url END AS path,
+  CASE m WHEN 3 THEN h WHEN 4 THEN h || ':8080' WHEN 5 THEN h ELSE url END AS host FROM odd""",
     "link_predicates": with_tables(
         SITE_PAGES,
         f"hrefs AS (SELECT page_id, url, {matches('html', ANCHOR, 1)}[1:80] AS h FROM site_pages)",

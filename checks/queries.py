@@ -58,6 +58,20 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def odd_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses that are missing, blank, no address, upper-case, or have a port."""
+    url = F.col("url")
+    return I.odd_urls(spark, sf).select(
+        "page_id",
+        U.normalize_url(url).alias("normalized"),
+        U.page_key(url).alias("page_key"),
+        U.origin_of(url).alias("origin"),
+        U.site_key(url).alias("site_key"),
+        U.path_or_root(url).alias("path"),
+        U.safe_host(url).alias("host"),
+    )
+
+
 def link_predicates(spark: SparkSession, sf: str) -> DataFrame:
     pages = I.site_pages(spark, sf)
     links = C.page_links(pages, V.SUMMARY_LINKS_PER_PAGE)
@@ -572,7 +586,7 @@ def stream_leads(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
-        url_parts, link_predicates, all_page_links, page_text, page_titles, ld_blocks,
+        url_parts, odd_urls, link_predicates, all_page_links, page_text, page_titles, ld_blocks,
         schema_types_tree, schema_types_regex, page_meta_flags, product_evidence,
         question_headings, form_pages, newest_year, page_facts, page_prompts, site_rollup,
         site_lists, home_signals, site_entity_flags, commerce_state, tier_and_quote,
