@@ -7,8 +7,8 @@ reaches the siblings of an ancestor only when the node's own children are exhaus
 takes as many full epochs as its budget holds and then the prefix, in the seeded order of the
 next epoch, whose tokens fit the rest.
 
-The prefix of a leaf, however large, is found by counting: tokens per leaf and 4,096 ranges of
-the order key, then the rows of the one range where the budget ends. Only built-in functions;
+The prefix of a leaf, however large, is found by counting: tokens per leaf and 256 ranges of
+the order key, again in the range where the budget ends, then that range's rows. Only built-in functions;
 weights are whole numbers, so that every step is exact.
 
 Rows: a null text has no tokens, a null or unlisted domain, language or source is a child like
@@ -27,6 +27,8 @@ from .text import word_list
 TREE = ["domain", "lang", "source"]
 SEED = 20
 MAX_EPOCHS = 2
+# digits of the order key that tell its ranges: 256, then 256 in the one that matters
+RANGE_DIGITS = (2, 4)
 # the mix holds this part of the corpus' tokens
 BUDGET = (1, 2)
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
@@ -56,10 +58,11 @@ def share(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     left covers its capacity; the others divide the rest by weight, rounded down.
     """
     order = [F.col("capacity") / F.col("weight"), F.col(child)]
-    ranked = Window.partitionBy(*parent).orderBy(*order)
+    siblings = [F.col(p) for p in parent] or [F.lit(0)]
+    ranked = Window.partitionBy(*siblings).orderBy(*order)
     earlier = ranked.rowsBetween(Window.unboundedPreceding, -1)
     onwards = ranked.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everyone = Window.partitionBy(*parent)
+    everyone = Window.partitionBy(*siblings)
     full = F.col("capacity") * F.col("_weights") <= F.col("weight") * F.col("_left")
     return (
         children.withColumn(
@@ -82,16 +85,21 @@ def leaf_budgets(leaves: DataFrame, weights: list[dict[str, int]], budget: tuple
                  max_epochs: int) -> DataFrame:
     """leaves: the tree columns and ``available`` tokens. Adds the leaf's ``budget``."""
     capacity = (F.sum("available") * max_epochs).alias("capacity")
-    total = leaves.agg(
-        F.expr(f"sum(available) * {budget[0]} div {budget[1]}").alias("budget")
-    )
-    parent: list[str] = ["_root"]
-    granted = total.withColumn("_root", F.lit(0))
+    parent: list[str] = []
+    granted = None
     for depth, name in enumerate(TREE):
-        nodes = leaves.withColumn("_root", F.lit(0)).groupBy(*dict.fromkeys([*parent, name])) \
-            .agg(capacity).withColumn("weight", _weight(F.col(name), weights[depth]))
-        shared = share(nodes.join(granted, parent), parent, name)
-        parent = [*(p for p in parent if p != "_root"), name]
+        nodes = leaves.groupBy(*parent, name).agg(
+            capacity, F.sum("available").alias("tokens")
+        ).withColumn("weight", _weight(F.col(name), weights[depth]))
+        if granted is None:  # the few nodes below the root
+            everything = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+            nodes = nodes.withColumn("tokens", everything).withColumn(
+                "budget", F.expr(f"tokens * {budget[0]} div {budget[1]}")
+            )
+        else:
+            nodes = nodes.join(granted, parent)
+        shared = share(nodes, parent, name)
+        parent = [*parent, name]
         granted = shared.select(*parent, F.col("share").alias("budget"))
     return leaves.join(granted, TREE)
 
@@ -102,8 +110,8 @@ def _order_key(seed: int) -> Column:
     ).cast("binary"))
 
 
-def _range() -> Column:
-    return F.conv(F.substring("key", 1, 3), 16, 10).cast("int")
+def _range(digits: int = RANGE_DIGITS[-1]) -> Column:
+    return F.substring("key", 1, digits)
 
 
 def leaf_plan(rows: DataFrame, weights: list[dict[str, int]], budget: tuple[int, int],
@@ -121,22 +129,30 @@ def leaf_plan(rows: DataFrame, weights: list[dict[str, int]], budget: tuple[int,
         "leaf-budgets",
     )
     keyed = rows.join(budgets.select(*TREE, "epochs", "rest"), TREE) \
-        .withColumn("key", _order_key(seed)).withColumn("range", _range())
+        .withColumn("key", _order_key(seed))
     earlier = Window.partitionBy(*TREE).orderBy("range").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    ends = (
-        keyed.groupBy(*TREE, "range", "rest").agg(F.sum("n_tokens").alias("tokens"))
-        .withColumn("before", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
-        .filter((F.col("before") <= F.col("rest"))
-                & (F.col("rest") < F.col("before") + F.col("tokens")))
-        .select(*TREE, F.col("range").alias("last_range"), "before")
-    )
+    ends = budgets.select(*TREE, F.lit("").alias("last_range"), F.lit(0).cast("long").alias("before"))
+    for digits in RANGE_DIGITS:
+        counted = (
+            keyed.join(ends, TREE).filter(F.col("key").startswith(F.col("last_range")))
+            .groupBy(*TREE, _range(digits).alias("range"), "rest", "before")
+            .agg(F.sum("n_tokens").alias("tokens"))
+        )
+        opening = F.col("before") + F.coalesce(F.sum("tokens").over(earlier), F.lit(0))
+        ends = materialize(
+            counted.withColumn("before", opening)
+            .filter((F.col("before") <= F.col("rest"))
+                    & (F.col("rest") < F.col("before") + F.col("tokens")))
+            .select(*TREE, F.col("range").alias("last_range"), "before"),
+            "prefix-ends",
+        )
     inside = Window.partitionBy(*TREE).orderBy("key").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     cuts = (
-        keyed.join(ends, TREE).filter(F.col("range") == F.col("last_range"))
+        keyed.join(ends, TREE).filter(_range() == F.col("last_range"))
         .withColumn("reached", F.col("before") + F.sum("n_tokens").over(inside))
         .groupBy(*TREE, "last_range")
         .agg(F.max(F.when(F.col("reached") <= F.col("rest"), F.col("key"))).alias("last_key"))
