@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -29,42 +30,96 @@ CLOSING_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 # windows a task keeps open
 OPEN_WINDOWS = 512
-# chunks whose ids a Python worker remembers
-REMEMBERED = 400_000
+# chunks and words whose ids a Python worker remembers
+REMEMBERED = 600_000
+REMEMBERED_WORDS = 700_000
+CLOSING_MARKS = ".,;:!?"
 # texts tokenised together
 TOGETHER = 256
 
 Piece = tuple[int, int, bytes]  # document number, first id, ids as little-endian words
 
 
+class Known(dict):
+    """Ids by chunk; a chunk that is not there gives None and is asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked: list[str] = []
+
+    def __missing__(self, chunk: str) -> None:
+        self.asked.append(chunk)
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit words.
 
     The vocabulary splits at white space before anything else, and neither its normalisation
     nor its merges look across a space or line feed, so a text is encoded chunk by chunk and
-    the ids of a chunk are remembered.
+    the ids of a chunk are remembered. A new chunk of Latin letters and closing marks is
+    looked up once more as these two, letters lower-cased, which is how the vocabulary
+    divides it; only words never met go to the tokeniser.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED,
+                 remembered_words: int = REMEMBERED_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {}
+        self.remembered, self.remembered_words = remembered, remembered_words
+        self.known = Known()
+        self.words: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > self.remembered:
-            self.known = {}
+            self.known = Known()
+        if len(self.words) > self.remembered_words:
+            self.words = {"": b""}
         known = self.known
-        new = list({chunk for chunks in split for chunk in chunks if chunk not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
+        found = [list(map(known.__getitem__, chunks)) for chunks in split]
+        self._learn(list(dict.fromkeys(known.asked)))
+        known.asked.clear()
+        return [
+            b"".join(
+                [known[chunk] if ids is None else ids for ids, chunk in zip(row, chunks)]
+                if None in row else row
+            )
+            for row, chunks in zip(found, split)
+        ]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks: of their two parts where these are known, else tokenised."""
+        known, words = self.known, self.words
+        waiting, unknown = [], []
+        for chunk in chunks:
+            letters, marks = _parts(chunk)
+            first, second = words.get(letters), words.get(marks)
+            if first is None or second is None:
+                waiting.append(chunk)
+                unknown.append(letters)
+                unknown.append(marks)
+            else:
+                known[chunk] = first + second if marks else first
+        unknown = [part for part in dict.fromkeys(unknown) if part not in words]
+        for at in range(0, len(unknown), 10_000):
+            part = unknown[at:at + 10_000]
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for chunk, found in zip(part, encoded, strict=True):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+            for word, found in zip(part, encoded, strict=True):
+                words[word] = array("I", found.ids).tobytes()
+        for chunk in waiting:
+            letters, marks = _parts(chunk)
+            known[chunk] = words[letters] + words[marks] if marks else words[letters]
+
+
+def _parts(chunk: str) -> tuple[str, str]:
+    """Lower-case Latin letters and the closing marks behind them, or the chunk as it is."""
+    letters = chunk.rstrip(CLOSING_MARKS)
+    small = letters.lower()
+    if small.isalpha() and (small.isascii() or max(small) < "\u0250"):
+        return small, chunk[len(letters):]
+    return chunk, ""
 
 
 ENCODERS: dict[str, ChunkEncoder] = {}

@@ -76,9 +76,9 @@ def test_ids_come_along(small, library):
 def test_chunks_encode_as_the_whole(library):
     draw = random.Random(2)
     parts = [" ", "  ", "\n", "\t", "'ll", "<|endoftext|>", "The", "ing", "1", "!", "é", "́",
-             "Σ", "\xa0", "日本", "\x1c"]
+             "Σ", "\xa0", "日本", "\x1c", ".", ",", "İ", "ǅ", "ß", "É", "ª", "ſ", "K"]
     texts = ["".join(draw.choice(parts) for _ in range(20)) for _ in range(500)] + ["", " "]
-    encoder = P.ChunkEncoder(tokenizer_path(P.VOCABULARY), remembered=50)
+    encoder = P.ChunkEncoder(tokenizer_path(P.VOCABULARY), remembered=50, remembered_words=70)
     for text, found in zip(texts, encoder.encode(texts)):
         assert found + (1).to_bytes(4, "little") == ids_of(library, text)
 
@@ -103,8 +103,8 @@ def test_level_is_the_one_of_least_squares():
         packer.add(n, bytes(4 * size))
 
 
-def test_few_documents_are_cut(small):
-    rows = P.pack(small).collect()
+def test_few_documents_are_cut(spark):
+    rows = P.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     pieces = defaultdict(int)
     for r in rows:
         pieces[r["doc_id"]] += 1
