@@ -350,7 +350,7 @@ def sitemap_children(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sitemap_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    files = sitemap_files(_sitemaps(spark, sf))
+    files = materialize(sitemap_files(_sitemaps(spark, sf)), "sitemap-files")
     read = read_children(files, child_sitemaps(choose_sitemaps(files)))
     return read.select("origin", "file_no", "child_url", F.size("locs").alias("locs"), "before")
 

@@ -131,18 +131,14 @@ TIER_PAGE_BOUNDS = [("small", 6), ("medium", 19), ("large", 49)]
 TIER_ENTERPRISE = "enterprise"
 TIER_STORE = "large"
 TIERS = [
-    # tier, display name, enterprise, typical phases, photo note, description
+    # tier, display name, enterprise, typical phases, photo note
     ("small", "Small site", False, ["Phase 1", "Phase 2"],
-     "Includes a hero photo shoot — 5 images, a $1,500 value, built into Phase 1.",
-     "A brochure site — a few pages, no online store. Fast to fix, big visible lift."),
+     "Includes a hero photo shoot — 5 images, a $1,500 value, built into Phase 1."),
     ("medium", "Medium site", False, ["Phase 1", "Phase 2", "Phase 3"],
-     "Includes a hero photo shoot — 5–10 images, a $1,500 value, built into Phase 1.",
-     "A real multi-page site — services or content, not yet selling online."),
+     "Includes a hero photo shoot — 5–10 images, a $1,500 value, built into Phase 1."),
     ("large", "Large / e-commerce site", False, ["Phase 1", "Phase 2", "Phase 3"],
-     "Includes a hero photo shoot — 5–10 images, a $1,500 value, built into Phase 1.",
-     "A substantial site or online store — catalog, many pages, transactions to protect."),
-    ("enterprise", "Enterprise / institutional", True, None, None,
-     "35+ pages, deep navigation, multiple audiences — a destination or institution."),
+     "Includes a hero photo shoot — 5–10 images, a $1,500 value, built into Phase 1."),
+    ("enterprise", "Enterprise / institutional", True, None, None),
 ]
 PHASES = [
     # tier, phase, price, scope, who does it

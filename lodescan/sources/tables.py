@@ -41,7 +41,7 @@ def page_index(pages: DataFrame) -> DataFrame:
 
 TIER_SCHEMA = (
     "array<struct<tier:string,quote_name:string,enterprise:boolean,typical:array<string>,"
-    "photo:string,description:string,"
+    "photo:string,"
     "phases:array<struct<phase:string,price:int,what:string,who:string>>>>"
 )
 
@@ -51,7 +51,7 @@ def tier_definitions(spark: SparkSession) -> DataFrame:
     rows = [
         {
             "tier": tier, "quote_name": name, "enterprise": enterprise, "typical": typical,
-            "photo": photo, "description": description,
+            "photo": photo,
             "phases": [
                 {"phase": phase, "price": price, "what": what, "who": who}
                 for owner, phase, price, what, who in V.PHASES
@@ -59,7 +59,7 @@ def tier_definitions(spark: SparkSession) -> DataFrame:
             ]
             or None,
         }
-        for tier, name, enterprise, typical, photo, description in V.TIERS
+        for tier, name, enterprise, typical, photo in V.TIERS
     ]
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), TIER_SCHEMA)))
 
