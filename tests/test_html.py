@@ -134,3 +134,14 @@ def test_link_hrefs(column):
 def test_sitemap_locs(column):
     xml = "<LOC>  https://a.com/x \n</LOC><loc>two words</loc><loc></loc>"
     assert column(H.sitemap_locs, [xml]) == [["https://a.com/x"]]
+
+
+def test_brackets_in_names_and_repeated_keys(column):
+    def page(body):
+        return f'<script type="application/ld+json">{body}</script>'
+
+    assert column(H.schema_types_tree, [
+        page('{"@type":["A]x","B[y"]}'), page('{"@type":"A","@type":"B"}'),
+        page('{"@graph":[{"@type":"A","@type":["B","C"]},{"@type":"D"}]}'),
+        page('{"name":"\\"@type\\":\\"no\\"","@type":"E"}'),
+    ]) == [["A]x", "B[y"], ["B"], ["B", "C", "D"], ["E"]]
