@@ -24,6 +24,8 @@ from .text import one_spaced
 
 # contents that one task's table may hold
 BUCKET_BYTES = 16 << 20
+# tasks of one level at most, unless the session asks for more; a task takes its buckets in turn
+MOST_TASKS = 10_000
 # spill files hold whole texts: the denser codec
 SPILL = {"compression": "zstd"}
 
@@ -130,8 +132,10 @@ def _combine_entries(keep_content: bool):
     return run
 
 
-def _dealt(entries: DataFrame, parts: int, *keys: str) -> DataFrame:
-    return entries.repartition(parts, *keys).sortWithinPartitions("bucket")
+def _dealt(entries: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    wanted = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(buckets, max(MOST_TASKS, wanted))
+    return entries.repartition(tasks, *keys).sortWithinPartitions("bucket")
 
 
 def _resolve(entries: DataFrame, limit: int) -> DataFrame:

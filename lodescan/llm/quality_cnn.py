@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
+
 WIDTH = 5
 FILTERS = 16
 HIDDEN = 12
@@ -221,7 +223,8 @@ def training_sample(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("content"),
     )
-    found = own.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` short rows
+    # at most ``rows`` short rows are sent out; their texts are looked for once
+    found = materialize(own.join(F.broadcast(chosen), "doc_id"), "labelled-sample")
     sizes = found.select(
         "doc_id", F.length("content").alias("size"), F.hash("content").alias("code")
     ).orderBy(F.xxhash64("doc_id"), "doc_id", "code").limit(rows).collect()

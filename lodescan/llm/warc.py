@@ -16,9 +16,10 @@ empty table gives an archive without records.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,8 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
 # payloads of fewer bytes are always written as responses
 MIN_PAYLOAD = 0
-# html bytes of one archive file, so that a reader can hold a file
-FILE_BYTES = 16 << 20
+# records of one archive file: a reader holds a file packed, and one record of it unpacked
+FILE_RECORDS = 1_000
 END = "\r\n"
 BASE32_FROM, BASE32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -118,33 +119,27 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD,
-                   file_bytes: int = FILE_BYTES) -> None:
-    """Write the deduplicated archive of ``pages`` (page_id, url, html) as gzip files.
-
-    ``file_bytes`` of html on average make a file's rows, which a large page may exceed.
-    """
-    size = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 1
-    per_file = max(1, int(file_bytes / max(size, 1)))
+                   file_records: int = FILE_RECORDS) -> None:
+    """Write the deduplicated archive of ``pages`` (page_id, url, html) as gzip files."""
     records(resolve_revisits(pages, min_payload)).write.options(
-        lineSep=END * 2, compression="gzip", maxRecordsPerFile=per_file
+        lineSep=END * 2, compression="gzip", maxRecordsPerFile=file_records
     ).text(path)
 
 
-def _parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def _parsed(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record, by the declared lengths."""
-    end, at = END.encode(), 0
-    while at < len(data):
-        closed = data.index(end * 2, at)
-        lines = data[at:closed].decode("utf-8").split(END)
-        if lines[0] != VERSION:
-            raise ValueError(f"no record starts at byte {at}: {lines[0][:40]!r}")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        begin = closed + 4
-        stop = begin + int(fields["Content-Length"])
-        if data[stop:stop + 4] != end * 2:
-            raise ValueError(f"the record at byte {at} does not end where it says")
-        yield fields, data[begin:stop]
-        at = stop + 4
+    end = END.encode()
+    while version := archive.readline():
+        if version != VERSION.encode() + end:
+            raise ValueError(f"no record starts with {version[:40]!r}")
+        fields = {}
+        while (line := archive.readline()) != end:
+            name, _, value = line.decode("utf-8").removesuffix(END).partition(": ")
+            fields[name] = value
+        block = archive.read(int(fields["Content-Length"]))
+        if archive.read(4) != end * 2:
+            raise ValueError(f"{fields.get('WARC-Record-ID')} does not end where it says")
+        yield fields, block
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +149,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for fields, block in _parsed(zlib.decompress(content.as_buffer(), wbits=31)):
+            for fields, block in _parsed(gzip.open(pa.BufferReader(content.as_buffer()))):
                 response = fields["WARC-Type"] == "response"
                 payload = block[block.index(b"\r\n\r\n") + 4:] if response else b""
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()

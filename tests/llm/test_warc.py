@@ -62,7 +62,7 @@ def test_no_pages(spark):
 def test_archives_are_plain_warc(spark, tmp_path):
     """A reader that knows nothing but the format finds every payload."""
     pages = spark.createDataFrame(PAGES, SCHEMA)
-    W.write_archives(pages, str(tmp_path / "out"), file_bytes=1000)
+    W.write_archives(pages, str(tmp_path / "out"), file_records=3)
     files = sorted((tmp_path / "out").glob("*.gz"))
     assert len(files) > 1
     payloads, kinds = [], []
