@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import tokenizer_path
+from .text import byte_names, tokenizer_path
 
 WINDOW = 2048
 CLOSING_ID = 1
@@ -57,8 +57,9 @@ class ChunkEncoder:
     The vocabulary splits at white space before anything else, and neither its normalisation
     nor its merges look across a space or line feed, so a text is encoded chunk by chunk and
     the ids of a chunk are remembered. A new chunk of Latin letters and closing marks is
-    looked up once more as these two, letters lower-cased, which is how the vocabulary
-    divides it; only words never met go to the tokeniser.
+    divided into these two, letters lower-cased, as the vocabulary itself does; what is left
+    to do for such a part, the merges, the tokeniser's model does alone. Any other chunk goes
+    through the whole tokeniser.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED,
@@ -67,16 +68,18 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.byte_names = dict(enumerate(byte_names()))
         self.remembered, self.remembered_words = remembered, remembered_words
         self.known = Known()
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > self.remembered:
             self.known = Known()
         if len(self.words) > self.remembered_words:
-            self.words = {"": b""}
+            self.words = {}
         known = self.known
         found = [list(map(known.__getitem__, chunks)) for chunks in split]
         self._learn(list(dict.fromkeys(known.asked)))
@@ -90,36 +93,41 @@ class ChunkEncoder:
         ]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks: of their two parts where these are known, else tokenised."""
-        known, words = self.known, self.words
-        waiting, unknown = [], []
+        known, words, others = self.known, self.words, []
         for chunk in chunks:
-            letters, marks = _parts(chunk)
-            first, second = words.get(letters), words.get(marks)
-            if first is None or second is None:
-                waiting.append(chunk)
-                unknown.append(letters)
-                unknown.append(marks)
-            else:
-                known[chunk] = first + second if marks else first
-        unknown = [part for part in dict.fromkeys(unknown) if part not in words]
-        for at in range(0, len(unknown), 10_000):
-            part = unknown[at:at + 10_000]
+            parts = _parts(chunk)
+            if parts is None:
+                others.append(chunk)
+                continue
+            letters, marks = parts
+            ids = words.get(letters)
+            if ids is None:
+                ids = words[letters] = self._merged(letters)
+            if marks:
+                closing = words.get(marks)
+                if closing is None:
+                    closing = words[marks] = self._merged(marks)
+                ids += closing
+            known[chunk] = ids
+        for at in range(0, len(others), 10_000):
+            part = others[at:at + 10_000]
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for word, found in zip(part, encoded, strict=True):
-                words[word] = array("I", found.ids).tobytes()
-        for chunk in waiting:
-            letters, marks = _parts(chunk)
-            known[chunk] = words[letters] + words[marks] if marks else words[letters]
+            for chunk, found in zip(part, encoded, strict=True):
+                known[chunk] = array("I", found.ids).tobytes()
 
+    def _merged(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.byte_names)
+        return array("I", [token.id for token in self.model.tokenize(part)]).tobytes()
 
-def _parts(chunk: str) -> tuple[str, str]:
-    """Lower-case Latin letters and the closing marks behind them, or the chunk as it is."""
+
+def _parts(chunk: str) -> tuple[str, str] | None:
+    """Lower-case Latin letters and the closing marks behind them, if a chunk is just that."""
     letters = chunk.rstrip(CLOSING_MARKS)
     small = letters.lower()
     if small.isalpha() and (small.isascii() or max(small) < "\u0250"):
         return small, chunk[len(letters):]
-    return chunk, ""
+    return None
 
 
 ENCODERS: dict[str, ChunkEncoder] = {}

@@ -31,3 +31,11 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def byte_names() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    names = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+    return [names[b] for b in range(256)]

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import tokenizer_path
+from .text import byte_names, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -29,14 +29,6 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 REMEMBERED = 500_000
 
 
-def _byte_names() -> dict[str, int]:
-    """The printable character that stands for each byte in the vocabulary file."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    names = {chr(b): b for b in plain}
-    others = (b for b in range(256) if b not in set(plain))
-    return names | {chr(256 + n): b for n, b in enumerate(others)}
-
-
 class PrefixCounter:
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         import ahocorasick
@@ -44,7 +36,7 @@ class PrefixCounter:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        names = _byte_names()
+        names = {name: byte for byte, name in enumerate(byte_names())}
         raw = {
             token: bytes(names[c] for c in token)
             for token in spec["model"]["vocab"]
