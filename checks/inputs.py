@@ -8,6 +8,8 @@ numbers the pages block-wise and moves addresses only; the oracle uses plain win
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodescan.operators.grouping import number_within
@@ -228,10 +230,26 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, REQUEST_LOG, "events")
 
 
+# derived tables that were stored, by application, source folder and name
+STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per application as if it had been given."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in STORED:
+        STORED[key] = materialize(build(), name)
+    return STORED[key]
+
+
 def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses with their number inside the site; no html."""
-    index = page_index(table(spark, sf_dir, "pages"))
-    return materialize(number_within(index, ["site_key"], "page_id", "page_no"), "numbered")
+
+    def build() -> DataFrame:
+        index = page_index(table(spark, sf_dir, "pages"))
+        return number_within(index, ["site_key"], "page_id", "page_no")
+
+    return stored(spark, sf_dir, "numbered", build)
 
 
 def navigation(numbered: DataFrame) -> DataFrame:
@@ -261,11 +279,19 @@ def navigation(numbered: DataFrame) -> DataFrame:
 
 def linked_pages(spark: SparkSession, sf_dir: str, numbered: DataFrame) -> DataFrame:
     """Site pages with their menu at the end, stored as a crawler's page table would be."""
-    menus = navigation(numbered).withColumnRenamed("page_id", "menu_page")
-    pages = site_pages(spark, sf_dir)
-    html = F.concat("html", F.coalesce("menu", F.lit("")))
-    linked = pages.join(menus, F.col("page_id") == F.col("menu_page"), "left")
-    return materialize(linked.select("page_id", "url", html.alias("html")), "linked-pages")
+
+    def build() -> DataFrame:
+        menus = navigation(numbered).withColumnRenamed("page_id", "menu_page")
+        pages = site_pages(spark, sf_dir)
+        html = F.concat("html", F.coalesce("menu", F.lit("")))
+        linked = pages.join(menus, F.col("page_id") == F.col("menu_page"), "left")
+        return linked.select("page_id", "url", html.alias("html"))
+
+    return stored(spark, sf_dir, "linked-pages", build)
+
+
+def site_maps(spark: SparkSession, sf_dir: str, numbered: DataFrame) -> DataFrame:
+    return stored(spark, sf_dir, "sitemaps", lambda: sitemaps(numbered))
 
 
 def sitemaps(numbered: DataFrame) -> DataFrame:
@@ -324,8 +350,7 @@ def sitemaps(numbered: DataFrame) -> DataFrame:
     wrong = roots.filter("s % 4 in (1, 3)").select(
         "origin", F.lit("/sitemap_index.xml").alias("path"), F.lit("<html>not found</html>").alias("xml")
     )
-    files = children.unionByName(index).unionByName(plain).unionByName(wrong)
-    return materialize(files, "sitemaps")
+    return children.unionByName(index).unionByName(plain).unionByName(wrong)
 
 
 def limiter_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,7 +194,7 @@ def _crawl(
     """Every site crawled from its root, sitemap and menus."""
     numbered = I.numbered_pages(spark, sf)
     linked = I.linked_pages(spark, sf, numbered)
-    return P.crawl_sites(linked, I.sitemaps(numbered) if sitemap else None, cap, per_page)
+    return P.crawl_sites(linked, I.site_maps(spark, sf, numbered) if sitemap else None, cap, per_page)
 
 
 def _deep_crawl(spark: SparkSession, sf: str) -> P.Crawl:
@@ -337,7 +337,7 @@ def audit_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sitemaps(spark: SparkSession, sf: str) -> DataFrame:
-    return I.sitemaps(I.numbered_pages(spark, sf))
+    return I.site_maps(spark, sf, I.numbered_pages(spark, sf))
 
 
 def sitemap_choice(spark: SparkSession, sf: str) -> DataFrame:
