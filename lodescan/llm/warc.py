@@ -24,7 +24,7 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import new_folder
+from ..session import materialize, new_folder
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,8 +67,12 @@ def resolve_revisits(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFr
         F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"),
         base32_sha1(F.coalesce("html", F.lit(""))).alias("digest"),
     )
-    originals = headers.filter(F.col("bytes") >= min_payload).groupBy("digest").agg(
-        F.max(F.struct("page_id", "url")).alias("original")
+    # stored, so that the join meets it as a table of its own and can split a hot digest
+    originals = materialize(
+        headers.filter(F.col("bytes") >= min_payload).groupBy("digest").agg(
+            F.max(F.struct("page_id", "url")).alias("original")
+        ),
+        "originals",
     )
     revisits = (
         headers.join(originals, "digest")
@@ -171,19 +175,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archive with its payload's facts, revisits by their original."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path) \
         .select("content")
-    found = files.mapInArrow(
+    found = materialize(files.mapInArrow(
         _read,
         "record_type string, record_id string, refers_to_id string, page_id long, url string, "
         "payload_bytes long, payload_digest string",
+    ), "warc-records")
+    originals = materialize(
+        found.filter("record_type = 'response'").groupBy("record_id").agg(
+            F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("bytes"),
+            F.max("payload_digest").alias("digest"),
+        ).withColumnRenamed("record_id", "original_id"),
+        "warc-originals",
     )
-    originals = found.filter("record_type = 'response'").groupBy("record_id").agg(
-        F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("bytes"),
-        F.max("payload_digest").alias("digest"),
-    ).withColumnRenamed("record_id", "refers_to_id")
-    return found.join(originals, "refers_to_id", "left").select(
-        "page_id", "url", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "digest").alias("payload_digest"),
-        "record_type", "refers_to",
+    # a response looks itself up: rows without a reference would all meet in one task
+    wanted = F.coalesce("refers_to_id", "record_id")
+    return found.join(originals, wanted == F.col("original_id"), "left").select(
+        "page_id", "url", F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"), "record_type",
+        F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"),
     )
 
 
