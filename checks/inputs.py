@@ -193,9 +193,15 @@ def derive(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with markup, stored in several files as a table of pages would be."""
     # some of the pages repeat a key in their JSON-LD, which is no error to a browser
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return spark.sql(SITE_PAGES, pages=usable_pages(table(spark, sf_dir, "pages")))
+
+    def build() -> DataFrame:
+        made = spark.sql(SITE_PAGES, pages=usable_pages(table(spark, sf_dir, "pages")))
+        return made.repartition(spark.sparkContext.defaultParallelism, "page_id")
+
+    return stored(spark, sf_dir, "site-pages", build)
 
 
 def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
