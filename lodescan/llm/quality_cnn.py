@@ -50,17 +50,20 @@ class Model:
     outer_bias: float
 
 
-def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text padded with zeros to whole blocks, and the first block of each.
+def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, the first block of each text, and where the texts' blocks lie.
 
-    At least one filter width of zeros follows a text, so no window reaches the next one.
+    A text is padded with zeros to whole blocks, one filter width at least, and an empty
+    block follows it that is not its own, so that no window reaches the next text.
     """
     blocks = np.array([-(-(len(t) + WIDTH - 1) // BLOCK) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(blocks)])
-    data = np.zeros(starts[-1] * BLOCK + WIDTH, np.uint8)
-    for text, at in zip(texts, starts[:-1] * BLOCK, strict=True):
+    laid = starts + np.arange(len(starts))
+    data = np.zeros(laid[-1] * BLOCK + WIDTH, np.uint8)
+    for text, at in zip(texts, laid[:-1] * BLOCK, strict=True):
         data[at:at + len(text)] = np.frombuffer(text, np.uint8)
-    return data, starts
+    own = np.arange(starts[-1]) + np.repeat(np.arange(len(texts)), blocks)
+    return data, starts, own
 
 
 def _convolved(tables: np.ndarray, data: np.ndarray, first: int, last: int) -> np.ndarray:
@@ -105,8 +108,8 @@ def _head(model: Model, maxima: np.ndarray, starts: np.ndarray):
 def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
-    data, starts = _laid_out(texts)
-    maxima = _block_maxima(model.tables, data, int(starts[-1]))
+    data, starts, own = _laid_out(texts)
+    maxima = _block_maxima(model.tables, data, len(data) // BLOCK)[own]
     logits = _head(model, maxima, starts)[-1]
     return 1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -30, 30)))
 
@@ -165,8 +168,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
 
 def _slopes(model: Model, texts: list[bytes], wanted: np.ndarray) -> list[np.ndarray]:
     """Slopes of the mean log loss; of a pooled maximum only its place has one."""
-    data, starts = _laid_out(texts)
-    n_blocks = int(starts[-1])
+    data, starts, own = _laid_out(texts)
+    n_blocks = len(data) // BLOCK
     maxima = np.empty((n_blocks, FILTERS), np.float32)
     places = np.empty((n_blocks, FILTERS), np.int64)
     for begin in range(0, n_blocks, TILE):
@@ -175,6 +178,7 @@ def _slopes(model: Model, texts: list[bytes], wanted: np.ndarray) -> list[np.nda
         at = out.argmax(axis=1)
         maxima[begin:end] = np.take_along_axis(out, at[:, None, :], 1)[:, 0]
         places[begin:end] = at + np.arange(begin, end)[:, None] * BLOCK
+    maxima, places = maxima[own], places[own]
     left, right, first, pooled, hidden, top, mean, logits = _head(model, maxima, starts)
     chunks = np.diff(first)
     owner = np.repeat(np.arange(len(texts)), chunks)
@@ -246,23 +250,23 @@ def training_sample(
 
 
 def _scores(docs: DataFrame, model: Model, text_col: str, carried: list[str]) -> DataFrame:
-    """The carried columns and ``score``; text goes to Python once, as ``content``."""
+    """The carried columns and ``_score``; the text goes to Python once, carried or not."""
+    sent = [*carried, *([] if text_col in carried else [text_col])]
+    place = sent.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                scores = score_texts(model, part.column("_content").to_pylist())
-                kept = [part.column(n) for n in range(part.num_columns - 1)]
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                texts = part.column(place).cast(pa.binary()).fill_null(b"").to_pylist()
+                kept = [part.column(n) for n in range(len(carried))]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(scores, pa.float64())], [*carried, "_score"]
+                    [*kept, pa.array(score_texts(model, texts), pa.float64())],
+                    [*carried, "_score"],
                 )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return docs.select(
-        *[F.col(f"`{c}`") for c in carried],
-        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_content"),
-    ).mapInArrow(run, f"{kinds}, `_score` double")
+    return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, f"{kinds}, `_score` double")
 
 
 def score(
