@@ -7,7 +7,8 @@ byte. A hidden layer reads each chunk's pooled filters, is max-pooled over the c
 logistic unit combines that with the mean over the chunks into one probability.
 
 The model is trained on a bounded sample of labelled rows (``SAMPLE_ROWS`` rows and
-``SAMPLE_BYTES`` bytes, whole texts, chosen by a hash of the id), held-out rows excepted.
+``SAMPLE_BYTES`` bytes, whole texts of at most ``LONGEST`` bytes, chosen by a hash of the id),
+held-out rows excepted.
 Label, language, source and id are never inputs of the score.
 
 Rows: a null or empty text is scored as one block of zero bytes. Ids may be null (then not
@@ -31,6 +32,8 @@ HIDDEN = 12
 BLOCK = 256
 SAMPLE_ROWS = 3_000
 SAMPLE_BYTES = 12 << 20
+# longer texts are scored, not trained on
+LONGEST = 256 << 10
 EPOCHS = 16
 # a rejected label weighs so many accepted ones in training: they are the rarer
 REJECTED_WEIGHT = 2.0
@@ -214,39 +217,49 @@ def training_sample(
 ) -> tuple[list[bytes], list[int]]:
     """Labelled rows that are not held out, in the order of a hash of their ids.
 
-    At most ``rows`` of them and ``size`` bytes come to the driver; an id with several
-    labels counts once, by the least.
+    At most ``rows`` of them and ``size`` bytes come to the driver. A text over ``LONGEST``
+    bytes, or one that no longer fits, is passed over and the next ones are taken. An id with
+    several labels counts once, by the least. A sample of no or one label is an error
+    if usable rows have another.
     """
-    chosen = (
+    usable = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
         .filter(F.col("label").isNotNull() & (remainder("doc_id") != 0))
         .groupBy("doc_id").agg(F.min("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     own = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("content"),
     )
+    # ids whose texts are all too long are no candidates
+    sized = own.groupBy("doc_id").agg(F.min(F.length("content")).alias("least"))
+    chosen = materialize(
+        usable.join(sized, "doc_id").filter(F.col("least") <= min(size, LONGEST))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "label").limit(rows),
+        "labelled-ids",
+    )
     # at most ``rows`` short rows are sent out; their texts are looked for once
-    found = materialize(own.join(F.broadcast(chosen), "doc_id"), "labelled-sample")
-    sizes = found.select(
-        "doc_id", F.length("content").alias("size"), F.hash("content").alias("code")
-    ).orderBy(F.xxhash64("doc_id"), "doc_id", "code").limit(rows).collect()
-    total, last = 0, None
-    for row in sizes:
-        total += row["size"]
-        if total > size:
-            break
-        last = row["doc_id"]
-    if last is None:
-        return [], []
-    own_order = F.struct(F.xxhash64("doc_id"), "doc_id")
-    bound = F.struct(F.xxhash64(F.lit(last).cast(docs.schema[id_col].dataType)),
-                     F.lit(last).cast(docs.schema[id_col].dataType))
-    taken = found.filter(own_order <= bound).orderBy(
-        F.xxhash64("doc_id"), "doc_id", F.hash("content")
-    ).limit(rows).select("content", "label").collect()
-    return [bytes(r["content"]) for r in taken], [int(r["label"]) for r in taken]
+    found = materialize(
+        own.filter(F.length("content") <= min(size, LONGEST))
+        .join(F.broadcast(chosen), "doc_id"), "labelled-sample",
+    )
+    taken: list[tuple[bytes, int]] = []
+    total = 0
+    for row in found.orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("content")).limit(
+        rows
+    ).toLocalIterator():
+        if total + len(row["content"]) <= size:
+            total += len(row["content"])
+            taken.append((bytes(row["content"]), int(row["label"])))
+    have = {label for _, label in taken}
+    if len(have) < 2:
+        known = {
+            int(r["label"]) for r in usable.join(
+                own.select("doc_id").distinct(), "doc_id").select("label").distinct().collect()
+        }
+        if known - have:
+            raise ValueError(f"the training sample has no text of the labels {sorted(known - have)}")
+    return [t for t, _ in taken], [label for _, label in taken]
 
 
 def _scores(docs: DataFrame, model: Model, text_col: str, carried: list[str]) -> DataFrame:
