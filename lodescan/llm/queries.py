@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .kd_shards import kd_shards
 from .line_rules import line_rules
+from .merkle import ARITY, merkle_manifest
 from .mixing import mix
 from .packing import pack
 from .quality_cnn import classify
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .token_store import stored_tokens
 from .warc import archived
+from .whitening import whitened
 from .wrappers import main_texts
 
 
@@ -62,10 +65,23 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitened(table(spark, sf, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf, "documents"))
+
+
+def op13_token_store(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_tokens(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_quality_cnn, op3_kd_shards, op4_simhash, op5_wrappers,
         op6_line_rules, op7_warc, op8_packing, op9_mixing, op10_token_counts,
+        op11_whitening, op12_merkle, op13_token_store,
     )
 }
 
@@ -197,3 +213,59 @@ SELECT doc_id, domain, lang, source, n_tokens, budget::BIGINT AS leaf_budget,
        (epochs + CASE WHEN reached <= rest THEN 1 ELSE 0 END)::INT AS copies
 FROM taken
 """
+
+
+def merkle_sql(leaf_levels: int = 12, tree_levels: int = 6, arity: int = ARITY) -> str:
+    """Manifest, proofs and folded roots level by level, for 3^12 leaves a source at most."""
+
+    def climbed(kind: str, first: str, keys: str, levels: int) -> list[str]:
+        """Nodes of each level and, of each run of three, their list."""
+        ctes = []
+        for i in range(levels):
+            nodes = first if i == 0 else f"{kind}{i}"
+            ctes += [
+                f"{kind}r{i} AS (SELECT {keys}, p // {arity} AS run, any_value(c) AS c, list(node ORDER BY p) AS nodes FROM {nodes} GROUP BY ALL)",
+                f"{kind}{i + 1} AS (SELECT {keys}, run AS p, (c + {arity - 1}) // {arity} AS c, CASE WHEN c = 1 THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS node FROM {kind}r{i})",
+            ]
+        return ctes
+
+    def walked(kind: str, rows: str, same: str, levels: int) -> list[str]:
+        """Proof and folded node of every document, one level further each time."""
+        ctes = []
+        for i in range(levels):
+            before = rows if i == 0 else f"{kind}w{i - 1}"
+            ctes.append(f"""{kind}w{i} AS (
+  SELECT w.* REPLACE (w.p // {arity} AS p,
+    proof || array_to_string(list_filter(nodes, lambda x, k: k <> w.p % {arity} + 1), '') AS proof,
+    CASE WHEN r.c = 1 THEN folded ELSE sha256(array_to_string(list_transform(nodes, lambda x, k: CASE WHEN k = w.p % {arity} + 1 THEN folded ELSE x END), '')) END AS folded)
+  FROM {before} w JOIN {kind}r{i} r ON {same} AND w.p // {arity} = r.run)""")
+        return ctes
+
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    head = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    edited = field.format("replace(text, chr(10), '')")
+    ctes = [
+        f"read AS (SELECT doc_id, source, sha256({head} || {field.format('text')}) AS leaf, sha256({head} || {edited}) AS edited, CAST(doc_id AS VARCHAR) AS name FROM documents)",
+        # crc32 bit by bit over the decimal digits
+        """codes AS (
+  SELECT name, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda d: ascii(d)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]),
+      lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))) AS code
+  FROM (SELECT DISTINCT name FROM read WHERE name IS NOT NULL))""",
+        "placed AS (SELECT doc_id, source, leaf, CASE WHEN xor(code, 4294967295::BIGINT) % 2 = 0 THEN edited ELSE leaf END AS folded, '' AS proof, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS c FROM read LEFT JOIN codes USING (name))",
+        "leaves AS (SELECT source, p, c, leaf AS node FROM placed)",
+        *climbed("a", "leaves", "source", leaf_levels),
+        *walked("a", "placed", "w.source IS NOT DISTINCT FROM r.source", leaf_levels),
+        f"trees AS (SELECT source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, count(*) OVER () AS c FROM a{leaf_levels})",
+        "tops AS (SELECT p, c, node FROM trees)",
+        *climbed("b", "tops", "0 AS one", tree_levels),
+        f"rooted AS (SELECT d.* EXCLUDE (p, c), t.p, t.node AS subroot FROM aw{leaf_levels - 1} d JOIN trees t ON d.source IS NOT DISTINCT FROM t.source)",
+        *walked("b", "rooted", "true", tree_levels),
+    ]
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified
+FROM bw{tree_levels - 1}, b{tree_levels}
+"""
+
+
+ORACLE["op12_merkle"] = merkle_sql()
