@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodescan.operators.grouping import number_within
 from lodescan.session import materialize, new_folder
+from lodescan.sources.page_store import stored_pages
 from lodescan.sources.tables import page_index, usable_pages
 
 HOST = "regexp_extract(url, '^https?://(www[.])?([^/:?#]+)', 2)"
@@ -23,6 +24,8 @@ SITE_NO = (
     " + ascii(substr(host, 7, 1)) * 3 + ascii(substr(host, 8, 1)))"
 )
 SITEMAP_PAGES_PER_FILE = 8
+# buckets of the stored page tables
+PAGE_BUCKETS = 32
 # a larger site has an index over several files, as the sitemap protocol asks
 SITEMAP_PLAIN_PAGES = 50_000
 
@@ -193,15 +196,15 @@ def derive(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with markup, stored in several files as a table of pages would be."""
+    """Pages with markup, laid out as a page store."""
     # some of the pages repeat a key in their JSON-LD, which is no error to a browser
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
     def build() -> DataFrame:
         made = spark.sql(SITE_PAGES, pages=usable_pages(table(spark, sf_dir, "pages")))
-        return made.repartition(spark.sparkContext.defaultParallelism, "page_id")
+        return stored_pages(made, PAGE_BUCKETS)
 
-    return stored(spark, sf_dir, "site-pages", build)
+    return kept_once(spark, sf_dir, "site-pages", build)
 
 
 def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,9 +245,13 @@ STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table, written once per application as if it had been given."""
+    return kept_once(spark, sf_dir, name, lambda: materialize(build(), name))
+
+
+def kept_once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in STORED:
-        STORED[key] = materialize(build(), name)
+        STORED[key] = write()
     return STORED[key]
 
 
@@ -284,16 +291,16 @@ def navigation(numbered: DataFrame) -> DataFrame:
 
 
 def linked_pages(spark: SparkSession, sf_dir: str, numbered: DataFrame) -> DataFrame:
-    """Site pages with their menu at the end, stored as a crawler's page table would be."""
+    """Site pages with their menu at the end, laid out as a page store."""
 
     def build() -> DataFrame:
         menus = navigation(numbered).withColumnRenamed("page_id", "menu_page")
         pages = site_pages(spark, sf_dir)
         html = F.concat("html", F.coalesce("menu", F.lit("")))
         linked = pages.join(menus, F.col("page_id") == F.col("menu_page"), "left")
-        return linked.select("page_id", "url", html.alias("html"))
+        return stored_pages(linked.select("page_id", "url", html.alias("html")), PAGE_BUCKETS)
 
-    return stored(spark, sf_dir, "linked-pages", build)
+    return kept_once(spark, sf_dir, "linked-pages", build)
 
 
 def site_maps(spark: SparkSession, sf_dir: str, numbered: DataFrame) -> DataFrame:

@@ -446,11 +446,9 @@ def deep_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_audit(spark: SparkSession, sf: str) -> DataFrame:
     """The page behind one address, asked for by another spelling of it."""
-    pages = I.site_pages(spark, sf).withColumn("page_key", U.page_key(F.col("url")))
-    stored = materialize(pages, "keyed-pages")
     wanted = I.table(spark, sf, "pages").agg(F.min_by("url", "page_id")).first()[0]
     spelled = re.sub(r"^https?://(www[.])?([^?#]*).*", r"HTTP://WWW.\2/", wanted).upper()
-    facts = P.page_audit(stored, spelled)
+    facts = P.page_audit(I.site_pages(spark, sf), spelled, I.PAGE_BUCKETS)
     return facts.withColumn("schema_types", joined("schema_types"))
 
 

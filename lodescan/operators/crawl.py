@@ -7,6 +7,9 @@ keeps the first mention of each page, drops pages already visited and ranks the
 the site. Every round finds at least one new page for each site still open, so the page cap
 also bounds the rounds.
 
+From a page store (``sources.page_store``) a round scans the buckets of its pages only: levels
+carry the bucket of every page, and the join with the html prunes partitions at run time.
+
 A page is looked up by its key, under which several addresses meet. Its links are resolved
 against the address it was queued by, as a crawler does, and that address is its ``url``.
 """
@@ -22,6 +25,7 @@ from .. import fixed_values as V
 from ..functions import html as H
 from ..functions.urls import Url, absolute_link, is_asset, is_resolvable, key_of, link_text
 from ..session import materialize
+from ..sources.page_store import html_of
 from ..sources.tables import page_index
 from .grouping import compute_once, first_per_key, top_per_group
 
@@ -69,7 +73,7 @@ def queued_links(frontier: DataFrame, pages: DataFrame, per_page: int | None) ->
     mentions of a page the first one stays, before any of them meets the stored pages.
     """
     carried = ("crawl_site", "origin", "parent_rank", "filled")
-    reached = frontier.join(pages.select("page_id", "html"), "page_id")
+    reached = html_of(pages, frontier)
     url = Url(F.col("href"))
     parts = compute_once(
         page_links(reached, per_page, carried), *carried, "pos",
@@ -89,8 +93,16 @@ def queued_links(frontier: DataFrame, pages: DataFrame, per_page: int | None) ->
 
 
 def key_table(index: DataFrame) -> DataFrame:
-    """(page_key, target): the page a key stands for, the lowest id among its copies."""
-    return index.groupBy("page_key").agg(F.min("page_id").alias("target"))
+    """(page_key, target): the page a key stands for, the lowest id among its copies.
+
+    Pages of one key lie in one bucket of a store, which is a third column then.
+    """
+    bucket = [F.min(c).alias(c) for c in _bucket(index)]
+    return index.groupBy("page_key").agg(F.min("page_id").alias("target"), *bucket)
+
+
+def _bucket(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "bucket"]
 
 
 def default_roots(index: DataFrame) -> DataFrame:
@@ -112,7 +124,7 @@ def _rank_level(found: DataFrame, order: list[str], cap: int) -> DataFrame:
         ranked.withColumn("crawl_rank", F.col("filled") + F.col("_nth"))
         .filter(F.col("crawl_rank") <= cap)
         .withColumn("filled", F.max("crawl_rank").over(site))
-        .select("site_key", "origin", "page_id", "url", "crawl_rank", "filled")
+        .select("site_key", "origin", "page_id", "url", "crawl_rank", "filled", *_bucket(found))
     )
 
 
@@ -125,6 +137,8 @@ def select_crawl(
 ) -> DataFrame:
     """Pages a crawl of each site visits: (site_key, origin, page_id, url, crawl_rank, level).
 
+    Of a page store each page's ``bucket`` comes with it, for later look-ups of its html.
+
     ``seeds`` is ``sitemap_seeds(...)``, ``roots`` is (site_key, page_key, origin, url).
     ``per_page`` links of a page are followed. Stored are the key table and one short table
     per level.
@@ -153,7 +167,7 @@ def select_crawl(
         visited = reduce(DataFrame.unionByName, levels)
         frontier = levels[-1].filter(F.col("filled") < cap).select(
             "page_id", "url", "origin", "filled", F.col("site_key").alias("crawl_site"),
-            F.col("crawl_rank").alias("parent_rank"),
+            F.col("crawl_rank").alias("parent_rank"), *_bucket(index),
         )
         if frontier.isEmpty():
             break

@@ -9,6 +9,7 @@ from ..functions import html as H
 from ..functions.scoring import priority_color, priority_label, round_half_up
 from ..functions.text import choose, or_blank, trim_ws
 from ..functions.urls import path_or_root
+from ..sources.page_store import html_of
 
 FINDING = "struct<priority:string,title:string,rec:string>"
 PAGE_REPLY = f"role string, findings array<{FINDING}>"
@@ -31,10 +32,10 @@ SPEED_REPLY = (
 def page_digests(pages: DataFrame, crawl: DataFrame, chars: int = V.DIGEST_CHARS) -> DataFrame:
     """Address, title and leading text of the first pages of each crawl."""
     marks = crawl.filter(F.col("crawl_rank") <= V.DIGEST_PAGES).select(
-        "page_id", "url", "site_key", "crawl_rank"
+        "page_id", "url", "site_key", "crawl_rank", *[c for c in crawl.columns if c == "bucket"]
     )
     html = F.col("html")
-    return pages.select("page_id", "html").join(marks, "page_id").select(
+    return html_of(pages, marks).select(
         "page_id", "site_key", "crawl_rank",
         F.concat_ws(
             "\n",
@@ -141,9 +142,9 @@ def page_prompt(facts: DataFrame) -> DataFrame:
 
 def panel_input(pages: DataFrame, crawl: DataFrame) -> DataFrame:
     """Leading text of each home page, the input of the reader panel."""
-    homes = crawl.filter("crawl_rank = 1").select("page_id", "url", "site_key")
+    homes = crawl.filter("crawl_rank = 1").drop("crawl_rank", "level", "origin")
     text = F.left(H.strip_to_text(F.col("html")), F.lit(V.PANEL_CHARS)).alias("text")
-    return pages.select("page_id", "html").join(homes, "page_id").select(
+    return html_of(pages, homes).select(
         "site_key", "page_id", "url", text
     )
 

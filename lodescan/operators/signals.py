@@ -12,6 +12,7 @@ from .. import fixed_values as V
 from ..functions import html as H
 from ..functions.text import choose
 from ..functions.urls import page_key, path_or_root
+from ..sources.page_store import html_of, page_of
 
 
 def page_facts(pages: DataFrame, text_chars: int = V.DEEP_PAGE_CHARS) -> DataFrame:
@@ -42,11 +43,14 @@ def page_facts(pages: DataFrame, text_chars: int = V.DEEP_PAGE_CHARS) -> DataFra
     )
 
 
-def single_page(pages: DataFrame, url: str) -> DataFrame:
+def single_page(pages: DataFrame, url: str, buckets: int | None = None) -> DataFrame:
     """The page behind one address, by page key; the filter runs before any html work.
 
-    A stored ``page_key`` column lets the scan itself skip other pages.
+    A stored ``page_key`` column lets the scan itself skip other pages, and the number of
+    ``buckets`` of a page store all but one of its folders.
     """
+    if buckets:
+        return page_of(pages, page_key(F.lit(url)), buckets).orderBy("page_id").limit(1)
     stored = "page_key" in pages.columns
     wanted = pages.filter((F.col("page_key") if stored else page_key(F.col("url"))) == page_key(F.lit(url)))
     return wanted.orderBy("page_id").limit(1)
@@ -99,8 +103,7 @@ def crawled_signals(pages: DataFrame, crawl: DataFrame) -> DataFrame:
     stored crawl that it sees to be small is broadcast and html is read in place, and a large
     one filters the scan at run time, so that only crawled pages are moved.
     """
-    marks = crawl.select("page_id", "url", "site_key", "origin", "crawl_rank")
-    return page_signals(pages.select("page_id", "html").join(marks, "page_id"))
+    return page_signals(html_of(pages, crawl.drop("level")).drop("bucket"))
 
 
 def site_rollup(signals: DataFrame) -> DataFrame:
@@ -205,18 +208,6 @@ def complete_signals(
     return derived.withColumn("schema_props", props).drop(*[f"prop_{n}" for n in names])
 
 
-def site_signals(
-    pages: DataFrame,
-    crawl: DataFrame,
-    as_of_year: int,
-    sitemap_totals: DataFrame | None = None,
-    page_cap: int = V.SUMMARY_PAGE_CAP,
-) -> DataFrame:
-    return complete_signals(
-        site_rollup(crawled_signals(pages, crawl)), as_of_year, sitemap_totals, page_cap
-    )
-
-
 def property_lists(signals: DataFrame) -> DataFrame:
     """Names of the schema properties found and not found, as readable lists."""
     names = [n for n, _ in V.SCHEMA_PROPERTIES] + [V.MENU_MARKUP]

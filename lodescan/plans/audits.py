@@ -14,6 +14,7 @@ from ..operators.signals import (
     complete_signals, crawled_signals, page_facts, property_lists, single_page, site_rollup,
 )
 from ..session import materialize
+from ..sources.page_store import html_of
 from ..sources.sinks import deep_payload
 from ..sources.sitemaps import sitemap_seeds, sitemap_totals, sitemap_urls
 from ..sources.tables import usable_pages
@@ -32,7 +33,10 @@ def crawl_sites(
     cap: int = V.SUMMARY_PAGE_CAP,
     links_per_page: int | None = V.SUMMARY_LINKS_PER_PAGE,
 ) -> Crawl:
-    """Bounded crawl of every site in ``pages``; ``sitemaps`` is (origin, path, xml)."""
+    """Bounded crawl of every site in ``pages``; ``sitemaps`` is (origin, path, xml).
+
+    Rounds read what they visit if ``pages`` is a page store, and else scan all html each.
+    """
     pages = usable_pages(pages)
     if sitemaps is None:
         return Crawl(pages, select_crawl(pages, None, cap, links_per_page), None)
@@ -63,10 +67,10 @@ def summary_audit(
 
 def deep_facts(crawl: Crawl, pages: DataFrame | None = None) -> DataFrame:
     """Fact rows of the crawled pages, under the addresses they were queued by."""
-    marks = crawl.plan.select("page_id", "url", "site_key", "crawl_rank")
-    html = (crawl.pages if pages is None else pages).select("page_id", "html")
-    keyed = marks.select("page_id", "site_key", "crawl_rank")
-    return page_facts(html.join(marks.select("page_id", "url"), "page_id")).join(keyed, "page_id")
+    keyed = crawl.plan.select("page_id", "site_key", "crawl_rank")
+    wanted = crawl.plan.drop("site_key", "origin", "crawl_rank", "level")
+    html = html_of(crawl.pages if pages is None else pages, wanted)
+    return page_facts(html).join(keyed, "page_id")
 
 
 def deep_report(
@@ -86,6 +90,6 @@ def deep_report(
     return report.join(cleaned, "site_key", "left")
 
 
-def page_audit(pages: DataFrame, url: str) -> DataFrame:
-    """Fact row of one page; a stored ``page_key`` column lets the filter reach the scan."""
-    return page_facts(single_page(usable_pages(pages), url))
+def page_audit(pages: DataFrame, url: str, buckets: int | None = None) -> DataFrame:
+    """Fact row of one page, of a page store with its number of ``buckets`` by one short read."""
+    return page_facts(single_page(usable_pages(pages), url, buckets))

@@ -28,14 +28,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_index(pages: DataFrame) -> DataFrame:
-    """Narrow address columns of every page; the html is not read."""
+    """Narrow address columns of every page; the html is not read. A store's bucket comes along."""
     url = Url(F.col("url"))
+    bucket = [c for c in pages.columns if c == "bucket"]
     return pages.select(
         "page_id",
         "url",
         url.site.alias("site_key"),
         url.origin.alias("origin"),
         url.key.alias("page_key"),
+        *bucket,
     )
 
 
