@@ -391,13 +391,57 @@ def guard_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def request_files(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
-    """Folder of the limiter's requests in several files, written in the order of time."""
-    requests = limiter_requests(spark, sf_dir)
-    low, high = requests.agg(F.min("ts"), F.max("ts")).first()
-    folder = new_folder(spark, "request-files")
-    for part in range(parts):
-        step = (high - low) // parts + 1
-        own = requests.filter(F.col("ts").between(low + part * step, low + (part + 1) * step - 1))
-        own.coalesce(1).write.mode("append").parquet(folder)
-    return folder
+def guard_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of the guarded kinds with the origin, host and bypass flag of the log."""
+    marks = request_log(spark, sf_dir).select("event_id", "origin", "host", "bypass")
+    return guard_requests(spark, sf_dir).join(marks, "event_id")
+
+
+def request_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the limiter's requests in several files, in the order of time."""
+    return files_in_order(["ts", "event_id"], limiter_requests(spark, sf_dir))
+
+
+# rows of a file that a stream takes as one micro-batch, at most
+ROWS_PER_FILE = 1_000_000
+
+
+def files_in_order(order: list[str], *frames: DataFrame) -> str:
+    """Write rows as files by ranges of ``order``, which a stream takes one after the other.
+
+    A file source reads by modification time, so the files get times in the order of their
+    names; those of a frame come after those of the frame before. The first one has four files
+    at least. Returns the pattern of their folders.
+    """
+    spark = frames[0].sparkSession
+    folder = new_folder(spark, "stream-files")
+    for number, rows in enumerate(frames):
+        parts = max(1 if number else 4, -(-rows.count() // ROWS_PER_FILE))
+        rows.repartitionByRange(parts, *order).write.parquet(f"{folder}/{number}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [f.getPath() for f in store.globStatus(path(f"{folder}/*/part-*"))]
+    for number, file in enumerate(sorted(files, key=lambda f: (f.getParent().getName(), f.getName()))):
+        store.setTimes(file, 1_700_000_000_000 + 1_000 * number, -1)
+    return f"{folder}/*"
+
+
+def delayed_requests(spark: SparkSession, sf_dir: str, delay_ms: int) -> str:
+    """Files of the guarded requests as they arrive, out of order.
+
+    Requests arrive less than ``delay_ms`` after their time, but for one in 31: those, if older
+    than three delays, come after all others. A heartbeat at the end moves the watermark past
+    the last request.
+    """
+    delay = delay_ms * 1000
+    requests = guard_requests(spark, sf_dir)
+    last = requests.agg(F.max("ts")).first()[0]
+    late = (F.col("event_id") % 31 == 7) & (F.col("ts") < last - 3 * delay)
+    arriving = requests.withColumn(
+        "arrival", F.col("ts") + F.pmod(F.col("event_id") * 7_919, F.lit(delay - 1_000))
+    )
+    beat = arriving.limit(1).select(
+        F.lit("audit").alias("kind"), F.lit("").alias("ip"), F.lit(last + 2 * delay).alias("ts"),
+        F.lit(None).cast("bigint").alias("event_id"), "arrival",
+    )
+    return files_in_order(["arrival", "event_id"], arriving.filter(~late), arriving.filter(late), beat)

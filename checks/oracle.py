@@ -468,12 +468,37 @@ def limiter(where: str = "true", source: str = EVENT_REQUESTS, window: str = str
 )"""
 
 
-GUARDED = limiter(
-    source="""SELECT event_id, ['audit', 'deep', 'page'][CAST(event_id % 3 + 1 AS INT)] AS kind,
-  CASE WHEN event_id % 5 IN (1, 2) THEN '0.0.0.0' ELSE CAST(user_id AS VARCHAR) END AS ip, epoch_us(ts) // 1000 AS ts FROM events""",
-    window="CASE kind WHEN 'deep' THEN 1800000000 ELSE 1200000000 END",
-    soft="CASE kind WHEN 'audit' THEN 8 WHEN 'deep' THEN 3 ELSE 10 END",
-    daily="CASE kind WHEN 'audit' THEN 20 WHEN 'deep' THEN 6 ELSE 30 END",
+GUARD_REQUESTS = """SELECT event_id, ['audit', 'deep', 'page'][CAST(event_id % 3 + 1 AS INT)] AS kind,
+  CASE WHEN event_id % 5 IN (1, 2) THEN '0.0.0.0' ELSE CAST(user_id AS VARCHAR) END AS ip, epoch_us(ts) // 1000 AS ts FROM events"""
+
+
+def guarded(where: str = "true") -> str:
+    return limiter(
+        where, GUARD_REQUESTS,
+        window="CASE kind WHEN 'deep' THEN 1800000000 ELSE 1200000000 END",
+        soft="CASE kind WHEN 'audit' THEN 8 WHEN 'deep' THEN 3 ELSE 10 END",
+        daily="CASE kind WHEN 'audit' THEN 20 WHEN 'deep' THEN 6 ELSE 30 END",
+    )
+
+
+GUARDED = guarded()
+# requests that arrive when the watermark has passed them
+LATE = "(event_id % 31 = 7 AND ts < (SELECT max(epoch_us(ts) // 1000) FROM events) - 1800000000)"
+FOREIGN = """NOT coalesce(bypass, false) AND NOT coalesce(regexp_replace(lower(regexp_extract(origin, '^https?://([^/]+)', 1)),
+  CASE WHEN starts_with(origin, 'https') THEN ':443$' ELSE ':80$' END, '') = host, false)"""
+CHAIN = (
+    with_tables(
+        LOG,
+        f"foreign_ids AS (SELECT event_id FROM log WHERE {FOREIGN})",
+        "owner_ids AS (SELECT event_id FROM log WHERE coalesce(bypass, false))",
+        guarded("event_id NOT IN (SELECT event_id FROM foreign_ids) AND event_id NOT IN (SELECT event_id FROM owner_ids)"),
+        f"requests AS ({GUARD_REQUESTS})",
+        recursive=True,
+    )
+    + """SELECT event_id, kind, ip, CASE WHEN f.event_id IS NOT NULL THEN 'origin' WHEN o.event_id IS NOT NULL THEN 'admitted'
+  WHEN NOT soft_ok THEN 'soft' WHEN NOT daily_ok THEN 'daily' ELSE 'admitted' END AS outcome
+  FROM requests r LEFT JOIN (SELECT event_id, soft_ok, daily_ok FROM capped) c USING (event_id)
+  LEFT JOIN foreign_ids f USING (event_id) LEFT JOIN owner_ids o USING (event_id)"""
 )
 LIMITED = with_tables(limiter(), recursive=True) + "SELECT event_id, soft_ok, daily_ok, daily_ok AS admitted FROM capped"
 
@@ -714,6 +739,14 @@ ORACLE: dict[str, str] = {
     + "SELECT event_id, daily_ok AS admitted FROM capped UNION ALL SELECT event_id, true FROM events WHERE ends_with(CAST(user_id AS VARCHAR), '7')",
     "guard_limits": with_tables(GUARDED, recursive=True)
     + "SELECT event_id, kind, ip, soft_ok, daily_ok, daily_ok AS admitted FROM capped",
+    "stream_guard_limits": with_tables(GUARDED, recursive=True)
+    + "SELECT event_id, kind, ip, soft_ok, daily_ok, daily_ok AS admitted FROM capped",
+    "guarded_requests": CHAIN,
+    "stream_guarded_requests": CHAIN,
+    "stream_event_time": with_tables(guarded(f"NOT {LATE}"), recursive=True)
+    + f"""SELECT event_id, soft_ok, daily_ok, daily_ok AS admitted, false AS late FROM capped
+  UNION ALL SELECT event_id, NULL, NULL, NULL, true FROM ({GUARD_REQUESTS}) WHERE {LATE}""",
+    "stream_late_counts": f"SELECT kind, ts // 86400000000 AS day, count(*) AS late_requests FROM ({GUARD_REQUESTS}) WHERE {LATE} GROUP BY ALL",
     "trailing_hits": f"""SELECT event_id, count(*) OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts) RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS hits FROM events""",
     "daily_counts": "SELECT event_type AS kind, CAST(user_id AS VARCHAR) AS ip, epoch_us(ts) // 86400000000 AS day, count(*) AS requests FROM events GROUP BY ALL",
     # one file after the other in the order of time: no request is late

@@ -28,7 +28,8 @@ from lodescan.sources.sitemaps import (
 from lodescan.plans import audits as P
 from lodescan.sources.tables import page_index, tier_phases
 from lodescan.streaming.leads import write_lead_stream
-from lodescan.streaming.limiter import limit_stream, run_available
+from lodescan.streaming.guard import guard_in_event_time, guard_stream, guarded
+from lodescan.streaming.limiter import late_counts, limit_stream, run_available
 from lodescan.session import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -572,6 +573,55 @@ def stream_soft_limit(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "soft_ok", "daily_ok", "admitted", "late")
 
 
+GUARD_REQUEST = "event_id bigint, kind string, ip string, ts bigint"
+# how late a request may come; the derived requests span months, a thousand times denser
+GUARD_DELAY_MS = 600_000
+
+
+def _stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def stream_guard_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """The limits of each kind on a stream of several micro-batches, in typed state."""
+    folder = I.files_in_order(["ts", "event_id"], I.guard_requests(spark, sf))
+    decided = guard_stream(_stream(spark, folder, GUARD_REQUEST), live=False)
+    return run_available(decided, spark, "guard").select(
+        "event_id", "kind", "ip", "soft_ok", "daily_ok", "admitted"
+    )
+
+
+def guarded_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Origin check, bypass and limits in one chain: what became of every request."""
+    return guarded(I.guard_log(spark, sf), M.guard_limits)
+
+
+def stream_guarded_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The same chain on a stream."""
+    folder = I.files_in_order(["ts", "event_id"], I.guard_log(spark, sf))
+    log = _stream(spark, folder, f"{GUARD_REQUEST}, origin string, host string, bypass boolean")
+    out = guarded(log, lambda requests: guard_stream(requests, live=False))
+    return run_available(out, spark, "guarded")
+
+
+def _event_time(spark: SparkSession, sf: str) -> DataFrame:
+    folder = I.delayed_requests(spark, sf, GUARD_DELAY_MS)
+    decided = guard_in_event_time(
+        _stream(spark, folder, GUARD_REQUEST), f"{GUARD_DELAY_MS} milliseconds"
+    )
+    return run_available(decided, spark, "event-time")
+
+
+def stream_event_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests out of order within the delay, decided in their own order; others are late."""
+    return _event_time(spark, sf).select("event_id", "soft_ok", "daily_ok", "admitted", "late")
+
+
+def stream_late_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The side count of the event-time guard: requests per kind and day that came too late."""
+    return late_counts(_event_time(spark, sf))
+
+
 def stream_leads(spark: SparkSession, sf: str) -> DataFrame:
     schema = I.table(spark, sf, "customer").schema
     customers = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf)
@@ -596,5 +646,7 @@ QUERIES: dict[str, Query] = {
         speed_readings, leads_valid, leads_rejected, lead_summary, leads_latest,
         intake_long, intake_markdown, request_meta, origin_rejects, soft_limit, daily_cap,
         bypass, guard_limits, trailing_hits, daily_counts, stream_soft_limit, stream_leads,
+        stream_guard_limits, guarded_requests, stream_guarded_requests, stream_event_time,
+        stream_late_counts,
     ]
 }

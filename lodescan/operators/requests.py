@@ -32,9 +32,14 @@ def origin_matches(origin: Column, host: Column) -> Column:
     return F.coalesce(Url(origin).authority == F.lower(host), F.lit(False))
 
 
-def split_by_origin(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected); requests with the bypass flag are never rejected."""
-    passes = F.coalesce(F.col("bypass"), F.lit(False)) | origin_matches(
+def passes_origin() -> Column:
+    """Whether a request comes from its own host or has the bypass flag."""
+    return F.coalesce(F.col("bypass"), F.lit(False)) | origin_matches(
         F.col("origin"), F.col("host")
     )
+
+
+def split_by_origin(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected); requests with the bypass flag are never rejected."""
+    passes = passes_origin()
     return log.filter(passes), log.filter(~passes)
