@@ -716,6 +716,9 @@ ORACLE: dict[str, str] = {
   || 'Budget: ' || budget || chr(10) || 'Mockup: ' || CASE WHEN mockup THEN 'YES' ELSE 'no' END || chr(10) || 'Working: ' || coalesce(nullif(works, ''), '(blank)') || chr(10) || 'Not working: ' || coalesce(nullif(broken, ''), '(blank)') AS body FROM named""",
     "leads_latest": with_tables(LEADS, LEADS_OK)
     + "SELECT received_at, email, lead_id, name, score FROM accepted QUALIFY row_number() OVER (PARTITION BY received_at, email ORDER BY lead_id DESC) = 1",
+    "stream_leads_latest": with_tables(LEADS, LEADS_OK)
+    + "SELECT received_at, email, lead_id, name, score FROM accepted QUALIFY row_number() OVER (PARTITION BY received_at, email ORDER BY lead_id DESC) = 1",
+    "stream_daily_counts": "SELECT event_type AS kind, CAST(user_id AS VARCHAR) AS ip, epoch_us(ts) // 86400000000 AS day, count(*) AS requests FROM events GROUP BY ALL",
     "intake_long": with_tables(
         INTAKE,
         "s AS (SELECT submission_id, unnest(sections) AS s, unnest(range(len(sections))) AS section_no FROM human)",

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .upserts import latest
 
-def write_audits(payload: DataFrame, path: str, mode: str = "append") -> None:
-    """Nested audit records as JSON, one folder per tier."""
-    payload.write.mode(mode).partitionBy("tier").json(path)
+LEAD_KEYS = ["received_at", "email"]
+
+
+def write_audits(payload: DataFrame, path: str, run: str) -> None:
+    """Nested audit records of one run as JSON, one folder per tier.
+
+    A repeated run replaces all its rows, also those of sites whose tier has changed since.
+    """
+    payload.write.mode("overwrite").partitionBy("tier").json(f"{path}/run={run}")
 
 
 def deep_payload(pages: DataFrame) -> DataFrame:
@@ -28,8 +35,9 @@ def deep_payload(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_deep(payload: DataFrame, path: str, mode: str = "append") -> None:
-    payload.write.mode(mode).parquet(path)
+def write_deep(payload: DataFrame, path: str, run: str) -> None:
+    """Deep reports of one run, replaced when it is repeated."""
+    payload.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
 def append_leads(leads: DataFrame, path: str) -> None:
@@ -38,8 +46,4 @@ def append_leads(leads: DataFrame, path: str) -> None:
 
 def latest_leads(leads: DataFrame) -> DataFrame:
     """Last write wins for each (received_at, email), by ``lead_id`` as arrival order."""
-    rest = [c for c in leads.columns if c not in ("received_at", "email")]
-    last = leads.groupBy("received_at", "email").agg(
-        F.max_by(F.struct(*rest), "lead_id").alias("last")
-    )
-    return last.select("received_at", "email", "last.*")
+    return latest(leads, LEAD_KEYS, "lead_id")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.leads import is_complete, shortened
+from ..sources.sinks import LEAD_KEYS
+from ..sources.upserts import BUCKETS, upsert
 
 
 def write_lead_stream(
@@ -28,3 +30,19 @@ def write_lead_stream(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def upsert_lead_stream(
+    leads: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, **trigger: object
+) -> StreamingQuery:
+    """Keep the last accepted lead of each (received_at, email) under ``path``."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        upsert(shortened(batch.filter(is_complete())), batch_id, path, LEAD_KEYS, "lead_id", buckets)
+
+    return (
+        leads.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
