@@ -6,13 +6,15 @@ index, and a Bloom filter on the document id stands beside it. Spark's reader de
 tasks, and a filter on ``doc_id`` goes to stripe statistics, row index and Bloom filter before
 an id is decoded.
 
-Documents are encoded once and stored, then put in order by ranges of their ids and written,
-one file a range. A row also holds its ``part`` and its ``place`` in the order; the number of
-ids before a document follows from the lengths, added up inside a part and over the parts.
+Texts are put in order by ranges of their ids, encoded, and written, one file a range: the
+texts are what is shuffled, as they take less room than ids. A row also holds its ``part`` and
+its ``place`` in the order; the number of ids before a document follows from the lengths, added
+up inside a part and over the parts.
 
 Rows: a null text counts as empty and holds the end id alone. Rows without a document id come
-first; rows of equal ids keep the order in which they were read. Texts are encoded whole. An
-empty table gives no rows. Only the two named columns are read.
+first; rows of equal ids follow a hash of their texts, repeated rows their order in the input,
+so a hot id is shared by several ranges. Texts are encoded whole. An empty table gives no rows.
+Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -42,11 +44,20 @@ FALSE_POSITIVES = 0.01
 TOGETHER = 256
 
 
-def encoded(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    vocabulary: str | None = None, end_id: int = END_ID,
-) -> DataFrame:
-    """(doc_id, ids): the token ids of every whole text, the end id last."""
+def in_id_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, content) in ranges of the document ids, each sorted."""
+    ties = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("content")
+    ).select(
+        "doc_id", F.xxhash64("content").alias("tie"), F.monotonically_increasing_id().alias("row"),
+        "content",
+    )
+    order = ["doc_id", "tie", "row"]
+    return ties.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "content")
+
+
+def encoded(texts: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, ids) of (doc_id, content): the token ids of every whole text, the end id last."""
     path = vocabulary or tokenizer_path(VOCABULARY)
     closing = int(end_id).to_bytes(4, "little")
 
@@ -60,24 +71,16 @@ def encoded(
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], ids], ["doc_id", "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("content")
-    ).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def write_tokens(
     rows: DataFrame, path: str, stride: int = STRIDE, stripe_bytes: int = STRIPE_BYTES,
 ) -> None:
-    """Write (doc_id, ids) as ORC files whose names follow the document ids.
-
-    Rows are stored before, with a number each: ties of ids then have an order, and neither the
-    ranges nor a lost executor make a text be encoded again.
-    """
-    stored = materialize(rows.withColumn("read", F.monotonically_increasing_id()), "token-ids")
-    ranged = stored.repartitionByRange("doc_id", "read").sortWithinPartitions("doc_id", "read")
+    """Write (doc_id, ids), which lie in the order of the ids, as one ORC file a part."""
     place = F.monotonically_increasing_id()
-    placed = ranged.select(
+    placed = rows.select(
         "doc_id", F.shiftright(place, ROW_BITS).cast("int").alias("part"),
         place.bitwiseAND((1 << ROW_BITS) - 1).alias("place"), "ids",
     )
@@ -144,6 +147,6 @@ def stored_tokens(
     """Encode, write to ``path`` (by default a new shared folder) and index what was read back."""
     spark = docs.sparkSession
     path = path or os.path.join(new_folder(spark, "token-store"), "orc")
-    write_tokens(encoded(docs, id_col, text_col, vocabulary, end_id), path)
+    write_tokens(encoded(in_id_order(docs, id_col, text_col), vocabulary, end_id), path)
     kind = docs.schema[id_col].dataType.simpleString()
     return token_index(read_tokens(spark, path, kind))

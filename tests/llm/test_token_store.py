@@ -48,7 +48,7 @@ def test_odd_documents(docs, no_docs):
 def store(spark, tmp_path_factory):
     """20,000 rows of 60 ids in many stripes."""
     path = str(tmp_path_factory.mktemp("orc") / "store")
-    rows = spark.range(20_000).select(
+    rows = spark.range(0, 20_000, 1, 2).select(
         (F.col("id") * 3).alias("doc_id"),
         F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: (F.hash("id", i) % 49_000).cast("int")).alias("ids"),
     )
