@@ -30,9 +30,12 @@ CLOSING_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 # windows a task keeps open
 OPEN_WINDOWS = 512
-# chunks and words whose ids a Python worker remembers
-REMEMBERED = 600_000
-REMEMBERED_WORDS = 700_000
+# bytes of chunks and words, with their ids, that a Python worker remembers, and the longest
+# chunk it does remember; unspaced text and encoded data come in chunks that never come again
+REMEMBERED_BYTES = 192 << 20
+LONGEST_REMEMBERED = 64
+# what a dictionary entry takes besides its characters and ids
+ENTRY_BYTES = 200
 CLOSING_MARKS = ".,;:!?"
 # texts tokenised together
 TOGETHER = 256
@@ -62,35 +65,43 @@ class ChunkEncoder:
     through the whole tokeniser.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED,
-                 remembered_words: int = REMEMBERED_WORDS) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.byte_names = dict(enumerate(byte_names()))
-        self.remembered, self.remembered_words = remembered, remembered_words
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
         self.known = Known()
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > self.remembered:
-            self.known = Known()
-        if len(self.words) > self.remembered_words:
-            self.words = {}
+        if self.held > self.remembered:
+            self._forget()
         known = self.known
         found = [list(map(known.__getitem__, chunks)) for chunks in split]
-        self._learn(list(dict.fromkeys(known.asked)))
+        asked = list(dict.fromkeys(known.asked))
+        self._learn(asked)
         known.asked.clear()
-        return [
+        encoded = [
             b"".join(
                 [known[chunk] if ids is None else ids for ids, chunk in zip(row, chunks)]
                 if None in row else row
             )
             for row, chunks in zip(found, split)
         ]
+        for chunk in asked:
+            if len(chunk) > LONGEST_REMEMBERED:
+                del known[chunk]
+            else:
+                self.held += _size(chunk, known[chunk])
+        return encoded
 
     def _learn(self, chunks: list[str]) -> None:
         known, words, others = self.known, self.words, []
@@ -102,7 +113,10 @@ class ChunkEncoder:
             letters, marks = parts
             ids = words.get(letters)
             if ids is None:
-                ids = words[letters] = self._merged(letters)
+                ids = self._merged(letters)
+                if len(letters) <= LONGEST_REMEMBERED:
+                    words[letters] = ids
+                    self.held += _size(letters, ids)
             if marks:
                 closing = words.get(marks)
                 if closing is None:
@@ -130,6 +144,10 @@ def _parts(chunk: str) -> tuple[str, str] | None:
     return None
 
 
+def _size(chunk: str, ids: bytes) -> int:
+    return ENTRY_BYTES + len(ids) + (1 if chunk.isascii() else 4) * len(chunk)
+
+
 ENCODERS: dict[str, ChunkEncoder] = {}
 
 

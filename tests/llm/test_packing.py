@@ -78,11 +78,27 @@ def test_chunks_encode_as_the_whole(library):
     parts = [" ", "  ", "\n", "\t", "'ll", "<|endoftext|>", "The", "ing", "1", "!", "é", "́",
              "Σ", "\xa0", "日本", "\x1c", ".", ",", "İ", "ǅ", "ß", "É", "ª", "ſ", "K"]
     texts = ["".join(draw.choice(parts) for _ in range(20)) for _ in range(500)] + ["", " "]
-    encoder = P.ChunkEncoder(tokenizer_path(P.VOCABULARY), remembered=50, remembered_words=70)
+    encoder = P.ChunkEncoder(tokenizer_path(P.VOCABULARY), remembered=20_000)
     for text, found in zip(texts, encoder.encode(texts)):
         assert found + (1).to_bytes(4, "little") == ids_of(library, text)
 
 
+def test_what_is_remembered_is_bounded_by_bytes(library):
+    """Lines without a space and encoded data are never remembered, other chunks up to a size."""
+    draw = random.Random(6)
+    signs = [chr(0x4E00 + n) for n in range(5_000)]
+    lines = ["".join(draw.choices(signs, k=400)) for _ in range(60)]
+    blobs = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyzABC0123456789+/", k=2_000)) for _ in range(20)]
+    encoder = P.ChunkEncoder(tokenizer_path(P.VOCABULARY), remembered=100_000)
+    for text in ["\n".join(lines), *blobs]:
+        assert encoder.encode([text])[0] + (1).to_bytes(4, "little") == ids_of(library, text)
+    assert not encoder.known and encoder.held <= 100_000
+    for at in range(40):
+        encoder.encode([" ".join(f"w{at}x{n}" for n in range(100))])
+    held = sum(P._size(c, i) for d in (encoder.known, encoder.words) for c, i in d.items())
+    assert held == encoder.held < 100_000 + 100 * 300
+
+
 def test_level_is_the_one_of_least_squares():
     draw = random.Random(4)
     window = 32
