@@ -25,8 +25,10 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 # fixed values: the words of the vocabulary's own pre-tokeniser
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# chunks, words and token pairs a Python worker remembers, each
+# chunks, words and token pairs a Python worker remembers, each, none of more characters than
+# the longest; unspaced text and encoded data come in chunks that never come again
 REMEMBERED = 500_000
+LONGEST_REMEMBERED = 64
 
 
 class PrefixCounter:
@@ -83,7 +85,9 @@ class PrefixCounter:
         """Whether the two tokens stay apart when their bytes are encoded together."""
         if len(self.pairs) > self.remembered:
             self.pairs.clear()
-        found = self.pairs[pair] = self._merged(pair[0] + pair[1]) == [*pair]
+        found = self._merged(pair[0] + pair[1]) == [*pair]
+        if len(pair[0]) + len(pair[1]) <= 2 * LONGEST_REMEMBERED:
+            self.pairs[pair] = found
         return found
 
     def word_counts(self, word: bytes) -> list[int]:
@@ -112,7 +116,9 @@ class PrefixCounter:
         if found is None:
             if len(self.totals) > self.remembered:
                 self.totals.clear()
-            found = self.totals[word] = self.word_counts(word.encode())[-1]
+            found = self.word_counts(word.encode())[-1]
+            if len(word) <= LONGEST_REMEMBERED:
+                self.totals[word] = found
         return found
 
     def _ordinary_total(self, text: str) -> int:
@@ -140,7 +146,9 @@ class PrefixCounter:
             for chunk in line.replace(" ", "\n ").split("\n"):
                 found = known.get(chunk, -1)
                 if found == -1:
-                    found = known[chunk] = self._chunk_total(chunk)
+                    found = self._chunk_total(chunk)
+                    if len(chunk) <= LONGEST_REMEMBERED:
+                        known[chunk] = found
                 if found is None:  # a run of white space: words depend on what follows it
                     return self._ordinary_total(text)
                 total += found

@@ -70,3 +70,10 @@ def test_questions_without_encoding_again(small, library):
 def test_prefixes_of_odd_documents(docs):
     rows = T.prefix_table(docs.filter(F.length("text") < 100)).collect()
     assert all(r["prefix_tokens"][0] == 0 for r in rows)
+
+
+def test_long_chunks_are_not_remembered(library):
+    counter = T.PrefixCounter(tokenizer_path(T.VOCABULARY))
+    for text in ("日本語" * 300, "aB3/" * 600, "short words stay"):
+        assert counter.total(text) == size(library, text)
+    assert max(map(len, [*counter.chunks, *counter.totals])) <= T.LONGEST_REMEMBERED
