@@ -137,6 +137,19 @@ SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'error' ELSE
 FROM {pages}
 """
 
+SPEED_ATTEMPTS = f"""
+WITH s AS ({SPEED})
+SELECT page_id, 0 AS attempt,
+  CASE page_id % 9 WHEN 4 THEN 'timeout' WHEN 5 THEN 'network' ELSE 'http' END AS ended,
+  CASE page_id % 9 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 500 WHEN 3 THEN 404 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 200 END AS http,
+  CASE WHEN page_id % 9 > 5 THEN body END AS body
+FROM s
+UNION ALL
+SELECT page_id, 1, CASE page_id % 9 WHEN 1 THEN 'timeout' ELSE 'http' END,
+  CASE page_id % 9 WHEN 1 THEN NULL WHEN 2 THEN 502 ELSE 200 END, body
+FROM s WHERE page_id % 9 < 5
+"""
+
 LEADS = """
 WITH c AS (SELECT *, CASE WHEN c_custkey % 10 = 1 THEN c_custkey - 1 ELSE c_custkey END AS k FROM {customer})
 SELECT c_custkey AS lead_id,
@@ -227,6 +240,10 @@ def speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, SPEED, "pages")
 
 
+def speed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, SPEED_ATTEMPTS, "pages")
+
+
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, LEADS, "customer")
 

@@ -702,6 +702,15 @@ ORACLE: dict[str, str] = {
   WHERE {key('url')} = (SELECT {key('url')} FROM pages ORDER BY page_id LIMIT 1))""",
     "panel_clean": with_tables(*PANEL_ROWS) + "SELECT * FROM panel_cleaned",
     "speed_readings": with_tables(SPEED) + f"SELECT page_id, score, lcp, lcp_ms, timed_out, {READ} AS read FROM speed_read",
+    "speed_attempts": with_tables(
+        f"attempts AS ({derived(I.SPEED_ATTEMPTS)})",
+        """speed AS (SELECT a.page_id, CASE WHEN a.ended = 'timeout' THEN 'timeout' WHEN a.ended = 'http' AND a.http BETWEEN 200 AND 299 THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN a.http BETWEEN 200 AND 299 THEN a.body END AS body
+  FROM attempts a JOIN attempts f ON f.page_id = a.page_id AND f.attempt = 0
+  WHERE a.attempt = CASE WHEN f.ended = 'http' AND (f.http = 429 OR f.http >= 500) THEN 1 ELSE 0 END)""",
+        SPEED[SPEED.index("speed_json AS"):],
+    )
+    + f"SELECT page_id, status, score, lcp, lcp_ms, timed_out, {READ} AS read FROM speed_read JOIN (SELECT page_id, status FROM speed) USING (page_id)",
     "leads_valid": with_tables(LEADS, LEADS_OK)
     + r"SELECT *, CASE WHEN regexp_matches(trim(email), '^[^\s@]+@[^\s@]+\.[^\s@]+$') THEN left(trim(email), 200) END AS reply_to FROM accepted",
     "leads_rejected": with_tables(LEADS)

@@ -475,6 +475,12 @@ def speed_readings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def speed_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings after up to two attempts a page."""
+    outcomes = J.speed_outcomes(I.speed_attempts(spark, sf))
+    return J.speed_readings(outcomes).select("page_id", "status", "score", "lcp", "lcp_ms", "timed_out", "read")
+
+
 # --- leads and intake -----------------------------------------------------------------------
 
 
@@ -684,6 +690,6 @@ QUERIES: dict[str, Query] = {
         intake_long, intake_markdown, request_meta, origin_rejects, soft_limit, daily_cap,
         bypass, guard_limits, trailing_hits, daily_counts, stream_soft_limit, stream_leads,
         stream_guard_limits, guarded_requests, stream_guarded_requests, stream_event_time,
-        stream_late_counts, stream_leads_latest, stream_daily_counts,
+        speed_attempts, stream_late_counts, stream_leads_latest, stream_daily_counts,
     ]
 }

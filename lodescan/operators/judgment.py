@@ -270,6 +270,35 @@ def report_lines(results: DataFrame, summary: DataFrame | None = None) -> DataFr
 # --- page speed --------------------------------------------------------------------------
 
 
+def speed_outcomes(attempts: DataFrame) -> DataFrame:
+    """(page_id, status, body) of the attempts (page_id, attempt, ended, http, body) at a reading.
+
+    ``ended`` is http, timeout or network; attempts count from 0. A first answer of 429 or of
+    500 and more is followed by the second attempt, whatever that gives; a timeout, another
+    answer and a network error are final. A second attempt that was never made is an error.
+    """
+
+    def numbered(number: int) -> Column:
+        row = F.struct("ended", "http", "body")
+        return F.min(F.when(F.col("attempt") == number, row))
+
+    first, second = F.col("first"), F.col("second")
+    again = (first["ended"] == "http") & ((first["http"] == 429) | (first["http"] >= 500))
+    both = attempts.filter("attempt in (0, 1)").groupBy("page_id").agg(
+        numbered(0).alias("first"), numbered(1).alias("second")
+    )
+    last = both.select(
+        "page_id", F.when(F.coalesce(again, F.lit(False)), second).otherwise(first).alias("last")
+    )
+    ended = F.col("last.ended")
+    answered = (ended == "http") & F.col("last.http").between(200, 299)
+    status = F.when(ended == "timeout", F.lit("timeout")).when(answered, F.lit("ok"))
+    return last.select(
+        "page_id", F.coalesce(status, F.lit("error")).alias("status"),
+        F.when(answered, F.col("last.body")).alias("body"),
+    )
+
+
 def speed_readings(results: DataFrame) -> DataFrame:
     """Adds score, lcp, lcp_ms, timed_out and the sentence ``read`` to (status, body)."""
     parsed = F.from_json("body", SPEED_REPLY)

@@ -102,3 +102,29 @@ def test_offers_and_labels(spark):
     assert [r[0] for r in df.select(S.offer_kind(F.col("e"), F.col("p"))).collect()] == ["call", "refresh", "phase_1", "phase_1"]
     df = spark.createDataFrame([("high",), ("med",), ("low",), (None,)], "p string").coalesce(1)
     assert [r[0] for r in df.select(S.priority_label(F.col("p"))).collect()] == ["Critical", "Important", "Polish", "Polish"]
+
+
+def test_second_attempts_follow_fast_failures_only(spark):
+    """Against the rule, attempt by attempt: after 429 and 5xx once, never after a timeout."""
+    from itertools import product
+
+    from lodescan.operators.judgment import speed_outcomes
+
+    ends = [("http", 200), ("http", 404), ("http", 429), ("http", 500), ("timeout", None), ("network", None), None]
+    rows, wanted = [], {}
+    for page, made in enumerate(product(ends[:-1], ends)):
+        final = made[0]
+        for n, end in enumerate(made):
+            if end:
+                rows.append((page, n, *end, f"b{page}-{n}"))
+        if made[0][0] == "http" and made[0][1] in (429, 500):
+            final = made[1]
+        number = 1 if final is made[1] and made[0][0] == "http" and made[0][1] in (429, 500) else 0
+        kind = "error" if final is None or final[0] == "network" else final[0]
+        if kind == "http":
+            kind = "ok" if final[1] == 200 else "error"
+        wanted[page] = (kind, f"b{page}-{number}" if kind == "ok" else None)
+    rows.append((0, 2, "timeout", None, None))  # a third attempt is never looked at
+    attempts = spark.createDataFrame(rows, "page_id int, attempt int, ended string, http int, body string")
+    found = {r.page_id: (r.status, r.body) for r in speed_outcomes(attempts).collect()}
+    assert found == wanted
