@@ -168,6 +168,28 @@ SELECT c_custkey AS lead_id,
 FROM c
 """
 
+# forms as posted: bots, odd values of every field, unreadable texts
+INTAKE_POSTS = """
+SELECT submission_id, CASE submission_id % 23 WHEN 0 THEN '{{"business":"x"' WHEN 1 THEN 'null' WHEN 2 THEN '[1,2]'
+    WHEN 3 THEN '{{}} {{}}' WHEN 4 THEN '' WHEN 5 THEN '{{}}'
+    ELSE concat('{{"business":', business, ',"hp":', hp, ',"sections":', sections, '}}') END AS body
+FROM (
+  SELECT c_custkey AS submission_id,
+    CASE c_custkey % 7 WHEN 0 THEN 'null' WHEN 1 THEN '"  "' WHEN 2 THEN '42' WHEN 3 THEN '["A","B"]'
+      ELSE concat('" ', c_name, ' & Sons "') END AS business,
+    CASE c_custkey % 19 WHEN 0 THEN '"http://bot.example"' WHEN 1 THEN 'false' WHEN 2 THEN '1' WHEN 3 THEN 'null'
+      WHEN 4 THEN '[]' WHEN 5 THEN '0' ELSE '""' END AS hp,
+    CASE c_custkey % 11 WHEN 0 THEN '[]' WHEN 1 THEN 'null' WHEN 2 THEN '"none"' WHEN 3 THEN '[{{"name":"Bare"}},5]'
+      WHEN 4 THEN '[null]' WHEN 5 THEN '[{{"name":"Odd","items":{{"q":1}}}}]'
+      WHEN 6 THEN '[{{"name":"Gap","items":[{{"q":"x","v":"y"}},null]}}]'
+      ELSE concat('[{{"name":"The business","items":[{{"q":"Phone","v":"', c_phone, '"}},{{"q":"Key","v":',
+        CAST(c_custkey AS STRING), '}}]}},{{"name":"Wishes","items":[{{"q":"Ship ', c_mktsegment,
+        '?","v":["Call","Order online"]}},{{"q":"Open","v":true}},{{"v":"no question"}},7,{{"q":"Hours","v":{{"mon":[9,"17"]}}}}]}},{{"items":false}}]')
+    END AS sections
+  FROM {customer}
+) AS made
+"""
+
 INTAKE_FORMS = """
 SELECT c_custkey AS submission_id,
   CASE c_custkey % 9 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN concat('  ', c_name, ' & Sons  ') WHEN 4 THEN repeat(concat(c_name, ' '), 9) ELSE c_name END AS business,
@@ -252,6 +274,10 @@ def intake_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, INTAKE_FORMS, "customer")
 
 
+def intake_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, INTAKE_POSTS, "customer")
+
+
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, REQUEST_LOG, "events")
 

@@ -448,6 +448,34 @@ human AS (
   FROM forms WHERE coalesce(hp, '') = ''
 )"""
 
+def given(j: str) -> str:
+    return f"""CASE coalesce(json_type({j}), 'NULL') WHEN 'NULL' THEN false WHEN 'VARCHAR' THEN json_extract_string({j}, '$') <> ''
+      WHEN 'BOOLEAN' THEN CAST({j} AS VARCHAR) = 'true' WHEN 'ARRAY' THEN true WHEN 'OBJECT' THEN true ELSE CAST({j} AS DOUBLE) <> 0 END"""
+
+
+def json_text(j: str) -> str:
+    return f"""CASE coalesce(json_type({j}), 'NULL') WHEN 'NULL' THEN '' WHEN 'VARCHAR' THEN json_extract_string({j}, '$')
+      WHEN 'ARRAY' THEN array_to_string(list_transform(json_extract({j}, '$[*]'), lambda x: coalesce(json_extract_string(x, '$'), '')), ',') ELSE CAST({j} AS VARCHAR) END"""
+
+
+# sections and items as rows; what is no list has none
+POSTS = f"""posts AS MATERIALIZED (
+  SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM ({derived(I.INTAKE_POSTS)})
+), human AS (
+  SELECT submission_id, body, j IS NULL AS no_json, j->'$.business' AS business, CASE WHEN json_type(j->'$.sections') = 'ARRAY' THEN json_extract(j, '$.sections[*]') ELSE [] END AS sections
+  FROM posts WHERE NOT coalesce({given("(j->'$.hp')")}, false)
+), section_rows AS (
+  SELECT submission_id, n - 1 AS section_no, sections[n] AS s FROM (SELECT submission_id, sections, unnest(range(1, len(sections) + 1)) AS n FROM human)
+), listed AS (
+  SELECT submission_id, section_no, s, s->'$.items' AS given_items, CASE WHEN json_type(s->'$.items') = 'ARRAY' THEN json_extract(s, '$.items[*]') ELSE [] END AS found FROM section_rows
+), item_rows AS (
+  SELECT submission_id, section_no, n - 1 AS pos, found[n] AS i FROM (SELECT *, unnest(range(1, len(found) + 1)) AS n FROM listed)
+), unread AS (
+  SELECT submission_id, body, CASE WHEN no_json THEN 'not json'
+    WHEN submission_id IN (SELECT submission_id FROM listed WHERE json_type(s) = 'NULL' OR ({given('given_items')} AND json_type(given_items) <> 'ARRAY')) THEN 'bad section'
+    WHEN submission_id IN (SELECT submission_id FROM item_rows WHERE json_type(i) = 'NULL') THEN 'bad item' END AS reason FROM human
+)"""
+
 LOG = f"log AS ({derived(I.REQUEST_LOG)})"
 
 
@@ -547,6 +575,8 @@ ORACLE: dict[str, str] = {
     + f"SELECT page_id, CAST(len(b) AS INT) AS blocks, array_to_string(b, ' | ') AS bodies, len(b) > 0 AS has_block, contains(lower(html), 'application/ld+json') AS has_mention FROM (SELECT *, {matches('html', LD, 1)} AS b FROM site_pages)",
     "schema_types_tree": with_tables(SITE_PAGES, TYPE_ROWS)
     + "SELECT page_id, coalesce(string_agg(ty, ' | ' ORDER BY ty), '') AS types, CAST(count(ty) AS INT) AS n FROM site_pages LEFT JOIN type_rows USING (page_id) GROUP BY page_id",
+    "schema_types_walk": with_tables(SITE_PAGES, TYPE_ROWS)
+    + "SELECT page_id, coalesce(string_agg(ty, ' | ' ORDER BY ty), '') AS types, CAST(count(ty) AS INT) AS n FROM site_pages LEFT JOIN type_rows USING (page_id) GROUP BY page_id",
     "schema_types_regex": with_tables(SITE_PAGES)
     + f"""SELECT page_id, array_to_string(t, ' | ') AS types, array_to_string(t[1:14], ' | ') AS prompt_types,
   len(list_filter(t, lambda x: regexp_matches(x, 'FAQPage', 'i'))) > 0 AS has_faq, len(list_filter(t, lambda x: regexp_matches(x, '^Menu(Item|Section)?$', 'i'))) > 0 AS has_menu
@@ -739,6 +769,13 @@ ORACLE: dict[str, str] = {
     + """SELECT submission_id, lower(regexp_replace(coalesce(nullif(trim(business), ''), 'intake'), '[^a-z0-9]+', '-', 'gi')) AS slug,
   '# Project Intake — ' || coalesce(nullif(trim(business), ''), 'your business') || chr(10) || array_to_string([''] || list_transform(sections, lambda s: '## ' || s.name || chr(10)
   || array_to_string(list_transform(s['items'], lambda i: '- **' || i.q || ':** ' || i.v), chr(10)) || chr(10)), chr(10)) AS document FROM human""",
+    "intake_posted": with_tables(POSTS)
+    + f"""SELECT h.submission_id, coalesce(nullif(CASE WHEN {given('business')} THEN trim(left({json_text('business')}, 120)) END, ''), 'a client') AS business_label,
+  CAST(l.section_no AS INT) AS section_no, CASE WHEN l.section_no IS NOT NULL THEN {json_text("(l.s->'$.name')")} END AS section, CAST(r.pos AS INT) AS pos,
+  CASE WHEN r.pos IS NOT NULL THEN {json_text("(r.i->'$.q')")} END AS q, CASE WHEN r.pos IS NOT NULL THEN {json_text("(r.i->'$.v')")} END AS v
+  FROM human h JOIN unread u ON u.submission_id = h.submission_id AND u.reason IS NULL
+  LEFT JOIN listed l ON l.submission_id = h.submission_id LEFT JOIN item_rows r ON r.submission_id = l.submission_id AND r.section_no = l.section_no""",
+    "intake_unread": with_tables(POSTS) + "SELECT * FROM unread WHERE reason IS NOT NULL",
     "request_meta": with_tables(LOG)
     + """SELECT event_id, coalesce(bypass, false) AS owner_run, array_to_string(list_filter([city, region, country], lambda x: x <> ''), ', ') AS "where", coalesce(org, '') AS org, ip,
   left(src, 300) AS src, left(ua, 160) AS ua FROM log""",

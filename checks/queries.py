@@ -21,6 +21,8 @@ from lodescan.operators import leads as L
 from lodescan.operators import limits as M
 from lodescan.operators import requests as R
 from lodescan.operators import signals as G
+from lodescan.operators.jsonld import schema_types_walk as walk_schema_types
+from lodescan.operators.posts import posted_answers, read_posts
 from lodescan.sources import sinks
 from lodescan.sources.sitemaps import (
     child_sitemaps, choose_sitemaps, read_children, sitemap_files, sitemap_seeds,
@@ -124,6 +126,14 @@ def schema_types_tree(spark: SparkSession, sf: str) -> DataFrame:
     return I.site_pages(spark, sf).select("page_id", joined(types).alias("types"), F.size(types).alias("n"))
 
 
+def schema_types_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The types of ``schema_types_tree``, found by walking the trees."""
+    walked = walk_schema_types(I.site_pages(spark, sf))
+    return walked.select(
+        "page_id", joined("schema_types").alias("types"), F.size("schema_types").alias("n")
+    )
+
+
 def schema_types_regex(spark: SparkSession, sf: str) -> DataFrame:
     pages = I.site_pages(spark, sf).select("page_id", H.schema_types_regex(F.col("html")).alias("t"))
     return pages.select(
@@ -532,6 +542,17 @@ def intake_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return N.intake_markdown(_submissions(spark, sf))
 
 
+def intake_posted(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms posted as JSON texts, whatever their sections and questions."""
+    forms, _ = read_posts(I.intake_posts(spark, sf))
+    return posted_answers(forms)
+
+
+def intake_unread(spark: SparkSession, sf: str) -> DataFrame:
+    _, unread = read_posts(I.intake_posts(spark, sf))
+    return unread
+
+
 # --- requests and limits -----------------------------------------------------------------------
 
 
@@ -678,7 +699,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
         url_parts, odd_urls, link_predicates, all_page_links, page_text, page_titles, ld_blocks,
-        schema_types_tree, schema_types_regex, page_meta_flags, product_evidence,
+        schema_types_tree, schema_types_walk, schema_types_regex, page_meta_flags, product_evidence,
         question_headings, form_pages, newest_year, page_facts, page_prompts, site_rollup,
         site_lists, home_signals, site_entity_flags, commerce_state, tier_and_quote,
         site_phases, site_scorecard, display_bands, site_audit, summary_audit, audit_payload,
@@ -687,7 +708,7 @@ QUERIES: dict[str, Query] = {
         findings_clean, synthesis_input, report_lines, deep_payload, deep_report, page_audit,
         panel_clean,
         speed_readings, leads_valid, leads_rejected, lead_summary, leads_latest,
-        intake_long, intake_markdown, request_meta, origin_rejects, soft_limit, daily_cap,
+        intake_long, intake_markdown, intake_posted, intake_unread, request_meta, origin_rejects, soft_limit, daily_cap,
         bypass, guard_limits, trailing_hits, daily_counts, stream_soft_limit, stream_leads,
         stream_guard_limits, guarded_requests, stream_guarded_requests, stream_event_time,
         speed_attempts, stream_late_counts, stream_leads_latest, stream_daily_counts,

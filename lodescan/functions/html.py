@@ -6,7 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as V
 from .text import (
-    all_matches, choose, collapse_ws, count_near, found_near, let, mentions, trim_ws,
+    all_matches, choose, collapse_ws, count_near, found_near, let, mentions, strict_json,
+    trim_ws,
 )
 
 
@@ -30,13 +31,6 @@ def page_has_schema_block(html: Column) -> Column:
     return F.size(ld_json_blocks(html)) > 0
 
 
-def _is_single_json_value(block: Column) -> Column:
-    """Strict check: inside brackets, the block must be exactly one array element."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), block, F.lit("]")))
-    second = F.try_variant_get(wrapped, "$[1]", "variant")
-    return wrapped.isNotNull() & second.isNull()
-
-
 # a string, or an array whose strings may hold any bracket
 TYPE_LITERAL = r'"@type"\s*:\s*("(?:[^"\\]|\\.)*+"|\[(?:[^\]"]|"(?:[^"\\]|\\.)*+")*+\])'
 
@@ -52,7 +46,7 @@ def schema_types_in_blocks(blocks: Column) -> Column:
         again = F.to_json(F.try_parse_json(block))
         return F.when(block.rlike(r'(?s)"@type".*"@type"'), again).otherwise(block)
 
-    valid = F.transform(F.filter(blocks, _is_single_json_value), without_repeats)
+    valid = F.transform(F.filter(blocks, lambda b: strict_json(b).isNotNull()), without_repeats)
     literals = F.filter(
         F.flatten(F.transform(valid, lambda b: all_matches(b, TYPE_LITERAL, 1))),
         lambda t: t != '""',

@@ -61,6 +61,17 @@ def all_matches(text: Column, pattern: str, group: int) -> Column:
     )
 
 
+def strict_json(text: Column) -> Column:
+    """The text as a variant if it is exactly one JSON value, else null.
+
+    The parser stops after the first value. What may follow one value inside an array is an
+    error inside an object, and the other way round, so both have to parse.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
+
+
 def or_blank(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
