@@ -182,7 +182,7 @@ FROM (
     CASE c_custkey % 11 WHEN 0 THEN '[]' WHEN 1 THEN 'null' WHEN 2 THEN '"none"' WHEN 3 THEN '[{{"name":"Bare"}},5]'
       WHEN 4 THEN '[null]' WHEN 5 THEN '[{{"name":"Odd","items":{{"q":1}}}}]'
       WHEN 6 THEN '[{{"name":"Gap","items":[{{"q":"x","v":"y"}},null]}}]'
-      ELSE concat('[{{"name":"The business","items":[{{"q":"Phone","v":"', c_phone, '"}},{{"q":"Key","v":',
+      ELSE concat('[{{"name":"The business","items":[{{"q":"Phone","v":"', c_name, '"}},{{"q":"Key","v":',
         CAST(c_custkey AS STRING), '}}]}},{{"name":"Wishes","items":[{{"q":"Ship ', c_mktsegment,
         '?","v":["Call","Order online"]}},{{"q":"Open","v":true}},{{"v":"no question"}},7,{{"q":"Hours","v":{{"mon":[9,"17"]}}}}]}},{{"items":false}}]')
     END AS sections
