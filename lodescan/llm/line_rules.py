@@ -2,8 +2,8 @@
 
 A line with a word fails if it is noise (symbol runs or doubled exclamation marks beside most
 words), navigation (separators beside most words), unpunctuated (``LONG_LINE`` words or more
-and no sentence mark), or boilerplate (a short line with a stock phrase). Failed lines are
-removed; a document that loses more than ``MAX_LOST`` of its word characters is rejected, as
+and no sentence mark), or boilerplate (a short line that stock phrases, told by their word edges,
+make up a fair part of). Failed lines are removed; a document that loses more than ``MAX_LOST`` of its word characters is rejected, as
 is one that fails the base rules. All of it is built-in functions on one row: no shuffle, no
 Python. Repeated eight-word windows are told by 64-bit hashes of their words' hashes.
 
@@ -27,7 +27,9 @@ SHORT_LINE = 200
 SYMBOLS = r"[#*$%&|<>]"
 NOISE = r"[#*$%&<>]+|!!+|\?\?+"
 SEPARATORS = r"[|»›•·]"
-SENTENCE_MARK = r"[.!?…。！？:;]"
+BOILERPLATE_SHARE = 20  # per cent of the line's characters
+# marks of many scripts; Thai and Lao write none, so their letters count as well
+SENTENCE_MARK = r"[.!?…:;。！？：；؟؛۔।॥։።፧၊။។\x{0E00}-\x{0EFF}]"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 # fixed values: phrases of lines that belong to a site, not to a text
 PHRASES = (
@@ -36,12 +38,18 @@ PHRASES = (
     "sign up", "log in", "subscribe", "javascript", "lorem ipsum", "licensed under",
     "share this", "powered by",
 )
+STOCK = rf"(?i)(?<![a-z0-9_])(?:{'|'.join(PHRASES)})(?![a-z0-9_])"
 
 
 def _line_verdict(line: Column) -> Column:
     spaces = F.length(line) - F.length(F.replace(line, F.lit(" ")))
     words = spaces + 1
-    boilerplate = (F.length(line) <= SHORT_LINE) & line.rlike(f"(?i){'|'.join(PHRASES)}")
+    stock = F.length(line) - F.length(F.regexp_replace(line, F.lit(STOCK), F.lit("")))
+    boilerplate = (
+        (F.length(line) <= SHORT_LINE)
+        & line.rlike(STOCK)
+        & (100 * stock >= BOILERPLATE_SHARE * F.length(line))
+    )
     noise = 2 * F.regexp_count(line, F.lit(NOISE)) > words
     navigation = (F.regexp_count(line, F.lit(SEPARATORS)) >= 3) & (
         4 * F.regexp_count(line, F.lit(SEPARATORS)) > words

@@ -122,8 +122,8 @@ judged AS (
       2 * len(regexp_extract_all(l, '[#*$%&<>]+|!!+|\?\?+')) > length(l) - length(replace(l, ' ', '')) + 1
       OR (len(regexp_extract_all(l, '[|»›•·]')) >= 3
           AND 4 * len(regexp_extract_all(l, '[|»›•·]')) > length(l) - length(replace(l, ' ', '')) + 1)
-      OR (length(l) - length(replace(l, ' ', '')) + 1 >= 20 AND NOT regexp_matches(l, '[.!?…。！？:;]'))
-      OR (length(l) <= 200 AND regexp_matches(l, '(?i)all rights reserved|cookie policy|privacy policy|terms of use|terms of service|use of cookies|uses cookies|click here|read more|sign up|log in|subscribe|javascript|lorem ipsum|licensed under|share this|powered by'))
+      OR (length(l) - length(replace(l, ' ', '')) + 1 >= 20 AND NOT regexp_matches(l, '[.!?…:;。！？：；؟؛۔।॥։።፧၊။។\x{0E00}-\x{0EFF}]'))
+      OR (length(l) <= 200 AND 100 * (length(l) - length(regexp_replace(l, '(?i)\b(?:all rights reserved|cookie policy|privacy policy|terms of use|terms of service|use of cookies|uses cookies|click here|read more|sign up|log in|subscribe|javascript|lorem ipsum|licensed under|share this|powered by)\b', '', 'g'))) >= greatest(1, 20 * length(l)))
     )) AS clean
   FROM read),
 counts AS (
