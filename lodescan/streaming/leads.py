@@ -20,6 +20,9 @@ def write_lead_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # a task keeps both folders' files open and need not sort its rows by folder; the
+        # session is the query's own
+        batch.sparkSession.conf.set("spark.sql.maxConcurrentOutputFileWriters", 2)
         marked = batch.withColumn("accepted", is_complete())
         shortened(marked, F.col("accepted")).write.mode("overwrite") \
             .partitionBy("accepted").parquet(f"{path}/batch={batch_id}")

@@ -63,3 +63,24 @@ def test_lead_stream_keeps_rejects(spark):
     rows = spark.read.parquet(path).select("lead_id", "accepted", "name", "url").collect()
     assert {(r.lead_id, str(r.accepted)) for r in rows} == {(1, "true"), (2, "false"), (3, "false")}
     assert {r.lead_id: r.url for r in rows} == {1: "", 2: None, 3: None}
+
+
+def test_a_lead_batch_is_written_without_a_sort(spark):
+    """Sorted by folder, a task would hold the whole rows of its part of the batch."""
+    columns = ("name", "email", "url", "tier", "score", "business", "works", "broken", "budget")
+    rows = [(i, "Ann" if i % 3 else "", *["a"] * 8, True) for i in range(50)]
+    schema = "lead_id int, " + ", ".join(f"{c} string" for c in columns) + ", mockup boolean"
+    source, path = new_folder(spark, "unsorted-source"), new_folder(spark, "unsorted-leads")
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    log = spark._jsparkSession.sharedState().statusStore()
+    before = log.executionsCount()
+    write_lead_stream(spark.readStream.schema(schema).parquet(source), path, new_folder(spark, "unsorted-checkpoint")) \
+        .awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = log.executionsList(before, 100)
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    writes = [p for p in plans if path in p]
+    assert writes and not any("Sort" in p for p in writes)
+    out = spark.read.parquet(path).groupBy("accepted").count().collect()
+    assert {str(r.accepted): r["count"] for r in out} == {"true": 33, "false": 17}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
