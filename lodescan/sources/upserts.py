@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BUCKETS = 64
+# parts that the rows of one key are dealt to before they are reduced
+KEY_PARTS = 16
 # hidden from readers of the table
 ASIDE = "_merge"
 
@@ -29,9 +31,17 @@ def _store(spark: SparkSession, path: str):
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of the highest ``order`` of each key; null is a key like any other."""
+    """The row of the highest ``order`` of each key; null is a key like any other.
+
+    Whole rows are sorted for this, so they are shuffled first: a task then holds a part of the
+    shuffle, not what a file of well compressed rows unfolds to. A key of many rows is dealt to
+    ``KEY_PARTS`` parts, of which each sends one row on.
+    """
     rest = [c for c in rows.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("last"))
+    by_key = [*keys, "_part"]
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(KEY_PARTS))).repartition(*by_key)
+    parts = dealt.groupBy(*by_key).agg(F.max_by(F.struct(*rest), order).alias("last"))
+    last = parts.groupBy(*keys).agg(F.max_by("last", F.col(f"last.`{order}`")).alias("last"))
     return last.select(*keys, "last.*").select(*rows.columns)
 
 

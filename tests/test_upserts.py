@@ -31,6 +31,23 @@ def test_batches_merge_by_key(spark):
         assert table(spark, path) == {(k, *rest) for k, rest in wanted.items()}
 
 
+def test_the_latest_row_is_found_without_sorting_whole_files(spark):
+    """A key of many rows, null keys and null orders; rows are shuffled before any is sorted."""
+    draw = random.Random(4)
+    rows = [("hot", n, n) for n in range(400)] + [(draw.choice(["a", "b", None, ""]), n, 1000 + n) for n in range(200)]
+    rows += [("unordered", 7, None), ("a", 8, None)]
+    draw.shuffle(rows)
+    wanted = {}
+    for k, v, n in rows:
+        if n is not None and n >= wanted.get(k, (0, -1))[1]:
+            wanted[k] = (v, n)
+    found = U.latest(spark.createDataFrame(rows, SCHEMA), ["k"], "n")
+    assert {tuple(r) for r in found.collect()} == {(k, *v) for k, v in wanted.items()} | {("unordered", None, None)}
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in reversed(plan.splitlines()) if "Exchange" in line or "Aggregate" in line]
+    assert "Exchange" in steps[0]
+
+
 def test_a_batch_that_failed_in_between_is_put_in_place_again(spark, monkeypatch):
     path = new_folder(spark, "failed")
     U.upsert(spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], SCHEMA), 0, path, ["k"], "n", buckets=1)
