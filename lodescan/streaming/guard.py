@@ -7,14 +7,19 @@ passed them and decides them in the order of (ts, event_id) by event-time timers
 arrival order within the delay gives what the batch job gives; what comes later than that is not
 decided but returned as ``late``.
 
-State per kind and ip: a list of the last admitted times, a map of the admitted requests per day,
-the newest time, and for event time the list of waiting requests. A key of many requests is one
-task's work in either operator, as each decision depends on the one before; what it holds is
-bounded by the limit, or by the requests of one delay.
+Ips are dealt to ``IP_BUCKETS`` buckets of a kind, whose state is one: a key of its own for each
+ip costs some ten messages between the worker and the store in every batch that names it. Per
+bucket, maps by ip hold the last admitted times and, apart as it lives longer, the newest time
+with the admitted requests per day; only the ips of a batch are read and written. In event time
+the waiting requests lie in slices of time, each batch's apart, so that they are read when their
+slice is due and not in every batch. An ip of many requests is one task's work in either
+operator, as each decision depends on the one before; what it holds is bounded by the limit, or
+by the requests of one delay.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
@@ -26,6 +31,10 @@ from ..operators.requests import passes_origin
 
 DECIDED = "kind string, ip string, ts bigint, event_id bigint, soft_ok boolean, daily_ok boolean, admitted boolean, late boolean"
 DAY = 86_400_000_000
+# buckets of the ips of a kind; a stored stream keeps its own
+IP_BUCKETS = 256
+# microseconds of a slice of waiting requests
+SLICE = 60_000_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 Limits = dict[str, tuple[int, int, int]]
 Decision = tuple[bool | None, bool | None]
@@ -37,7 +46,7 @@ def use_typed_state(spark: SparkSession) -> None:
 
 
 class Guard(StatefulProcessor):
-    """Decides on arrival; requests of one micro-batch in the order of (ts, event_id)."""
+    """Decides on arrival; requests of an ip in one micro-batch in the order of (ts, event_id)."""
 
     def __init__(self, limits: Limits, live: bool) -> None:
         self.limits, self.live = limits, live
@@ -47,52 +56,56 @@ class Guard(StatefulProcessor):
         day = V.DAILY_STATE_TTL_SECONDS * 1000
         hits_ttl, day_ttl = (longest, day) if self.live else (None, None)
         self.handle = handle
-        self.hits = handle.getListState("hits", "ts bigint", hits_ttl)
-        self.used = handle.getMapState("used", "day bigint", "requests bigint", day_ttl)
-        self.newest = handle.getValueState("newest", "ts bigint", day_ttl)
-
-    def _decide(self, key: tuple, times: list[int]) -> list[Decision]:
-        """Decide requests in order; the state is read and written once."""
-        if key[0] not in self.limits:
-            raise ValueError(f"no limits for kind {key[0]}")
-        soft, seconds, daily = self.limits[key[0]]
+        self.hits = handle.getMapState("hits", "ip string", "ts array<bigint>", hits_ttl)
+        self.days = handle.getMapState(
+            "days", "ip string", "newest bigint, days array<bigint>, used array<bigint>", day_ttl
+        )
+
+    def _decide(
+        self, kind: str, ip: str, todo: list[tuple[int, int]], marks: bool = True
+    ) -> Iterator[Row]:
+        """Decide requests of one ip in order; its state is read and written once."""
+        if kind not in self.limits:
+            raise ValueError(f"no limits for kind {kind}")
+        soft, seconds, daily = self.limits[kind]
         window = seconds * 1_000_000
-        hits = sorted(ts for (ts,) in self.hits.get()) if self.hits.exists() else []
-        used: dict[int, int] = {}
-        before = dict(used)
-        found: list[Decision] = []
-        for ts in times:
+        known = self.days.getValue((ip,))
+        newest, days, counts = known if known else (None, [], [])
+        used = dict(zip(days, counts, strict=True))
+        # hits live no longer than the days
+        stored = self.hits.getValue((ip,)) if known else None
+        before = sorted(stored[0]) if stored else []
+        hits, last = before, newest
+        for ts, event_id in todo:
             hits = [t for t in hits if ts - t < window]
             soft_ok, daily_ok = len(hits) < soft, False
             if soft_ok:
                 hits.append(ts)
                 day = ts // DAY
-                if day not in used:
-                    kept = self.used.getValue((day,)) if self.used.containsKey((day,)) else None
-                    used[day] = before[day] = kept[0] if kept else 0
-                daily_ok = used[day] < daily
-                used[day] += daily_ok
-            found.append((soft_ok, daily_ok))
-        self.hits.put([(t,) for t in hits]) if hits else self.hits.clear()
-        for day, n in used.items():
-            if n != before[day]:
-                self.used.updateValue((day,), (n,))
-        return found
+                daily_ok = used.get(day, 0) < daily
+                if daily_ok:
+                    used[day] = used.get(day, 0) + 1
+            yield _row(kind, ip, ts, event_id, (soft_ok, daily_ok),
+                       marks and newest is not None and ts < newest)
+            last = ts if last is None else max(last, ts)
+        if hits != before:
+            self.hits.updateValue((ip,), (hits,)) if hits else self.hits.removeKey((ip,))
+        if self.live:
+            # a counter's lifetime ends a day after its last request, not with the ip
+            oldest = (last - V.DAILY_STATE_TTL_SECONDS * 1_000_000) // DAY
+            used = {day: n for day, n in used.items() if day >= oldest}
+        if self.live or (last, used) != (newest, dict(zip(days, counts, strict=True))):
+            self.days.updateValue((ip,), (last, list(used), list(used.values())))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        todo = []
+        todo = defaultdict(list)
         for r in rows:
             if r.bypass:
-                yield _row(key, r.ts, r.event_id, (True, True), False)
+                yield _row(key[0], r.ip, r.ts, r.event_id, (True, True), False)
             else:
-                todo.append((r.ts, r.event_id))
-        if not todo:
-            return
-        todo.sort()
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        for (ts, event_id), decision in zip(todo, self._decide(key, [t for t, _ in todo]), strict=True):
-            yield _row(key, ts, event_id, decision, newest is not None and ts < newest)
-        self.newest.update((max(todo[-1][0], todo[-1][0] if newest is None else newest),))
+                todo[r.ip].append((r.ts, r.event_id))
+        for ip, held in todo.items():
+            yield from self._decide(key[0], ip, sorted(held))
 
     def close(self) -> None:
         pass
@@ -106,7 +119,9 @@ class EventTimeGuard(Guard):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.waiting = handle.getListState("waiting", "ts bigint, event_id bigint")
+        self.waiting = handle.getMapState(
+            "waiting", "slice bigint, part bigint", "ips array<string>, ts array<bigint>, ids array<bigint>"
+        )
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
@@ -115,45 +130,65 @@ class EventTimeGuard(Guard):
             if r.event_id is None:  # a heartbeat, which moves the watermark only
                 continue
             if r.bypass:
-                yield _row(key, r.ts, r.event_id, (True, True), False)
+                yield _row(key[0], r.ip, r.ts, r.event_id, (True, True), False)
             elif r.ts // 1000 < passed:
-                yield _row(key, r.ts, r.event_id, (None, None), True)
+                yield _row(key[0], r.ip, r.ts, r.event_id, (None, None), True)
             else:
-                held.append((r.ts, r.event_id))
+                held.append((r.ts, r.event_id, r.ip))
         if held:
-            self.waiting.appendList(held)
-            self._wake(held)
-
-    def _wake(self, held: list[tuple[int, int]]) -> None:
-        self.handle.registerTimer(min(held)[0] // 1000 + 1)
+            self._hold(held)
+            self._wake(min(held)[0])
+
+    def _hold(self, held: list[tuple[int, int, str]]) -> None:
+        """Store requests by slice, under a number that no part of the bucket has."""
+        part = 1 + max((part for _, part in self.waiting.keys()), default=0)
+        slices = defaultdict(list)
+        for request in held:
+            slices[request[0] // SLICE].append(request)
+        for number, requests in slices.items():
+            ts, ids, ips = map(list, zip(*requests, strict=True))
+            self.waiting.updateValue((number, part), (ips, ts, ids))
+
+    def _wake(self, ts: int) -> None:
+        self.handle.registerTimer(ts // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
-        due = [w for w in held if w[0] // 1000 < passed]
-        if not due:
-            return
-        for (ts, event_id), decision in zip(due, self._decide(key, [t for t, _ in due]), strict=True):
-            yield _row(key, ts, event_id, decision, False)
-        left = held[len(due):]
+        stored = [tuple(k) for k in self.waiting.keys()]
+        due, left = defaultdict(list), []
+        for place in stored:
+            if place[0] * SLICE // 1000 >= passed:
+                continue
+            ips, times, ids = self.waiting.getValue(place)
+            for ip, ts, event_id in zip(ips, times, ids, strict=True):
+                if ts // 1000 < passed:
+                    due[ip].append((ts, event_id))
+                else:
+                    left.append((ts, event_id, ip))
+            self.waiting.removeKey(place)
+        for ip, requests in due.items():
+            yield from self._decide(key[0], ip, sorted(requests), marks=False)
         if left:
-            self.waiting.put(left)
-            self._wake(left)
-        else:
-            self.waiting.clear()
+            self._hold(left)
+        if due:
+            # the first that still waits: of the slice in part, or of a whole one
+            later = [place[0] * SLICE for place in stored if place[0] * SLICE // 1000 >= passed]
+            if left or later:
+                self._wake(min(left)[0] if left else min(later))
 
 
-def _row(key: tuple, ts: int, event_id: int, decision: Decision, late: bool) -> Row:
+def _row(kind: str, ip: str, ts: int, event_id: int, decision: Decision, late: bool) -> Row:
     soft_ok, daily_ok = decision
     admitted = None if soft_ok is None else soft_ok and daily_ok
-    return Row(kind=key[0], ip=key[1], ts=ts, event_id=event_id, soft_ok=soft_ok,
+    return Row(kind=kind, ip=ip, ts=ts, event_id=event_id, soft_ok=soft_ok,
                daily_ok=daily_ok, admitted=admitted, late=late)
 
 
 def _decided(requests: DataFrame, processor: StatefulProcessor, time_mode: str) -> DataFrame:
     bypass = F.col("bypass") if "bypass" in requests.columns else F.lit(False)
-    rows = keyed(requests).select(*KEYS, "ts", "event_id", F.coalesce(bypass, F.lit(False)).alias("bypass"))
-    return rows.groupBy(*KEYS).transformWithState(processor, DECIDED, "Append", time_mode)
+    bucket = F.pmod(F.xxhash64("ip"), F.lit(IP_BUCKETS)).alias("bucket")
+    rows = keyed(requests).select(*KEYS, "ts", "event_id", F.coalesce(bypass, F.lit(False)).alias("bypass"), bucket)
+    return rows.groupBy("kind", "bucket").transformWithState(processor, DECIDED, "Append", time_mode)
 
 
 def guard_stream(requests: DataFrame, limits: Limits = V.GUARD_LIMITS, live: bool = True) -> DataFrame:

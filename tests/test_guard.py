@@ -5,7 +5,8 @@ import time
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from lodescan.operators import limits as M
 from lodescan.session import new_folder
@@ -121,6 +122,68 @@ def test_live_state_has_lifetimes(spark):
     assert query.exception() is None
 
 
+class Kept(dict):
+    """A state map that counts the messages it would cost, and the values that it hands out."""
+
+    messages, handed = 0, 0
+
+    def getValue(self, key):
+        self.messages += 1
+        found = self.get(tuple(key))
+        self.handed += len(found[0]) if found and isinstance(found[0], list) else 0
+        return found
+
+    def updateValue(self, key, value):
+        self.messages += 1
+        self[tuple(key)] = value
+
+    def removeKey(self, key):
+        self.messages += 1
+        del self[tuple(key)]
+
+
+class Handle:
+    def __init__(self):
+        self.maps, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, Kept())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_what_waits_is_read_when_its_slice_is_due_and_ips_share_a_state():
+    """Forty batches under a delay of ten minutes: a waiting request is read once or twice."""
+    delay, step = 600 * SECOND, 20 * SECOND
+    guard, handle = G.EventTimeGuard({"audit": (2, 60, 5)}), Handle()
+    guard.init(handle)
+    rows, out, batches = [], [], 0
+    draw = random.Random(9)
+    for number in range(40):
+        passed = TimerValues(-1, max(0, (number * step - delay) // 1000))
+        part = [Row(ip=f"ip{draw.randrange(20)}", ts=number * step - draw.randrange(delay // 2) + delay, bypass=False,
+                    event_id=100 * number + i) for i in range(100)]
+        rows += part
+        out += guard.handleInputRows(("audit", 3), iter(part), passed)
+        for at in sorted(t for t in handle.timers if t <= passed.getCurrentWatermarkInMs()):
+            out += guard.handleExpiredTimer(("audit", 3), passed, None)
+            handle.timers.discard(at)
+            batches += 1
+    while handle.timers:  # as a heartbeat would
+        last = TimerValues(-1, 10**9)
+        at = min(handle.timers)
+        out += guard.handleExpiredTimer(("audit", 3), last, None)
+        handle.timers.discard(at)
+    own = [("audit", r.ip, r.ts, r.event_id) for r in rows]
+    assert {r.event_id: (r.soft_ok, r.daily_ok) for r in out} == brute_force(own, 60 * SECOND, 2, 5)
+    assert len(out) == len(rows) and not any(r.late for r in out)
+    waiting, days = handle.maps["waiting"], handle.maps["days"]
+    assert not waiting and waiting.handed <= 2 * len(rows)
+    # a read and a write for each ip that a decided batch names, at most
+    assert len(days) == 20 and days.messages <= 2 * 20 * (batches + 1)
+
+
 def test_unknown_kinds_are_a_mistake(spark):
     stream = batches(spark, [[("other", "a", SECOND, 1, False)]])
     with pytest.raises(Exception, match="no limits for kind other"):
