@@ -446,7 +446,7 @@ def request_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 # rows of a file that a stream takes as one micro-batch, at most
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE = 4_000_000
 
 
 def files_in_order(order: list[str], *frames: DataFrame) -> str:
