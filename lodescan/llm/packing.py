@@ -14,29 +14,39 @@ or repeat, every row is packed. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import byte_names, tokenizer_path
+from .text import tokenizer_path
 
 WINDOW = 2048
 CLOSING_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 # windows a task keeps open
 OPEN_WINDOWS = 512
-# bytes of chunks and words, with their ids, that a Python worker remembers, and the longest
-# chunk it does remember; unspaced text and encoded data come in chunks that never come again
+# bytes of pieces and words, with their ids, that a Python worker remembers, and the longest
+# piece it does remember; unspaced text and encoded data come in chunks that never come again
 REMEMBERED_BYTES = 192 << 20
 LONGEST_REMEMBERED = 64
 # what a dictionary entry takes besides its characters and ids
 ENTRY_BYTES = 200
 CLOSING_MARKS = ".,;:!?"
+# kinds of bytes: Latin letters, and the digits and marks that stand apart from letters; an
+# apostrophe does not, nor do the characters around the names of special tokens
+LETTER, MARK, SPACE = 1, 2, 4
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(string.ascii_letters.encode())] = LETTER
+KINDS[list((string.digits + string.punctuation).encode())] = MARK
+KINDS[list(b"'<|>")] = 0
+KINDS[list(b" \n")] = SPACE
 # texts tokenised together
 TOGETHER = 256
 
@@ -44,103 +54,169 @@ Piece = tuple[int, int, bytes]  # document number, first id, ids as little-endia
 
 
 class Known(dict):
-    """Ids by chunk; a chunk that is not there gives None and is asked for."""
+    """Ids by piece; a piece that is not there gives None and is asked for."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, *found: Iterable[tuple[str, bytes]]) -> None:
+        super().__init__(*found)
         self.asked: list[str] = []
 
-    def __missing__(self, chunk: str) -> None:
-        self.asked.append(chunk)
+    def __missing__(self, piece: str) -> None:
+        self.asked.append(piece)
 
 
 class ChunkEncoder:
     """Ids of whole texts as little-endian 32-bit words.
 
     The vocabulary splits at white space before anything else, and neither its normalisation
-    nor its merges look across a space or line feed, so a text is encoded chunk by chunk and
-    the ids of a chunk are remembered. A new chunk of Latin letters and closing marks is
-    divided into these two, letters lower-cased, as the vocabulary itself does; what is left
-    to do for such a part, the merges, the tokeniser's model does alone. Any other chunk goes
-    through the whole tokeniser.
+    nor its merges look across a space or line feed, nor from a Latin letter to a digit or mark
+    beside it. So texts are cut there, every different piece of the texts is looked up once, and
+    its ids are remembered. A new piece of Latin letters and closing marks is divided into these
+    two, letters lower-cased, as the vocabulary itself does; what is left to do for such a part,
+    the merges, the tokeniser's model does alone. Any other piece goes through the whole
+    tokeniser.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.byte_names = dict(enumerate(byte_names()))
+        # words between spaces, through the merges alone
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = Sequence(
+            [WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = Known()
-        self.words: dict[str, bytes] = {}
-        self.held = 0
+        self.known, self.words, self.held = Known(), {}, 0
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+    def _forget(self, pieces: list[str]) -> None:
+        """Keep what the present texts need, which frequent words are among."""
+        known = self.known
+        self.known = Known((p, known[p]) for p in pieces if p in known)
+        self.words.clear()
+        self.held = sum(map(_size, self.known, self.known.values()))
+
+    def encode(self, texts: list[str] | pa.StringArray) -> list[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        ends, ids = self.ids(texts)
+        words, ends = ids.tobytes(), (4 * ends).tolist()
+        return [words[a:b] for a, b in pairwise(ends)]
+
+    def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each begin and end; no text may be null."""
+        pieces, firsts = _pieces(texts)
+        coded = pieces.dictionary_encode()
+        found = self._found(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(lengths) - lengths
+        which = coded.indices.to_numpy()
+        taken = lengths[which]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        shifts = (begins[which] - ends[:-1]).astype(np.int32)
+        places = np.arange(ends[-1], dtype=np.int32) + np.repeat(shifts, taken)
+        return ends[firsts], np.frombuffer(b"".join(found), "<i4")[places]
+
+    def _found(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces."""
         if self.held > self.remembered:
-            self._forget()
+            self._forget(pieces)
         known = self.known
-        found = [list(map(known.__getitem__, chunks)) for chunks in split]
-        asked = list(dict.fromkeys(known.asked))
-        self._learn(asked)
-        known.asked.clear()
-        encoded = [
-            b"".join(
-                [known[chunk] if ids is None else ids for ids, chunk in zip(row, chunks)]
-                if None in row else row
-            )
-            for row, chunks in zip(found, split)
-        ]
-        for chunk in asked:
-            if len(chunk) > LONGEST_REMEMBERED:
-                del known[chunk]
-            else:
-                self.held += _size(chunk, known[chunk])
-        return encoded
-
-    def _learn(self, chunks: list[str]) -> None:
-        known, words, others = self.known, self.words, []
-        for chunk in chunks:
-            parts = _parts(chunk)
-            if parts is None:
-                others.append(chunk)
-                continue
-            letters, marks = parts
-            ids = words.get(letters)
-            if ids is None:
-                ids = self._merged(letters)
-                if len(letters) <= LONGEST_REMEMBERED:
-                    words[letters] = ids
-                    self.held += _size(letters, ids)
-            if marks:
-                closing = words.get(marks)
-                if closing is None:
-                    closing = words[marks] = self._merged(marks)
-                ids += closing
-            known[chunk] = ids
+        found = list(map(known.__getitem__, pieces))
+        asked = known.asked
+        if asked:
+            self._learn(asked)
+            found = [known[p] if ids is None else ids for p, ids in zip(pieces, found)]
+            for piece in asked:
+                if len(piece) > LONGEST_REMEMBERED:
+                    del known[piece]
+                else:
+                    self.held += _size(piece, known[piece])
+            asked.clear()
+        return found
+
+    def _learn(self, pieces: list[str]) -> None:
+        known, words = self.known, self.words
+        split = {piece: parts for piece in pieces if (parts := _parts(piece))}
+        new = list(dict.fromkeys(p for parts in split.values() for p in parts if p not in words))
+        ids = dict(zip(new, self._merged(new), strict=True))
+        for piece, parts in split.items():
+            known[piece] = b"".join([ids.get(part) or words[part] for part in parts])
+        for part in new:
+            if part not in known and len(part) <= LONGEST_REMEMBERED:
+                words[part] = ids[part]
+                self.held += _size(part, ids[part])
+        others = [piece for piece in pieces if piece not in split]
         for at in range(0, len(others), 10_000):
             part = others[at:at + 10_000]
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for chunk, found in zip(part, encoded, strict=True):
-                known[chunk] = array("I", found.ids).tobytes()
+            for piece, found in zip(part, encoded, strict=True):
+                known[piece] = array("I", found.ids).tobytes()
+
+    def _merged(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of each part; only the last id of a part is one that ends a word."""
+        for at in range(0, len(parts), 1_000):
+            joined = " ".join(parts[at:at + 1_000])
+            found = self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            words = array("I", found).tobytes()
+            ends = (4 * np.flatnonzero(self.last[found]) + 4).tolist()
+            yield from (words[a:b] for a, b in pairwise([0, *ends]))
+
+
+def _pieces(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The pieces of all texts, and where those of each begin and end.
 
-    def _merged(self, part: str) -> bytes:
-        if not part.isascii():
-            part = part.encode().decode("latin-1").translate(self.byte_names)
-        return array("I", [token.id for token in self.model.tokenize(part)]).tobytes()
+    A piece begins with a text, at a space or line feed, and between a Latin letter and a digit
+    or mark; the spaces are left out. Chunks too long to be remembered are cut at spaces alone.
+    """
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:][:len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0]:edges[-1]]
+    edges = edges - edges[0]
+    data = _lowered(data)
+    kinds = KINDS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # × and ÷ are no letters
+    kinds[lead] = kinds[lead + 1] = LETTER
+    begins = np.zeros(len(data) + 1, bool)
+    begins[:-1] = spaces = kinds == SPACE
+    begins[edges] = True
+    chunks = np.flatnonzero(begins)
+    begins[1:-1] |= kinds[:-1] + kinds[1:] == LETTER + MARK
+    for at in np.flatnonzero(np.diff(chunks) > LONGEST_REMEMBERED):
+        begins[chunks[at] + 1:chunks[at + 1]] = False
+    starts = np.flatnonzero(begins)
+    before = np.concatenate([[0], np.cumsum(spaces, dtype=np.int32)], dtype=np.int32)
+    pieces = pa.StringArray.from_buffers(
+        len(starts) - 1,
+        pa.py_buffer((starts - before[starts]).astype(np.int32)),
+        pa.py_buffer(data[~spaces]),
+    )
+    return pieces, np.searchsorted(starts, edges)
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """ASCII letters in lower case, as the vocabulary makes them.
+
+    A capital before another alphabet's byte stays, which may be composed with it first; all do
+    where a special token may stand, as its name would be found in capitals too.
+    """
+    if ((data[:-1] == ord("<")) & (data[1:] == ord("|"))).any():
+        return data
+    capitals = (data >= ord("A")) & (data <= ord("Z"))
+    capitals[:-1] &= data[1:] < 0x80
+    return data + np.uint8(32) * capitals
 
 
-def _parts(chunk: str) -> tuple[str, str] | None:
-    """Lower-case Latin letters and the closing marks behind them, if a chunk is just that."""
-    letters = chunk.rstrip(CLOSING_MARKS)
+def _parts(piece: str) -> tuple[str, ...] | None:
+    """Lower-case Latin letters and the closing marks behind them, if a piece is just that."""
+    letters = piece.rstrip(CLOSING_MARKS)
     small = letters.lower()
     if small.isalpha() and (small.isascii() or max(small) < "\u0250"):
-        return small, chunk[len(letters):]
+        return (small, piece[len(letters):]) if len(letters) < len(piece) else (small,)
     return None
 
 
@@ -305,7 +381,7 @@ def _pack(path: str, window: int, closing_id: int, open_windows: int, id_type: p
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                texts = part.column("content").to_pylist()
+                texts = part.column("content")
                 for name, ids in zip(
                     part.column("doc_id").to_pylist(), encoder(path).encode(texts), strict=True
                 ):

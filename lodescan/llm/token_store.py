@@ -59,15 +59,14 @@ def in_id_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def encoded(texts: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids) of (doc_id, content): the token ids of every whole text, the end id last."""
     path = vocabulary or tokenizer_path(VOCABULARY)
-    closing = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                rows = [ids + closing for ids in encoder(path).encode(part["content"].to_pylist())]
-                ends = np.cumsum([0, *map(len, rows)]) // 4
-                values = np.frombuffer(b"".join(rows), "<i4")
+                ends, values = encoder(path).ids(part["content"])
+                values = np.insert(values, ends[1:], end_id)
+                ends = ends + np.arange(len(ends))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], ids], ["doc_id", "ids"])
 

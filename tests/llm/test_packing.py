@@ -126,3 +126,36 @@ def test_few_documents_are_cut(spark):
         pieces[r["doc_id"]] += 1
     needed = {r["doc_id"]: -(-r["doc_tokens"] // P.WINDOW) for r in rows}
     assert sum(pieces.values()) - sum(needed.values()) < 0.2 * len(pieces)
+
+
+def test_words_are_cut_from_marks_as_in_the_whole(library):
+    draw = random.Random(8)
+    parts = [*" \n'<|>&(.,-_=5/A", "  ", "<|endoftext|>", "<|ENDOFTEXT|>", "the", "The", "J", "'S",
+             "'re", "Ö", "ö", "×", "÷", "ß", "œ", "日", "…", "²", "̌", "̇", "̸",
+             "İ", "\t", "\x85", "Σ"]
+    encoder = P.ChunkEncoder(tokenizer_path(P.VOCABULARY), remembered=20_000)
+    for special in (True, False):
+        kept = [p for p in parts if special or "<" not in p]
+        for size in (3, 20, 90):
+            texts = ["".join(draw.choices(kept, k=size)) for _ in range(800)]
+            for text, found in zip(texts, encoder.encode(texts), strict=True):
+                assert found + (1).to_bytes(4, "little") == ids_of(library, text), text
+
+
+def test_a_word_is_learnt_once(library):
+    """Whatever marks and capitals it comes with, a word is merged and remembered once."""
+    encoder = P.ChunkEncoder(tokenizer_path(P.VOCABULARY))
+    text = "Stone stone, STONE! (stone) stone&&& stone5 /stone\nstone's schön, schön***"
+    assert encoder.encode([text, ""]) == [ids_of(library, text)[:-4], b""]
+    assert set(encoder.known) == {"stone", ",", "!", "(", ")", "&&&", "5", "/", "stone's", "schön", "***"}
+    assert not encoder.words
+
+
+def test_frequent_words_outlive_a_full_memory():
+    encoder = P.ChunkEncoder(tokenizer_path(P.VOCABULARY), remembered=1_000)
+    encoder.encode(["often seldom rarely never ever"])
+    learnt = []
+    learn, encoder._learn = encoder._learn, lambda pieces: (learnt.extend(pieces), learn(pieces))
+    encoder.encode(["often again"])
+    assert learnt == ["again"] and set(encoder.known) == {"often", "again"}
+    assert encoder.held == sum(P._size(p, i) for p, i in encoder.known.items())
