@@ -100,16 +100,16 @@ class ChunkEncoder:
         self.words.clear()
         self.held = sum(map(_size, self.known, self.known.values()))
 
-    def encode(self, texts: list[str] | pa.StringArray) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
         ends, ids = self.ids(texts)
         words, ends = ids.tobytes(), (4 * ends).tolist()
         return [words[a:b] for a, b in pairwise(ends)]
 
-    def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where those of each begin and end; no text may be null."""
-        pieces, firsts = _pieces(texts)
+        pieces, firsts = _pieces(texts.cast(pa.string()))
         coded = pieces.dictionary_encode()
         found = self._found(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4

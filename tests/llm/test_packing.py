@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -151,6 +152,16 @@ def test_a_word_is_learnt_once(library):
     assert not encoder.words
 
 
+def test_arrow_texts_of_any_width(library):
+    texts = ["left out", "", "Whole texts.", "ÖL\n(7)", "left out"]
+    wanted = [ids_of(library, text)[:-4] for text in texts[1:4]]
+    encoder = P.ChunkEncoder(tokenizer_path(P.VOCABULARY))
+    for kind in (pa.string(), pa.large_string(), pa.string_view()):
+        assert encoder.encode(pa.array(texts, kind).slice(1, 3)) == wanted
+    ends, ids = encoder.ids(pa.array([], pa.string()))
+    assert ends.tolist() == [0] and len(ids) == 0
+
+
 def test_frequent_words_outlive_a_full_memory():
     encoder = P.ChunkEncoder(tokenizer_path(P.VOCABULARY), remembered=1_000)
     encoder.encode(["often seldom rarely never ever"])
